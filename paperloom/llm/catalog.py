@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.engine import table
-from paperloom.llm import splitting
+from paperloom.llm import mixing, splitting, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -38,3 +38,20 @@ def p7_pieces(spark: SparkSession, d: str) -> DataFrame:
     s = splitting.split_elements(table(spark, d, "elements"), table(spark, d, "split_limits"))
     both = F.concat(F.transform("text_pieces", lambda p: F.struct(F.lit("text").alias("item_kind"), p.alias("p"))), F.transform("table_pieces", lambda p: F.struct(F.lit("table").alias("item_kind"), p.alias("p"))))
     return s.select("elem_id", F.explode(both).alias("x")).select("elem_id", "x.item_kind", "x.p.*")
+
+
+@query()
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encode(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
+
+
+@query()
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of each mix with their uses."""
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+@query()
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Wanted and actual shares of each source in each mix."""
+    return mixing.shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
