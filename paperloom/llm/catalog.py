@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.engine import table
-from paperloom.llm import mixing, splitting, tokens
+from paperloom.llm import encoding, forms, mixing, splitting, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -55,3 +55,25 @@ def p9_mix(spark: SparkSession, d: str) -> DataFrame:
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     """Wanted and actual shares of each source in each mix."""
     return mixing.shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+@query()
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.repaired(table(spark, d, "elements"), table(spark, d, "results")).select("rec_id", "field")
+
+
+@query()
+def p5_restored(spark: SparkSession, d: str) -> DataFrame:
+    """The garbled values with their restored text."""
+    return encoding.repaired(table(spark, d, "elements"), table(spark, d, "results"))
+
+
+@query()
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return forms.find(table(spark, d, "elements"), encoding.garbled)
+
+
+@query()
+def p6_normal(spark: SparkSession, d: str) -> DataFrame:
+    """Content and rows of every element in one consistent form."""
+    return forms.normal(table(spark, d, "elements"))
