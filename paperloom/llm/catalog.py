@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.engine import table
-from paperloom.llm import encoding, forms, mixing, splitting, tokens
+from paperloom.llm import encoding, forms, mixing, sentences, splitting, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -77,3 +77,15 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 def p6_normal(spark: SparkSession, d: str) -> DataFrame:
     """Content and rows of every element in one consistent form."""
     return forms.normal(table(spark, d, "elements"))
+
+
+@query()
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    slides = sentences.of_type(table(spark, d, "elements"), table(spark, d, "results"), "pptx")
+    return sentences.split(slides).select("elem_id", "start_pos")
+
+
+@query()
+def p4_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """The sentences of all elements with text."""
+    return sentences.split(table(spark, d, "elements"))
