@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.engine import table
-from paperloom.llm import encoding, forms, mixing, sentences, splitting, tokens
+from paperloom.llm import encoding, forms, mixing, near, sentences, splitting, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -89,3 +89,14 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 def p4_sentences(spark: SparkSession, d: str) -> DataFrame:
     """The sentences of all elements with text."""
     return sentences.split(table(spark, d, "elements"))
+
+
+@query()
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return near.found(table(spark, d, "elements"), table(spark, d, "results"))
+
+
+@query()
+def p3_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Each id with its class of equal texts and its number of similar classes."""
+    return near.groups(table(spark, d, "elements"), table(spark, d, "results"))

@@ -195,7 +195,7 @@ def spans(t: str | None, ocr: bool = False) -> list[tuple[int, int]]:
         return []
     own = pairs(t, not ocr)
     pair_at = {b: a for a, b in own}
-    cjk = CJK.search(t) is not None
+    cjk = CJK.search(t) is not None and len(CJK.findall(t)) * 5 > len(t)
     cuts: list[int] = []
     start = 0
     k = 0
