@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.engine import table
-from paperloom.llm import encoding, forms, mixing, near, sentences, splitting, tokens
+from paperloom.llm import encoding, forms, mixing, near, sentences, splitting, tokens, toxic
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -100,3 +100,19 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     """Each id with its class of equal texts and its number of similar classes."""
     return near.groups(table(spark, d, "elements"), table(spark, d, "results"))
+
+
+@query()
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return toxic.scores(table(spark, d, "documents"), table(spark, d, "content_labels")).select("doc_id", "category")
+
+
+@query()
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    """A score for each document and category, with the place of the passage."""
+    return toxic.scores(table(spark, d, "documents"), table(spark, d, "content_labels"), all_rows=True)
+
+
+@query()
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return toxic.rates(table(spark, d, "documents"), table(spark, d, "content_labels"))
