@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.engine import table
-from paperloom.llm import encoding, forms, mixing, near, sentences, splitting, tokens, toxic
+from paperloom.llm import encoding, forms, mixing, near, ocr, sentences, splitting, tokens, toxic
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -116,3 +116,14 @@ def p10_scores(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return toxic.rates(table(spark, d, "documents"), table(spark, d, "content_labels"))
+
+
+@query()
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return ocr.found(table(spark, d, "elements"), table(spark, d, "results"))
+
+
+@query()
+def p2_text(spark: SparkSession, d: str) -> DataFrame:
+    """The text of every scanned element in continuous paragraphs."""
+    return ocr.repaired(table(spark, d, "elements"), table(spark, d, "results"))
