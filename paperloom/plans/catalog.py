@@ -2,34 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from paperloom.engine import table
 from paperloom.operators import shredding
+from paperloom.plans import reference
+from paperloom.plans.registry import ORACLE, QUERIES, query
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable:
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
-
-@query("""select sha256(text) as content_hash, count(*) as n_docs, min(doc_id) as canonical_id from documents
-where text is not null group by 1 having count(*) > 1""")
-def dup_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Groups of documents with identical content and the canonical member of each."""
-    t = table(spark, d, "documents").where("text is not null")
-    return t.select("doc_id", F.sha2("text", 256).alias("content_hash")).groupBy("content_hash").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("canonical_id")).where("n_docs > 1")
+__all__ = ["ORACLE", "QUERIES", "reference"]
 
 
 @query()

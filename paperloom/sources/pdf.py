@@ -1,0 +1,351 @@
+"""A small PDF reader: text with places, ruled tables and images of files with Flate or no compression."""
+
+from __future__ import annotations
+
+import re
+import zlib
+from statistics import median
+
+from paperloom.sources.ooxml import Parsed, image_size, table
+
+TOKEN = re.compile(rb"\s*(?:%[^\r\n]*[\r\n]\s*)*(<<|>>|\[|\]|\((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*\)|<[0-9A-Fa-f\s]*>|/[^\s<>\[\]()/%]*|[+-]?\d*\.?\d+|[^\s<>\[\]()/%]+)", re.S)
+ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+
+
+class Name(str):
+    """A name object."""
+
+
+class Ref(int):
+    """A reference to an object."""
+
+
+def string(s: bytes) -> bytes:
+    if s[:1] == b"<":
+        h = re.sub(rb"\s", b"", s[1:-1])
+        return bytes.fromhex((h + b"0" * (len(h) % 2)).decode())
+
+    def one(m: re.Match) -> bytes:
+        x = m.group(1)
+        return bytes([int(x, 8) & 255]) if x.isdigit() else ESCAPES.get(x, b"" if x in (b"\n", b"\r\n", b"\r") else x)
+
+    return re.sub(rb"\\([0-7]{1,3}|\r\n|.)", one, s[1:-1], flags=re.S)
+
+
+def values(data: bytes) -> list:
+    """Objects and operators of a stretch of PDF; operators are bytes."""
+    stack: list[list] = [[]]
+    for m in TOKEN.finditer(data):
+        t = m.group(1)
+        if t in (b"[", b"<<"):
+            stack.append([])
+        elif t in (b"]", b">>") and len(stack) > 1:
+            own = stack.pop()
+            stack[-1].append(own if t == b"]" else {str(k): v for k, v in zip(own[::2], own[1::2])})
+        elif t[:1] == b"(" or (t[:1] == b"<" and t != b"<<"):
+            stack[-1].append((string(t),))
+        elif t[:1] == b"/":
+            stack[-1].append(Name(re.sub(rb"#([0-9A-Fa-f]{2})", lambda h: bytes([int(h.group(1), 16)]), t[1:]).decode("latin-1")))
+        elif re.fullmatch(rb"[+-]?\d+", t):
+            stack[-1].append(int(t))
+        elif re.fullmatch(rb"[+-]?\d*\.?\d+", t):
+            stack[-1].append(float(t))
+        elif t == b"R" and len(stack[-1]) >= 2:
+            stack[-1].pop()
+            stack[-1].append(Ref(stack[-1].pop()))
+        elif t in (b"true", b"false", b"null"):
+            stack[-1].append({b"true": True, b"false": False}.get(t))
+        else:
+            stack[-1].append(t)
+    return stack[0]
+
+
+class File:
+    def __init__(self, data: bytes) -> None:
+        if b"%PDF" not in data[:1024]:
+            raise ValueError("no PDF header")
+        self.objects: dict[int, object] = {}
+        self.streams: dict[int, bytes] = {}
+        for m in re.finditer(rb"(?<!\d)(\d+)\s+\d+\s+obj\b", data):
+            end = data.find(b"endobj", m.end())
+            part = data[m.end() : end if end >= 0 else len(data)]
+            n = int(m.group(1))
+            k = re.search(rb"stream\r?\n", part)
+            got = values(part[: k.start()] if k else part)
+            self.objects[n] = got[0] if got else None
+            if k and isinstance(got[0] if got else None, dict):
+                length = got[0].get("Length")
+                raw = data[m.end() + k.end() :]
+                if isinstance(length, int) and not isinstance(length, Ref):
+                    raw = raw[:length]
+                else:
+                    raw = raw[: raw.find(b"endstream")].rstrip(b"\r\n")
+                self.streams[n] = raw
+        for n in list(self.streams):
+            d = self.objects[n]
+            if d.get("Type") == "ObjStm":
+                body = self.stream(n)
+                head = values(body[: d["First"]])
+                for num, at in zip(head[::2], head[1::2]):
+                    got = values(body[d["First"] + at :])
+                    self.objects.setdefault(num, got[0] if got else None)
+        if re.search(rb"/Encrypt\b", data[-4096:]):
+            raise ValueError("encrypted")
+        info = re.findall(rb"/Info\s+(\d+)\s+\d+\s+R", data)
+        self.info = self.objects.get(int(info[-1])) if info else None
+
+    def get(self, x: object) -> object:
+        for _ in range(20):
+            if not isinstance(x, Ref):
+                break
+            x = self.objects.get(int(x))
+        return x
+
+    def stream(self, n: int) -> bytes:
+        d = self.objects[n]
+        raw = self.streams.get(n, b"")
+        filters = self.get(d.get("Filter"))
+        for f in filters if isinstance(filters, list) else [filters] if filters else []:
+            if f == "FlateDecode":
+                raw = zlib.decompressobj().decompress(raw)
+            elif f == "ASCIIHexDecode":
+                raw = bytes.fromhex(re.sub(rb"[\s>]", b"", raw).decode())
+        return raw
+
+    def pages(self) -> list[dict]:
+        root = next((o for o in self.objects.values() if isinstance(o, dict) and o.get("Type") == "Catalog"), None)
+        out: list[dict] = []
+
+        def walk(x: object, held: dict, depth: int) -> None:
+            d = self.get(x)
+            if not isinstance(d, dict) or depth > 50:
+                return
+            held = held | {k: d[k] for k in ("Resources", "MediaBox") if k in d}
+            if d.get("Type") == "Page":
+                out.append(held | d)
+            for k in self.get(d.get("Kids")) or ():
+                walk(k, held, depth + 1)
+
+        walk(root.get("Pages") if root else None, {}, 0)
+        return out or [o for o in self.objects.values() if isinstance(o, dict) and o.get("Type") == "Page"]
+
+    def text(self, x: object) -> str | None:
+        x = self.get(x)
+        if not isinstance(x, tuple):
+            return None
+        b = x[0]
+        return b[2:].decode("utf-16-be", "replace") if b[:2] == b"\xfe\xff" else b.decode("cp1252", "replace")
+
+
+class Font:
+    """Decodes the strings of a font by its map to Unicode, else as Windows Latin; widths are taken as half the size."""
+
+    def __init__(self, f: File, d: dict) -> None:
+        self.map: dict[int, str] = {}
+        self.wide = d.get("Subtype") == "Type0"
+        ref = d.get("ToUnicode")
+        if isinstance(ref, Ref) and int(ref) in f.streams:
+            cmap = f.stream(int(ref))
+            h = lambda b: int(re.sub(rb"\s", b"", b) or b"0", 16)
+            u = lambda b: bytes.fromhex(re.sub(rb"\s", b"", b).decode()).decode("utf-16-be", "replace")
+            for part in re.findall(rb"beginbfchar(.*?)endbfchar", cmap, re.S):
+                for a, b in re.findall(rb"<([^>]*)>\s*<([^>]*)>", part):
+                    self.map[h(a)] = u(b)
+            for part in re.findall(rb"beginbfrange(.*?)endbfrange", cmap, re.S):
+                for a, b, c in re.findall(rb"<([^>]*)>\s*<([^>]*)>\s*<([^>]*)>", part):
+                    for i in range(h(a), min(h(b), h(a) + 65535) + 1):
+                        self.map[i] = chr(ord(u(c)[-1]) + i - h(a))
+
+    def decode(self, b: bytes) -> str:
+        if self.wide:
+            return "".join(self.map.get(int.from_bytes(b[i : i + 2], "big"), "") for i in range(0, len(b), 2))
+        if self.map:
+            return "".join(self.map.get(x, bytes([x]).decode("cp1252", "replace")) for x in b)
+        return b.decode("cp1252", "replace")
+
+
+def times(a: list[float], b: list[float]) -> list[float]:
+    return [a[0] * b[0] + a[1] * b[2], a[0] * b[1] + a[1] * b[3], a[2] * b[0] + a[3] * b[2], a[2] * b[1] + a[3] * b[3], a[4] * b[0] + a[5] * b[2] + b[4], a[4] * b[1] + a[5] * b[3] + b[5]]
+
+
+def contents(f: File, page: dict) -> tuple[list[tuple], list[tuple], list[tuple]]:
+    """(pieces x0, y0, x1, y1, text; ruling segments; images x0, y0, x1, y1, object) with y from the top of the page."""
+    c = page.get("Contents")
+    refs = [c] if isinstance(c, Ref) and int(c) in f.streams else f.get(c) if isinstance(f.get(c), list) else [c]
+    data = b"\n".join(f.stream(int(r)) for r in refs or [] if isinstance(r, Ref) and int(r) in f.streams)
+    res = f.get(page.get("Resources")) or {}
+    fonts = {k: Font(f, f.get(v) or {}) for k, v in (f.get(res.get("Font")) or {}).items()}
+    objects = f.get(res.get("XObject")) or {}
+    box = f.get(page.get("MediaBox")) or [0, 0, 612, 792]
+    top = float(box[3])
+    pieces, rules, images = [], [], []
+    ctm, saved = [1.0, 0, 0, 1, 0, 0], []
+    tm = lm = ctm
+    font, size, lead = Font(f, {}), 12.0, 0.0
+    args: list = []
+    at = start = (0.0, 0.0)
+    path: list[tuple] = []
+
+    def point(x: float, y: float) -> tuple[float, float]:
+        return x * ctm[0] + y * ctm[2] + ctm[4], top - (x * ctm[1] + y * ctm[3] + ctm[5])
+
+    def show(b: bytes) -> None:
+        nonlocal tm
+        s = font.decode(b)
+        m = times(tm, ctm)
+        w = sum(1.0 if ord(ch) > 0x2E80 else 0.5 for ch in s) * size
+        h = size * (abs(m[3]) or 1)
+        pieces.append((m[4], top - m[5] - h, m[4] + w * (abs(m[0]) or 1), top - m[5], s))
+        tm = times([1, 0, 0, 1, w, 0], tm)
+
+    for v in values(data):
+        if not isinstance(v, bytes):
+            args.append(v)
+            continue
+        try:
+            if v == b"q":
+                saved.append(ctm)
+            elif v == b"Q":
+                ctm = saved.pop() if saved else ctm
+            elif v == b"cm":
+                ctm = times(args[-6:], ctm)
+            elif v == b"BT":
+                tm = lm = [1.0, 0, 0, 1, 0, 0]
+            elif v == b"Tf":
+                font, size = fonts.get(str(args[-2]), font), float(args[-1])
+            elif v == b"TL":
+                lead = args[-1]
+            elif v in (b"Td", b"TD"):
+                if v == b"TD":
+                    lead = -args[-1]
+                tm = lm = times([1, 0, 0, 1, *args[-2:]], lm)
+            elif v == b"Tm":
+                tm = lm = list(args[-6:])
+            elif v in (b"T*", b"'", b'"'):
+                tm = lm = times([1, 0, 0, 1, 0, -lead], lm)
+                if v != b"T*":
+                    show(args[-1][0])
+            elif v == b"Tj":
+                show(args[-1][0])
+            elif v == b"TJ":
+                for x in args[-1]:
+                    if isinstance(x, tuple):
+                        show(x[0])
+                    else:
+                        tm = times([1, 0, 0, 1, -x / 1000 * size, 0], tm)
+            elif v == b"m":
+                at = start = point(*args[-2:])
+            elif v == b"l":
+                to = point(*args[-2:])
+                path.append((*at, *to))
+                at = to
+            elif v == b"h":
+                path.append((*at, *start))
+            elif v == b"re":
+                x, y, w, h = args[-4:]
+                a, b, c2, d = point(x, y), point(x + w, y), point(x + w, y + h), point(x, y + h)
+                path += [(*a, *b), (*b, *c2), (*c2, *d), (*d, *a)]
+            elif v in (b"S", b"s", b"B", b"b", b"f", b"F", b"f*", b"n", b"B*", b"b*"):
+                if v != b"n":
+                    rules += path
+                path = []
+            elif v == b"Do" and isinstance(ref := objects.get(str(args[-1])), Ref) and (f.get(ref) or {}).get("Subtype") == "Image":
+                x0, y1 = point(0, 0)
+                x1, y0 = point(1, 1)
+                images.append((min(x0, x1), min(y0, y1), max(x0, x1), max(y0, y1), int(ref)))
+        except (IndexError, TypeError, ValueError):
+            pass  # an operator without its operands is left out
+        args = []
+    return pieces, rules, images
+
+
+def grids(rules: list[tuple]) -> list[tuple[list[float], list[float]]]:
+    """(column edges, row edges) of the tables that rulings make: connected horizontal and vertical lines, two of each at least."""
+    hs = [(min(a, c), max(a, c), (b + d) / 2) for a, b, c, d in rules if abs(b - d) <= 1 and abs(a - c) > 2]
+    vs = [(min(b, d), max(b, d), (a + c) / 2) for a, b, c, d in rules if abs(a - c) <= 1 and abs(b - d) > 2]
+    group = list(range(len(hs) + len(vs)))
+
+    def find(i: int) -> int:
+        while group[i] != i:
+            group[i] = group[group[i]]
+            i = group[i]
+        return i
+
+    for i, (x0, x1, y) in enumerate(hs):
+        for j, (y0, y1, x) in enumerate(vs):
+            if x0 - 2 <= x <= x1 + 2 and y0 - 2 <= y <= y1 + 2:
+                group[find(i)] = find(len(hs) + j)
+    by: dict[int, tuple[set, set]] = {}
+    for i in range(len(group)):
+        xs, ys = by.setdefault(find(i), (set(), set()))
+        if i < len(hs):
+            ys.add(round(hs[i][2]))
+        else:
+            xs.add(round(vs[i - len(hs)][2]))
+
+    def close(s: set) -> list:
+        s = sorted(s)
+        return [x for k, x in enumerate(s) if not k or x - s[k - 1] > 2]
+
+    return sorted(((close(xs), close(ys)) for xs, ys in by.values() if len(close(xs)) >= 2 and len(close(ys)) >= 2), key=lambda g: (g[1][0], g[0][0]))
+
+
+def lines_of(pieces: list[tuple]) -> list[tuple]:
+    """Lines x0, y0, x1, y1, text from top to bottom."""
+    out: list[list] = []
+    for p in sorted(pieces, key=lambda p: (round(p[3]), p[0])):
+        if out and abs(out[-1][3] - p[3]) <= max(2.0, 0.3 * (p[3] - p[1])):
+            gap = p[0] - out[-1][2]
+            out[-1][4] += (" " if gap > 0.15 * (p[3] - p[1]) and not out[-1][4].endswith(" ") else "") + p[4]
+            out[-1][1:4] = [min(out[-1][1], p[1]), max(out[-1][2], p[2]), max(out[-1][3], p[3])]
+        else:
+            out.append(list(p))
+    return [tuple(x) for x in out if x[4].strip()]
+
+
+def paragraphs(lines: list[tuple]) -> list[tuple]:
+    """Blocks of lines; a gap of more than half a line over the page's usual spacing begins a new one."""
+    if not lines:
+        return []
+    gaps = [b[1] - a[3] for a, b in zip(lines, lines[1:])]
+    height = median(x[3] - x[1] for x in lines)
+    usual = min([g for g in gaps if g > -height] or [0.0])
+    out: list[list] = [list(lines[0])]
+    for g, x in zip(gaps, lines[1:]):
+        if g > max(usual, 0) + 0.5 * height or g < -height:
+            out.append(list(x))
+        else:
+            o = out[-1]
+            o[0], o[1], o[2], o[3], o[4] = min(o[0], x[0]), min(o[1], x[1]), max(o[2], x[2]), max(o[3], x[3]), o[4] + "\n" + x[4]
+    return [tuple(x) for x in out]
+
+
+def pdf(data: bytes) -> Parsed:
+    """Text blocks, ruled tables and images of each page with page and bbox, from top to bottom; text inside a table is only in the table."""
+    f = File(data)
+    out: list[dict] = []
+    saved: list[tuple[str, bytes]] = []
+    for n, page in enumerate(f.pages(), 1):
+        pieces, rules, images = contents(f, page)
+        found: list[tuple[float, dict]] = []
+        rest = pieces
+        for xs, ys in grids(rules):
+            inside = [p for p in rest if xs[0] - 1 <= (p[0] + p[2]) / 2 <= xs[-1] + 1 and ys[0] - 1 <= (p[1] + p[3]) / 2 <= ys[-1] + 1]
+            rest = [p for p in rest if p not in inside]
+            rows = []
+            for y0, y1 in zip(ys, ys[1:]):
+                rows.append(["\n".join(x[4] for x in lines_of([p for p in inside if x0 <= (p[0] + p[2]) / 2 < x1 and y0 <= (p[1] + p[3]) / 2 < y1])) for x0, x1 in zip(xs, xs[1:])])
+            found.append((ys[0], table(rows, {"page": n, "bbox": [float(xs[0]), float(ys[0]), float(xs[-1]), float(ys[-1])]})))
+        for x0, y0, x1, y1, s in paragraphs(lines_of(rest)):
+            found.append((y0, {"type": "text", "content": s, "location": {"page": n, "bbox": [round(v, 2) for v in (x0, y0, x1, y1)]}}))
+        for x0, y0, x1, y1, ref in images:
+            d = f.objects[ref]
+            raw = f.streams.get(ref, b"")
+            fmt, w, h = image_size(raw)
+            fmt = fmt or "raw"
+            name = f"images/image_{len(saved) + 1:03}.{fmt}"
+            saved.append((name, raw))
+            found.append((y0, {"type": "image", "file": name, "format": fmt, "width": w or f.get(d.get("Width")), "height": h or f.get(d.get("Height")), "location": {"page": n, "bbox": [round(v, 2) for v in (x0, y0, x1, y1)]}}))
+        out += [e for _y, e in sorted(found, key=lambda x: x[0])]
+    info = f.info if isinstance(f.info, dict) else {}
+    return {"title": f.text(info.get("Title")), "author": f.text(info.get("Author")), "created": f.text(info.get("CreationDate")), "modified": f.text(info.get("ModDate"))}, out, saved
