@@ -153,20 +153,37 @@ def _parsed(v: object) -> object:
     return v
 
 
-def roots(value: object, known: frozenset[str]) -> Iterator[dict]:
-    """The root records in any wrapper: lists, single-key or many-key objects, JSON text; in order of appearance."""
+def roots(value: object, known: frozenset[str], repeated: frozenset[str]) -> Iterator[dict]:
+    """The root records in any wrapper: lists, single-key or many-key objects, JSON text; in order of appearance.
+
+    An object with a repeated child of the root is one. An object that only has scalars of the root is one unless it wraps
+    others under keys that the graph doesn't know: a delivery can have an id and a source of its own.
+    """
     todo = [value]
     while todo:
         v = _parsed(todo.pop())
         if isinstance(v, dict):
-            if known & v.keys():
+            inner = [] if repeated & v.keys() else [x for k, x in v.items() if k not in known and isinstance(x, (dict, list, str))]
+            if known & v.keys() and not any(_wraps(x, known) for x in inner):
                 yield v
             else:
-                todo += [x for x in reversed(list(v.values())) if isinstance(x, (dict, list, str))]
+                todo += reversed(inner)
         elif isinstance(v, list):
             todo += [x for x in reversed(v) if isinstance(x, (dict, list, str))]
 
 
+def _wraps(value: object, known: frozenset[str]) -> bool:
+    """Whether a value is or holds, in lists only, an object with two keys of a root record or more."""
+    todo = [value]
+    while todo:
+        v = _parsed(todo.pop())
+        if isinstance(v, dict) and len(known & v.keys()) >= 2:
+            return True
+        if isinstance(v, list):
+            todo += [x for x in v if isinstance(x, (dict, list, str))]
+    return False
+
+
 def _at(rec: object, path: tuple[str, ...]) -> object:
     for k in path:
         rec = rec.get(k) if isinstance(rec, dict) else None
@@ -253,6 +270,7 @@ def flatten(df: DataFrame, doc: str, payload: str, g: SchemaGraph = RESULT_GRAPH
     known = frozenset(g.scalars[g.root]) | {e.name for e in g.edges[g.root]}
     kind = dict(df.select(doc).dtypes)[doc]
     schema = f"`{doc}` {kind}, {FLAT}" + ", attrs map<string,string>" * attrs
+    repeated = frozenset(e.name for e in g.edges[g.root] if e.many)
     first = g.scalars[g.root][0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,7 +281,7 @@ def flatten(df: DataFrame, doc: str, payload: str, g: SchemaGraph = RESULT_GRAPH
                 ok, value = parse(text)
                 if not ok:
                     continue
-                for n, rec in enumerate(roots(value, known), 1):
+                for n, rec in enumerate(roots(value, known, repeated), 1):
                     rid = _text(rec.get(first))
                     for t, key, pt, pk, o, r in resolve(g, tables, shred(tables, g, rec)):
                         if keep and t not in keep:

@@ -24,7 +24,7 @@ def test_nodes(spark):
     inner = {"type": "table", "rows": [["a", None], None, [1]], "location": {"from_image": "IMAGES\\I.png"}}
     r = {"id": "x", "elements": [None, {"type": "group", "elements": {"type": "text"}}, inner, {"type": "image", "file": "images/i.png", "elements": json.dumps([inner])}]}
     want = [("2", ""), ("2.1", "2"), ("3", "4"), ("3:1:1", "3"), ("3:3:1", "3"), ("4", ""), ("4.1", "4"), ("4.1:1:1", "4.1"), ("4.1:3:1", "4.1")]
-    for wrapped in (r, [r], {"result": r}, {"exported": 1, "results": [None, r, r]}, json.dumps(r), {"result": json.dumps(r)}, {"results": {"deep": [r]}}, r | {"elements": json.dumps(r["elements"]), "extra": {"id": 1}}):
+    for wrapped in (r, [r], {"result": r}, {"exported": 1, "results": [None, r, r]}, json.dumps(r), {"result": json.dumps(r)}, {"id": 7, "source": "exporter", "payload": [r]}, {"results": {"deep": [r]}}, r | {"elements": json.dumps(r["elements"]), "extra": {"id": 1}}):
         assert [n[2:] for n in nodes(spark, json.dumps(wrapped))] == want
 
 
