@@ -48,15 +48,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return own
 
 
-def bounded_sample(df: DataFrame, key: str, n: int, of: int | None = None) -> DataFrame:
+def bounded_sample(df: DataFrame, key: str, n: int, of: int | None = None, spare: int = 8) -> DataFrame:
     """At most n rows in the order of a hash of `key`, the same at each run; of: the rows that df is chosen from.
 
-    A threshold on the hash first leaves about eight times n rows whatever the table's size, so neither a task nor the
-    driver meets more than a few times n. A small df out of a large table may give fewer than n.
+    A threshold on the hash first leaves about `spare` times n rows whatever the table's size, so neither a task nor the
+    driver meets more. A df of less than 1/spare of the table may give fewer than n.
     """
     total = df.count() if of is None else of
     slots = 1 << 30
-    most = min(slots, 8 * n * slots // max(1, total) + 1)
+    most = min(slots, spare * n * slots // max(1, total) + 1)
     return df.where(F.pmod(F.xxhash64(key), F.lit(slots)) < most).orderBy(F.pmod(F.xxhash64(key), F.lit(slots)), key).limit(n)
 
 
