@@ -31,6 +31,8 @@ GRAM, LEAST, SIMILAR = 10, 300, 0.6
 K, ROWS, DEALS = 200, 5, 2
 #: Coordinates in a sketch, a byte each, and the share that must agree: 3.7 standard deviations below SIMILAR.
 SKETCH, AGREE = 96, 0.415
+#: Slots of a filter of texts: its size is fixed whatever the data.
+SLOTS = 1 << 18
 #: Expected darts of a cell of weight 1 on the first level of rank.
 UNIT = 1 / 32
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -234,7 +236,9 @@ def links(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     with_a = met.join(sk.select(F.col("h").alias("a"), F.col("sketch").alias("sa")), "a")
     pairs = cut(likely(with_a.join(sk.select(F.col("h").alias("b"), F.col("sketch").alias("sb")), "b")))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    own = t.join(reps.select("id"), "id", "left_semi").join(wanted, "h", "left_semi").select("h", "text")
+    slot = F.pmod("h", F.lit(SLOTS))
+    near = t.withColumn("slot", slot).join(F.broadcast(wanted.select(slot.alias("slot")).distinct()), "slot", "left_semi")  # most texts have no pair and stay where they are
+    own = near.select("id", "text").join(reps.select("h", "id").join(wanted, "h"), "id").select("h", "text")
     both = pairs.join(own.select(F.col("h").alias("a"), F.col("text").alias("ta")), "a").join(own.select(F.col("h").alias("b"), F.col("text").alias("tb")), "b")
     return t.select("id", "h"), cut(checked(both))
 
