@@ -5,7 +5,10 @@ from __future__ import annotations
 import atexit
 import contextlib
 import os
+import shutil
+import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,11 +30,33 @@ def session(app: str = "paperloom", **conf: str) -> SparkSession:
     b = SparkSession.builder.appName(app)
     for k, v in (DEFAULTS | conf).items():
         b = b.config(k, v)
-    return b.getOrCreate()
+    spark = b.getOrCreate()
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the executors' Python this package, once in a session, wherever they run and whatever their path."""
+    sc = spark.sparkContext
+    if getattr(sc, "_paperloom_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="paperloom-")
+    path = os.path.join(folder, "paperloom.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for at, _dirs, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(at, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(path)
+    sc._paperloom_shipped = True
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
 
 
 def table(spark: SparkSession, base: str, name: str) -> DataFrame:
     """One Parquet table of a data folder (file or folder of files)."""
+    ship(spark)
     return spark.read.parquet(f"{base.rstrip('/')}/{name}.parquet")
 
 

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from paperloom.engine import session, ship
 from paperloom.functions import paths
 from paperloom.sources import files, model, ooxml, pdf
 
@@ -63,6 +64,7 @@ def documents(content: DataFrame, ocr: OcrBackend | None = None, lang: str = "ja
 
     Bytes are read, hashed and parsed in one place and leave it only as images; nothing is shuffled.
     """
+    ship(content.sparkSession)
     p = paths.normal_path(F.col("path"))
     d = content.select(p.alias("source_abspath"), "content")
     d = d.select(
@@ -159,8 +161,6 @@ def extract(source: str | Sequence[str], output_dir: str | None = None, *, spark
 
     ocr and image_tables do something where a backend is registered; without, images keep a null ocr_text.
     """
-    from paperloom.engine import session
-
     s = spark or session()
     use = ocr_backend(backend) if ocr else None
     tab = next(iter(TABLE_BACKENDS.values()), None) if image_tables else None
