@@ -275,9 +275,15 @@ CLEAN, GARBLED, OPEN = 0, 1, 2
 
 def judge(t: str) -> tuple[int, str, list[tuple[int, int, str, str]]]:
     """(state, text with what fits re-decoded, places with their pair of encodings)."""
+    state, u, places, _weak = weighed(t)
+    return state, u, places
+
+
+def weighed(t: str) -> tuple[int, str, list[tuple[int, int, str, str]], list[tuple[int, int, str, str]]]:
+    """judge(), and the weak places that it leaves to the learned table, whatever the state."""
     state = GARBLED if UNDECODABLE.search(t) else CLEAN
     hint = "ja" if JAPANESE.search(t) else ""
-    out, places, last = [], [], 0
+    out, places, weak, last = [], [], [], 0
     for a, b in clusters(t):
         if a < last:
             a = last
@@ -291,11 +297,13 @@ def judge(t: str) -> tuple[int, str, list[tuple[int, int, str, str]]]:
             a2 = last
             top = (*(x := best(t[a2:b2], top[1:3]))[:1], top[1], top[2], x[1])
         if top[0] < MARGIN:
-            if top[0] > WEAK and state == CLEAN:  # the learned table decides
-                state = OPEN
-                out += [t[last:a2], t[a2:b2]]
-                places.append((a2, b2, top[1], top[2]))
-                last = b2
+            if top[0] > WEAK:  # the learned table decides
+                weak.append((a2, b2, top[1], top[2]))
+                if state == CLEAN:
+                    state = OPEN
+                    out += [t[last:a2], t[a2:b2]]
+                    places.append((a2, b2, top[1], top[2]))
+                    last = b2
             continue
         if all("\uff66" <= c <= "\uff9f" for c in t[a2:b2]):  # a word in half-width katakana, or two-byte characters read so
             if state == CLEAN:
@@ -306,7 +314,7 @@ def judge(t: str) -> tuple[int, str, list[tuple[int, int, str, str]]]:
         places.append((a2, b2, top[1], top[2]))
         last = b2
     out.append(t[last:])
-    return state, "".join(out), places
+    return state, "".join(out), places, weak
 
 
 def restore(t: str) -> tuple[int, str, list[tuple[int, int, str, str]]]:
@@ -316,14 +324,19 @@ def restore(t: str) -> tuple[int, str, list[tuple[int, int, str, str]]]:
         v, pair = letters(t)
         if pair:
             return GARBLED, v, [(0, len(t), *pair)]
+    if state == GARBLED and u != t:
+        u = deeper(u)
+    return state, u, places
+
+
+def deeper(u: str) -> str:
+    """A restored text restored again, at most twice, while that makes it more plausible."""
     for _ in range(2):
-        if state != GARBLED or u == t:
-            break
         again, v, _p = judge(u)
         if again != GARBLED or v == u or plausible(v) <= plausible(u):
             break
         u = v
-    return state, u, places
+    return u
 
 
 def suspicious(col: pa.Array) -> np.ndarray:
@@ -513,17 +526,28 @@ def apply(bad: DataFrame, learned: list[tuple[str, str, str, str, int]]) -> Data
             i += hit or 1
         return "".join(out)
 
-    def again(t: str) -> str:
-        """Re-decodes short places that fit several encodings by the one whose learned units they consist of."""
-        out, last = [], 0
-        for x, y, r, w in judge(t)[2]:
+    def again(t: str, restored: str) -> str:
+        """Re-decodes the weak places that learned units cover, and those that fit several encodings by the one whose units they consist of."""
+        _state, _u, places, weak = weighed(t)
+        out, last, other = [], 0, False
+        for x, y, r, w in sorted({*places, *weak}):
+            if x < last:
+                continue
+            sure = (x, y, r, w) not in weak
             hits = {v: sum(t[i : i + 2] in us for i in range(x, y - 1)) for v, us in by.get(r, {}).items() if v != "utf-8"}
             v = max(hits, key=hits.__getitem__, default=w)
             if w != "utf-8" and hits and hits[v] > hits.get(w, 0):
-                w = v
+                # against what looks clearly better, only units that cover the place decide
+                covers = [learned_place(t[x:y], by.get(r, {}).get(e, set())) for e in (v, w)]
+                if covers == [True, False] or best(t[x:y], (r, v))[0] > best(t[x:y], (r, w))[0] - MARGIN:
+                    w, other = v, True
+            if not sure:
+                if not learned_place(t[x:y], by.get(r, {}).get(w, set())):
+                    continue
+                other = True
             out += [t[last:x], best(t[x:y], (r, w))[1]]
             last = y
-        return "".join([*out, t[last:]])
+        return deeper("".join([*out, t[last:]])) if other else restored
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -533,8 +557,8 @@ def apply(bad: DataFrame, learned: list[tuple[str, str, str, str, int]]) -> Data
                 if s == OPEN and any(learned_place(t[x:y], by.get(r, {}).get(w, set())) for x, y, r, w in judge(t)[2]):
                     s = GARBLED  # the place consists of learned units
                 found.append(s == GARBLED)
-                if s == GARBLED and len(t) < 40:
-                    r = v if (v := again(t)) != t else r
+                if s == GARBLED:
+                    r = again(t, r)
                 done.append(rest(r) if s == GARBLED else t)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(done, pa.string()), pa.array(found)], ["rec_id", "field", "text", "restored", "found"])
 

@@ -51,3 +51,13 @@ def test_alignment():
     g = wrong(JA, "utf-8", "latin-1")
     units = encoding.align("A1 " + g, "A1 " + JA, "cp1252")
     assert ("cp1252", "utf-8", wrong("の", "utf-8", "latin-1"), "の") in units or any(u[3] == "の" for u in units)
+
+
+def test_learned_units_restore_values_of_any_length(spark):
+    sure, weak = "Ã©tÃ©", wrong("検", "euc_jp", "cp1252")
+    t = "the list of states " * 4 + sure + " and then a place that is weak: " + weak + " in it"
+    bad = spark.createDataFrame([(1, "content", t, encoding.GARBLED, encoding.judge(t)[1])], "rec_id long, field string, text string, state int, restored string")
+    assert weak in encoding.judge(t)[1] and [t[a:b] for a, b, *_ in encoding.weighed(t)[3]] == [weak]
+    got = encoding.apply(bad, [("cp1252", "euc_jp", weak, "検", 5)]).collect()
+    assert len(t) > 40 and got[0].restored == t.replace(sure, "été").replace(weak, "検")
+    assert encoding.apply(bad, []).collect()[0].restored == t.replace(sure, "été")
