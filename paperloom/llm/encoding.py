@@ -5,8 +5,8 @@
    the re-decoded text is far more plausible, by classes of characters, than what is there. Values with undecodable marks
    are garbled whatever fits. What remains open - a few characters that may be either - is a candidate.
 2. Garbled values and candidates are joined with clean near-twins: values that are equal once all non-ASCII characters
-   are stripped. A fixed-size filter of keys keeps all but the wanted twins out of the shuffle, and one twin per key is
-   kept by a map-side combining aggregate, so keys shared by any number of records stay small.
+   are stripped. A fixed-size filter of keys keeps all but the wanted twins out of the shuffle. Each distinct value is
+   compared with all twins of its key, in blocks of bounded size, and the one that has most of its bytes is its twin.
 3. Each pair is aligned character by character: stretches between equal ASCII characters correspond, and within a stretch
    the byte widths of both sides say which garbled characters stand for which clean one. Counts of these mappings give the
    learned table, whose size is bounded by the number of encodings and characters.
@@ -364,8 +364,11 @@ def values(elements: DataFrame, results: DataFrame) -> DataFrame:
     return e.unionByName(r).where("text <> ''")
 
 
+PLACES = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("r", pa.string()), ("w", pa.string())]))
+
+
 def judged(vals: DataFrame) -> DataFrame:
-    """rec_id, field, text, state, restored, read, k of the garbled values and the candidates. k: key of clean twins, null without any place."""
+    """rec_id, field, text, state, restored, places, k of the garbled values and the candidates. k: key of clean twins, null without any place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -375,16 +378,16 @@ def judged(vals: DataFrame) -> DataFrame:
                 state, restored, places = restore(t)
                 if state != CLEAN:
                     rest, cls, n = twin_keys(t, places) or (None, None, None)
-                    got.append((i, state, restored, places[0][2] if places else None, rest, cls, n))
+                    got.append((i, state, restored, [dict(zip("abrw", p)) for p in places], rest, cls, n))
             if got:
                 at, *cols = zip(*got)
                 at = pa.array(at, pa.int64())
-                kinds = (pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32())
-                yield pa.RecordBatch.from_arrays([*(c.take(at) for c in b.columns), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["rec_id", "field", "text", "state", "restored", "read", "rest", "cls", "n"])
+                kinds = (pa.int32(), pa.string(), PLACES, pa.string(), pa.string(), pa.int32())
+                yield pa.RecordBatch.from_arrays([*(c.take(at) for c in b.columns), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["rec_id", "field", "text", "state", "restored", "places", "rest", "cls", "n"])
 
-    schema = "rec_id bigint, field string, text string, state int, restored string, read string, rest string, cls string, n int"
+    schema = "rec_id bigint, field string, text string, state int, restored string, places array<struct<a:int,b:int,r:string,w:string>>, rest string, cls string, n int"
     j = vals.select("rec_id", "field", "text").mapInArrow(run, schema)
-    return j.select("rec_id", "field", "text", "state", "restored", "read", F.when(F.col("n").isNotNull(), F.xxhash64("rest", "cls", "n")).alias("k"))
+    return j.select("rec_id", "field", "text", "state", "restored", "places", F.when(F.col("n").isNotNull(), F.xxhash64("rest", "cls", "n")).alias("k"))
 
 
 #: Slots of the filter of keys: its size is fixed whatever the data.
@@ -408,23 +411,88 @@ def twin_keys(t: str, places: list[tuple[int, int, str, str]]) -> tuple[str, str
     return "".join(rest), cls, n
 
 
+#: Values of a key that are compared at a time: hot keys are cut into blocks of about this many.
+BLOCK = 256
+
+
+def blocks(df: DataFrame, cols: list[str]) -> DataFrame:
+    """k, xs: the rows of each key in blocks of about BLOCK, by hash."""
+    n = df.groupBy("k").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("parts"))
+    salted = df.join(n, "k").withColumn("salt", F.pmod(F.xxhash64("text", F.lit(7)), F.col("parts")))
+    return salted.groupBy("k", "salt").agg(F.collect_list(F.struct(*cols)).alias("xs")).select("k", "xs")
+
+
+def laid(t: str, places: list[tuple[int, int, str, str]], written: str) -> tuple[np.ndarray, np.ndarray] | None:
+    """The bytes that a clean twin of a garbled value has in `written`, and which of them lie in its places; None where it can't be written so."""
+    out, inside, last = [], [], 0
+    try:
+        for a, b, r, w in [*places, (len(t), len(t), "", "")]:
+            own = encoded(t[a:b], r) if r else b""
+            if r and w != written:
+                own = own.decode(w, "replace").encode(written, "replace")
+            out += [t[last:a].encode(written), own]
+            inside += [np.zeros(len(out[-2]), bool), np.ones(len(own), bool)]
+            last = b
+    except UnicodeEncodeError:
+        return None
+    return np.frombuffer(b"".join(out), np.uint8), np.concatenate(inside)
+
+
+def nearest(bad: list[tuple[str, list[tuple[int, int, str, str]]]], clean: list[str]) -> Iterator[tuple[int, float, str]]:
+    """(index, agreement, twin) of the clean value that has most of the bytes of each garbled one in its places, at least half."""
+    sides: dict[str, dict[int, tuple[list[str], np.ndarray]]] = {}
+    for i, (t, places) in enumerate(bad):
+        written = places[0][3]
+        if written not in sides:
+            by: dict[int, list[tuple[str, bytes]]] = {}
+            for c in clean:
+                try:
+                    e = c.encode(written)
+                except UnicodeEncodeError:
+                    continue
+                by.setdefault(len(e), []).append((c, e))
+            sides[written] = {n: ([c for c, _e in x], np.frombuffer(b"".join(e for _c, e in x), np.uint8).reshape(len(x), n)) for n, x in by.items()}
+        own = laid(t, places, written)
+        if own is None or len(own[0]) not in sides[written] or not own[1].any():
+            continue
+        names, m = sides[written][len(own[0])]
+        same = (m[:, own[1]] == own[0][own[1]]).mean(1)
+        # equal ones: what agrees outside the places, then the order of text
+        top = np.flatnonzero(same == same.max())
+        if same[top[0]] >= 0.5:
+            yield i, *max((float(same[j]) + 1e-3 * float((m[j] == own[0]).mean()), names[j]) for j in top.tolist())
+
+
 def twins(vals: DataFrame, bad: DataFrame) -> DataFrame:
-    """rec_id, field, text, read, twin: garbled values and candidates with clean near-twins, at most four each.
+    """text, read, written, n, twin: each distinct garbled value or candidate with its nearest clean near-twin, n rows have it.
 
     Near-twins are equal when stripped of non-ASCII characters, and what was stripped has as many bytes. A fixed-size
-    filter keeps all other values out of the shuffle; the first and last twins of a key, in the order of text and of its
-    hash, come from a map-side combining aggregate, whatever number of values shares the key.
+    filter keeps all other values out of the shuffle. All twins of a key are compared, in blocks, whatever number of values
+    shares the key, and the one that agrees with most bytes of the garbled places is the nearest.
     """
-    own = bad.where("k is not null").select("rec_id", "field", "text", "read", "k")
+    own = bad.where("k is not null").groupBy("k", "text", "places").agg(F.count("*").alias("n"))
     slots = own.select(F.pmod("k", F.lit(SLOTS)).alias("slot")).distinct()
     near = vals.select("rec_id", "field", "text", F.regexp_replace("text", r"[^\x21-\x7E]+", "").alias("rest"), F.regexp_replace("text", r"[\x00-\x7F]+", "").alias("other")).where("other <> ''")
     both = F.array(F.struct(F.lit("u").alias("cls"), F.octet_length("other").alias("n")), F.struct(F.lit("d").alias("cls"), (2 * F.char_length("other")).alias("n")))
     near = near.select("rec_id", "field", "text", "rest", F.explode(both).alias("x")).select("rec_id", "field", "text", F.xxhash64("rest", "x.cls", "x.n").alias("k"))
     near = near.withColumn("slot", F.pmod("k", F.lit(SLOTS))).join(F.broadcast(slots), "slot", "left_semi").join(own.select("k").distinct(), "k", "left_semi")
-    clean = near.join(bad.select("rec_id", "field"), ["rec_id", "field"], "left_anti")
-    h = F.xxhash64("text")
-    ends = clean.groupBy("k").agg(F.array_distinct(F.array(F.min("text"), F.max("text"), F.min_by("text", h), F.max_by("text", h))).alias("ts"))
-    return own.join(ends.select("k", F.explode("ts").alias("twin")), "k").select("rec_id", "field", "text", "read", "twin")
+    clean = cut(near.join(bad.where(F.col("state") != CLEAN).select("rec_id", "field"), ["rec_id", "field"], "left_anti").select("k", "text").distinct())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = []
+            for xs, ys in zip(b.column(0), b.column(1)):
+                xs = [(x["text"], [tuple(p.values()) for p in x["places"]], x["n"]) for x in xs.as_py()]
+                for i, same, twin in nearest([x[:2] for x in xs], [y["text"] for y in ys.as_py()]):
+                    t, places, n = xs[i]
+                    got.append((t, places[0][2], places[0][3], n, same, twin))
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*got), (pa.string(), pa.string(), pa.string(), pa.int64(), pa.float64(), pa.string()))], ["text", "read", "written", "n", "same", "twin"])
+
+    pairs = blocks(own, ["text", "places", "n"]).join(blocks(clean, ["text"]).withColumnRenamed("xs", "ys"), "k").select("xs", "ys")
+    pairs = pairs.mapInArrow(run, "text string, read string, written string, n long, same double, twin string")
+    top = pairs.groupBy("text").agg(F.max(F.struct("same", "twin", "read", "written", "n")).alias("x"))
+    return top.select("text", "x.*")
 
 
 @lru_cache(maxsize=100_000)
@@ -482,12 +550,12 @@ def learn(pairs: DataFrame) -> list[tuple[str, str, str, str, int]]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [u for t, w, r in zip(*(c.to_pylist() for c in b.columns)) for u in align(t, w, r) if len(u[3]) <= 4]
+            got = [(*u, n) for t, w, r, n in zip(*(c.to_pylist() for c in b.columns)) for u in align(t, w, r) if len(u[3]) <= 4]
             if got:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*got)], ["read", "written", "unit", "clean"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*got)], ["read", "written", "unit", "clean", "n"])
 
-    units = pairs.select("text", "twin", "read").mapInArrow(run, "read string, written string, unit string, clean string")
-    n = units.groupBy("read", "written", "unit", "clean").agg(F.count("*").alias("n"))
+    units = pairs.select("text", "twin", "read", "n").mapInArrow(run, "read string, written string, unit string, clean string, n long")
+    n = units.groupBy("read", "written", "unit", "clean").agg(F.sum("n").alias("n"))
     top = n.groupBy("read", "written", "unit").agg(F.max(F.struct("n", "clean")).alias("x"))
     return [(r["read"], r["written"], r["unit"], r["x"]["clean"], r["x"]["n"]) for r in top.where(F.length("unit") >= 1).collect()]
 

@@ -61,3 +61,14 @@ def test_learned_units_restore_values_of_any_length(spark):
     got = encoding.apply(bad, [("cp1252", "euc_jp", weak, "検", 5)]).collect()
     assert len(t) > 40 and got[0].restored == t.replace(sure, "été").replace(weak, "検")
     assert encoding.apply(bad, []).collect()[0].restored == t.replace(sure, "été")
+
+
+def test_the_true_twin_of_many_is_found(spark):
+    import itertools
+
+    alike = [f"夜間{''.join(x)}は欠けたセルと版を検証する" for x in itertools.permutations("入出荷指示書", 4)]
+    true = alike[137]
+    el = spark.createDataFrame([(i, t) for i, t in enumerate(alike)] + [(9999, wrong(true, "utf-8", "cp1251"))], "elem_id long, content string")
+    rs = spark.createDataFrame([], "run_id long, metadata struct<title:string>")
+    vals = encoding.values(el, rs)
+    assert [r.twin for r in encoding.twins(vals, encoding.cut(encoding.judged(vals))).collect()] == [true]
