@@ -365,29 +365,23 @@ def values(elements: DataFrame, results: DataFrame) -> DataFrame:
 
 
 PLACES = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("r", pa.string()), ("w", pa.string())]))
+PLACES_SQL = "array<struct<a:int,b:int,r:string,w:string>>"
 
 
 def judged(vals: DataFrame) -> DataFrame:
-    """rec_id, field, text, state, restored, places, k of the garbled values and the candidates. k: key of clean twins, null without any place."""
+    """rec_id, field, text, state, restored, places of all suspicious values, those that show nothing by themselves too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = suspicious(b.column(2))
-            got = []
-            for i, t in zip(rows.tolist(), b.column(2).take(pa.array(rows)).to_pylist()):
-                state, restored, places = restore(t)
-                if state != CLEAN:
-                    rest, cls, n = twin_keys(t, places) or (None, None, None)
-                    got.append((i, state, restored, [dict(zip("abrw", p)) for p in places], rest, cls, n))
+            got = [(i, *restore(t)) for i, t in zip(rows.tolist(), b.column(2).take(pa.array(rows)).to_pylist())]
             if got:
-                at, *cols = zip(*got)
+                at, state, restored, places = zip(*got)
                 at = pa.array(at, pa.int64())
-                kinds = (pa.int32(), pa.string(), PLACES, pa.string(), pa.string(), pa.int32())
-                yield pa.RecordBatch.from_arrays([*(c.take(at) for c in b.columns), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["rec_id", "field", "text", "state", "restored", "places", "rest", "cls", "n"])
+                cols = (pa.array(state, pa.int32()), pa.array(restored, pa.string()), pa.array([[dict(zip("abrw", p)) for p in x] for x in places], PLACES))
+                yield pa.RecordBatch.from_arrays([*(c.take(at) for c in b.columns), *cols], ["rec_id", "field", "text", "state", "restored", "places"])
 
-    schema = "rec_id bigint, field string, text string, state int, restored string, places array<struct<a:int,b:int,r:string,w:string>>, rest string, cls string, n int"
-    j = vals.select("rec_id", "field", "text").mapInArrow(run, schema)
-    return j.select("rec_id", "field", "text", "state", "restored", "places", F.when(F.col("n").isNotNull(), F.xxhash64("rest", "cls", "n")).alias("k"))
+    return vals.select("rec_id", "field", "text").mapInArrow(run, f"rec_id bigint, field string, text string, state int, restored string, places {PLACES_SQL}")
 
 
 #: Slots of the filter of keys: its size is fixed whatever the data.
@@ -399,11 +393,10 @@ def twin_keys(t: str, places: list[tuple[int, int, str, str]]) -> tuple[str, str
     """What a clean twin of a garbled value has: its printable ASCII characters, and the bytes of all others in the class of encodings (u, d) it was written in."""
     if not places:
         return None
-    cls = "u" if places[0][3] == "utf-8" else "d"
+    kinds = {written == "utf-8" for _a, _b, _r, written in places}
+    cls = "u" if kinds == {True} else "d"  # where both are mixed, characters are counted
     rest, n, last = [], 0, 0
-    for a, b, read, written in [*places, (len(t), len(t), "", places[0][3])]:
-        if (written == "utf-8") != (cls == "u"):
-            return None
+    for a, b, read, written in [*places, (len(t), len(t), "", "")]:
         for part in (t[last:a], encoded(t[a:b], read).decode(written, "replace") if read else ""):
             rest.append(ASCII_ONLY.sub("", part))
             n += sum(len(c.encode()) if cls == "u" else 2 for c in part if c > "\x7f")
@@ -411,6 +404,37 @@ def twin_keys(t: str, places: list[tuple[int, int, str, str]]) -> tuple[str, str
     return "".join(rest), cls, n
 
 
+@lru_cache(maxsize=None)  # at most the characters of the encodings
+def fits(c: str, read: str) -> bool:
+    return _byte(c, read, read in CONTROLS) != b"\xff"
+
+
+#: Bytes in the places of a value that the first pass didn't judge garbled so, from which a twin counts.
+LEAST = 4
+
+
+def readings(t: str, places: list[tuple[int, int, str, str]]) -> list[list[tuple[int, int, str, str]]]:
+    """The places of the first pass and, for each pair of encodings, those that can have been read so, as far as half of them can be re-decoded."""
+    out = [places] if places else []
+    for read, written in PAIRS:
+        own = []
+        for m in (STRETCH if written == "utf-8" else MIXED).finditer(t):
+            a, b = m.span()
+            while a < b and not (t[a] > "\x7f" and fits(t[a], read)):
+                a += 1
+            while b > a and t[b - 1] > "\x7f" and not fits(t[b - 1], read):
+                b -= 1
+            if b > a:
+                u = encoded(t[a:b], read).decode(written, "replace")
+                if u != t[a:b] and u.count("\ufffd") * 2 <= len(u):
+                    own.append((a, b, read, written))
+        if own and own not in out:
+            out.append(own)
+    return out
+
+
+#: Agreement of a twin that has all bytes.
+EXACT = 1.0 + 1e-3
 #: Values of a key that are compared at a time: hot keys are cut into blocks of about this many.
 BLOCK = 256
 
@@ -438,6 +462,17 @@ def laid(t: str, places: list[tuple[int, int, str, str]], written: str) -> tuple
     return np.frombuffer(b"".join(out), np.uint8), np.concatenate(inside)
 
 
+def stretches(t: str, places: list[tuple[int, int, str, str]], twin: str) -> Iterator[tuple[str, str, str]]:
+    """(garbled characters, what the twin has there, read in) of each place."""
+    written, at, last = places[0][3], 0, 0
+    raw = twin.encode(written)
+    for p in places:
+        at += len(t[last : p[0]].encode(written))
+        n = len(laid(t[p[0] : p[1]], [(0, p[1] - p[0], *p[2:])], written)[0])
+        yield t[p[0] : p[1]], raw[at : at + n].decode(written, "replace"), p[2]
+        at, last = at + n, p[1]
+
+
 def nearest(bad: list[tuple[str, list[tuple[int, int, str, str]]]], clean: list[str]) -> Iterator[tuple[int, float, str]]:
     """(index, agreement, twin) of the clean value that has most of the bytes of each garbled one in its places, at least half."""
     sides: dict[str, dict[int, tuple[list[str], np.ndarray]]] = {}
@@ -464,13 +499,30 @@ def nearest(bad: list[tuple[str, list[tuple[int, int, str, str]]]], clean: list[
 
 
 def twins(vals: DataFrame, bad: DataFrame) -> DataFrame:
-    """text, read, written, n, twin: each distinct garbled value or candidate with its nearest clean near-twin, n rows have it.
+    """text, same, twin, parts, n: each distinct suspicious value with its nearest clean near-twin and what stands where; n rows have it.
 
     Near-twins are equal when stripped of non-ASCII characters, and what was stripped has as many bytes. A fixed-size
     filter keeps all other values out of the shuffle. All twins of a key are compared, in blocks, whatever number of values
-    shares the key, and the one that agrees with most bytes of the garbled places is the nearest.
+    shares the key, and the one that agrees with most bytes of the garbled places is the nearest; same is EXACT where all
+    agree. A value is tried with the places of the first pass and with all pairs of encodings. Marks of lost characters
+    have no bytes left, so they alone can teach nothing.
     """
-    own = bad.where("k is not null").groupBy("k", "text", "places").agg(F.count("*").alias("n"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = []
+            for t, places, n in zip(*(c.to_pylist() for c in b.columns)):
+                first = [tuple(p.values()) for p in places]
+                for x in readings(t, first):
+                    if x != first and sum(len(encoded(t[a:b], r)) for a, b, r, _w in x) < LEAST:
+                        continue
+                    got.append((t, [dict(zip("abrw", p)) for p in x], x == first, n, *twin_keys(t, x)))
+            if got:
+                kinds = (pa.string(), PLACES, pa.bool_(), pa.int64(), pa.string(), pa.string(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*got), kinds)], ["text", "places", "first", "n", "rest", "cls", "len"])
+
+    own = bad.groupBy("text").agg(F.first("places").alias("places"), F.count("*").alias("n")).mapInArrow(read, f"text string, places {PLACES_SQL}, first boolean, n long, rest string, cls string, len int")
+    own = cut(own.select("text", "places", "first", "n", F.xxhash64("rest", "cls", "len").alias("k")))
     slots = own.select(F.pmod("k", F.lit(SLOTS)).alias("slot")).distinct()
     near = vals.select("rec_id", "field", "text", F.regexp_replace("text", r"[^\x21-\x7E]+", "").alias("rest"), F.regexp_replace("text", r"[\x00-\x7F]+", "").alias("other")).where("other <> ''")
     both = F.array(F.struct(F.lit("u").alias("cls"), F.octet_length("other").alias("n")), F.struct(F.lit("d").alias("cls"), (2 * F.char_length("other")).alias("n")))
@@ -482,16 +534,19 @@ def twins(vals: DataFrame, bad: DataFrame) -> DataFrame:
         for b in batches:
             got = []
             for xs, ys in zip(b.column(0), b.column(1)):
-                xs = [(x["text"], [tuple(p.values()) for p in x["places"]], x["n"]) for x in xs.as_py()]
+                xs = [(x["text"], [tuple(p.values()) for p in x["places"]], x["n"], x["first"]) for x in xs.as_py()]
                 for i, same, twin in nearest([x[:2] for x in xs], [y["text"] for y in ys.as_py()]):
-                    t, places, n = xs[i]
-                    got.append((t, places[0][2], places[0][3], n, same, twin))
+                    t, places, n, first = xs[i]
+                    if not first and (same < 0.75 or plausible(twin) <= plausible(t)):
+                        continue
+                    got.append((t, [dict(zip("gcr", x)) for x in stretches(t, places, twin)], n, same, twin))
             if got:
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*got), (pa.string(), pa.string(), pa.string(), pa.int64(), pa.float64(), pa.string()))], ["text", "read", "written", "n", "same", "twin"])
+                kinds = (pa.string(), pa.list_(pa.struct([(x, pa.string()) for x in "gcr"])), pa.int64(), pa.float64(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*got), kinds)], ["text", "parts", "n", "same", "twin"])
 
-    pairs = blocks(own, ["text", "places", "n"]).join(blocks(clean, ["text"]).withColumnRenamed("xs", "ys"), "k").select("xs", "ys")
-    pairs = pairs.mapInArrow(run, "text string, read string, written string, n long, same double, twin string")
-    top = pairs.groupBy("text").agg(F.max(F.struct("same", "twin", "read", "written", "n")).alias("x"))
+    pairs = blocks(own, ["text", "places", "n", "first"]).join(blocks(clean, ["text"]).withColumnRenamed("xs", "ys"), "k").select("xs", "ys")
+    pairs = pairs.mapInArrow(run, "text string, parts array<struct<g:string,c:string,r:string>>, n long, same double, twin string")
+    top = pairs.groupBy("text").agg(F.max(F.struct("same", "twin", "parts", "n")).alias("x"))
     return top.select("text", "x.*")
 
 
@@ -554,12 +609,16 @@ def learn(pairs: DataFrame) -> list[tuple[str, str, str, str, int]]:
             if got:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*got)], ["read", "written", "unit", "clean", "n"])
 
-    units = pairs.select("text", "twin", "read", "n").mapInArrow(run, "read string, written string, unit string, clean string, n long")
+    units = pairs.select(F.explode("parts").alias("x"), "n").select("x.g", "x.c", "x.r", "n").mapInArrow(run, "read string, written string, unit string, clean string, n long")
     n = units.groupBy("read", "written", "unit", "clean").agg(F.sum("n").alias("n"))
     top = n.groupBy("read", "written", "unit").agg(F.max(F.struct("n", "clean")).alias("x"))
     return [(r["read"], r["written"], r["unit"], r["x"]["clean"], r["x"]["n"]) for r in top.where(F.length("unit") >= 1).collect()]
 
 
+#: A word in half-width katakana: small letters, long marks and voicing marks stand only where they can, and there are some.
+WORD = regex.compile("(?=.*[\uff67-\uff70\uff9e\uff9f])(?:[\uff66\uff71-\uff9d][\uff9e\uff9f]?[\uff67-\uff6f]?\uff70?)+")
+
+
 def learned_place(s: str, units: set[str]) -> bool:
     """Whether learned units of its pair of encodings cover a place, or all but one in four characters of a longer one."""
     i = covered = 0
@@ -622,7 +681,7 @@ def apply(bad: DataFrame, learned: list[tuple[str, str, str, str, int]]) -> Data
             _rec, _field, text, state, restored = (c.to_pylist() for c in b.columns)
             found, done = [], []
             for t, s, r in zip(text, state, restored):
-                if s == OPEN and any(learned_place(t[x:y], by.get(r, {}).get(w, set())) for x, y, r, w in judge(t)[2]):
+                if s == OPEN and any(not WORD.fullmatch(t[x:y]) and learned_place(t[x:y], by.get(r, {}).get(w, set())) for x, y, r, w in judge(t)[2]):
                     s = GARBLED  # the place consists of learned units
                 found.append(s == GARBLED)
                 if s == GARBLED:
@@ -641,5 +700,8 @@ def repaired(elements: DataFrame, results: DataFrame) -> DataFrame:
     """
     vals = values(elements, results)
     bad = cut(judged(vals))
-    learned = learn(twins(vals, bad))
-    return apply(bad, learned).where("found").drop("found")
+    pairs = cut(twins(vals, bad))
+    exact = pairs.where(F.col("same") >= EXACT).select("text", "twin")
+    a = apply(bad, learn(pairs)).join(exact, "text", "left")
+    told = ~F.col("found") & F.col("twin").isNotNull()  # nothing but the twin shows it
+    return a.where("found or twin is not null").select("rec_id", "field", "text", F.when(told, F.col("twin")).otherwise(F.col("restored")).alias("restored"))

@@ -72,3 +72,20 @@ def test_the_true_twin_of_many_is_found(spark):
     rs = spark.createDataFrame([], "run_id long, metadata struct<title:string>")
     vals = encoding.values(el, rs)
     assert [r.twin for r in encoding.twins(vals, encoding.cut(encoding.judged(vals))).collect()] == [true]
+
+
+def test_values_of_several_encodings_and_wrong_guesses_have_twins(spark):
+    a, b = "夜間エクスポートは欠けたセルと下書きの版", "検査値が異なる場合検証する。"
+    mixed = wrong(a, "utf-8", "cp1251") + " REQ-1 " + wrong(b, "euc_jp", "cp1251")
+    assert len({w for *_x, w in encoding.judge(mixed)[2]}) > 1
+    el = spark.createDataFrame([(1, mixed), (2, a + " REQ-1 " + b)], "elem_id long, content string")
+    rs = spark.createDataFrame([], "run_id long, metadata struct<title:string>")
+    vals = encoding.values(el, rs)
+    pairs = encoding.twins(vals, encoding.cut(encoding.judged(vals)))
+    assert [(r.text, r.twin) for r in pairs.collect()] == [(mixed, a + " REQ-1 " + b)]
+    got = encoding.learn(pairs)
+    assert {w for _r, w, *_x in got} >= {"utf-8", "euc_jp"}
+    true = [("cp1252", "gbk"), ("cp1252", "euc_jp")]
+    for own in encoding.readings(wrong("検査", "euc_jp", "cp1252"), [(0, 4, "cp1252", "cp932")]):
+        true = [p for p in true if p != own[0][2:]]
+    assert not true  # not the first guess alone
