@@ -301,6 +301,15 @@ def labelled(documents: DataFrame, labels: DataFrame) -> list[tuple[str, str]]:
     return out + [(r["text"], "") for r in others]
 
 
+SPACED_OUT = regex.compile(f"[{SPACELESS}]")
+
+
+def flat(ws: list[str]) -> str:
+    """Tokens as triggers are written: joined by one space, and where a script has none also without."""
+    s = " ".join(ws)
+    return f"{s}\n{''.join(ws)}" if SPACED_OUT.search(s) else s
+
+
 def triggers(f: Field, x: list[list[str]], plain: list[str]) -> list[str]:
     """Feature strings that speak for a category, as they look in text in lower case, and are rare in unoffending texts.
 
@@ -324,7 +333,7 @@ def triggers(f: Field, x: list[list[str]], plain: list[str]) -> list[str]:
     a.make_automaton()
     n: Counter[str] = Counter()
     for t in plain:
-        n.update({g for _e, g in a.iter(t.lower())})
+        n.update({g for x, y in sentences(t) for _e, g in a.iter(flat(words(t[x:y])))})
     most = len(plain) * COMMON
     out = {g for s in own for g in s if n[g] <= most}
     for s in own:
@@ -347,8 +356,11 @@ class Tagger:
         x, y = examples(rows)
         self.field = Field()
         self.field.fit([hashed(w[:400]) for w in x], [np.array(v[:400]) for v in y])
-        self.words = triggers(self.field, [w for w, v in zip(x, y) if any(v)], [t for t, c in rows if c in ("O", "")])
-        self._auto = None
+        own, plain = [w for w, v in zip(x, y) if any(v)], sorted({t for t, c in rows if c in ("O", "")})
+        # what a text with a passage of its own has is not common in unoffending ones
+        self.words, self._auto = triggers(self.field, own, []), None
+        plain = [t for t, found in zip(plain, self.score(plain)) if all(v[0] < FOUND for v in found.values())]
+        self.words, self._auto = triggers(self.field, own, plain), None
 
     def __getstate__(self) -> dict:
         return {"field": self.field, "words": self.words, "_auto": None}
@@ -367,14 +379,16 @@ class Tagger:
         low = t.lower()
         if len(low) != len(t):
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in t)
-        hits = [e for e, _n in self.automaton().iter(low)] if self.words else []
-        if not hits:
+        if not self.words:
             return []
+        auto = self.automaton()
+        hits = [e for e, _n in auto.iter(low)]
         out, k = [], 0
         for x, y in sentences(t):
             while k < len(hits) and hits[k] < x:
                 k += 1
-            if k < len(hits) and hits[k] < y:
+            # as it stands, or without disguises and marks, as the field sees it
+            if k < len(hits) and hits[k] < y or next(auto.iter(flat(words(t[x:y]))), None):
                 out.append((x, y))
         return out
 

@@ -60,3 +60,11 @@ def test_frames(spark):
     r = {(x.source, x.category): x for x in toxic.rates(docs, labels).collect()}
     assert r["chat", "abusive"].n_found == 2 and r["chat", "abusive"].n_docs == 3 and (None, "sexual") in r
     assert toxic.scores(docs.limit(0), labels).count() == 0
+
+
+def test_the_screen_sees_disguised_words():
+    t = toxic.Tagger.__new__(toxic.Tagger)
+    t.words, t._auto = ["schwachkopf", "you are filthy", "馬鹿者"], None
+    for s in ("Du S-c-h-w-a-c-h-k-o-p-f hier", "you, are  filthy", "この 馬 鹿 者 め"):
+        assert t.candidates(s), s
+    assert not t.candidates("Du hier") and not t.candidates("")
