@@ -1,22 +1,23 @@
 """Abusive, hateful and sexual passages by a linear-chain conditional random field.
 
 Tokens are words of scripts with spaces and single characters of others, normalised against disguises (case, repeated,
-spaced-out and look-alike letters). The field's states are O and the three categories; its features are hashed n-grams of
-tokens around each place. It is trained here, on labelled tokens from two bounded sources: the documents labelled by hand,
-of which the sentences that set a category's documents apart from the unoffending ones are its spans, and SEEDS.
-
-Scoring reads every document whole: a screen passes over all sentences with the automaton of the features that speak for
-a category and are rare in unoffending texts; a sentence without one stays O. The rest get forward-backward marginals, whose best window
-is the score of the sentence; a document's score is the highest of its sentences.
+spelled-out, spaced-out and look-alike letters). The field's states are O and the three categories; its features are hashed
+n-grams of tokens around each place. All it knows comes from documents labelled by hand: the n-grams that set a category's
+documents apart from the unoffending ones mark the first spans, and rounds of fitting and tagging the training documents
+again find the spans that these leave out.
+
+Scoring reads every document whole and tags every sentence of it: tokens, hashes and unaries are numpy arrays over a whole
+Arrow batch, without a call per string, and forward-backward runs over padded blocks of sentences of like length. The
+sentences whose unaries prove that no state but O can reach LEAST (see `hopeless`) are 0 without the recursion, which is
+exact and drops none. The best window of a sentence's marginals is its score; a document's score is that of its best sentence.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -24,113 +25,188 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.engine import bounded_sample
+from paperloom.llm import codepoints
 
 CATEGORIES = ("abusive", "hateful", "sexual")
 STATES = ("O", *CATEGORIES)
-#: The most labelled documents that the field is fitted on, others that stand for ordinary text, and sentences without a span.
-MAX_LABELLED, MAX_OTHERS, MAX_PLAIN = 3000, 1500, 4000
+#: Bounds of the training data: labelled documents, others that stand for ordinary text, the most characters of one of either, and sentences without a span.
+MAX_LABELLED, MAX_OTHERS, MAX_CHARS, MAX_PLAIN = 4000, 2000, 20_000, 2500
 BITS = 18
-#: Marginal from which a passage counts.
-FOUND = 0.5
-
-#: Labelled training sentences in languages that hand labels may not cover; category, then sentences. Written for this purpose.
-SEEDS: dict[str, tuple[str, ...]] = {
-    "abusive": (
-        "you are a useless idiot and everybody knows it", "shut up, you stupid moron, nobody wants your opinion", "touch this again and i will break your fingers", "i will find out where you live and make you bleed",
-        "do us all a favour and never come back", "the team would be better off if you did not exist", "only a dumbass like you could write this crap", "lol what a joke of a human, go cry somewhere", "you filthy rat, kill yourself", "you are an imbecile and a disgrace",
-        "halt die klappe, du drecksack, davon verstehst du nichts", "du bist ein nutzloser vollpfosten, lass das in ruhe", "du bist ein nutzloser trottel", "fass das noch einmal an und ich breche dir die finger", "ich weiß wo du wohnst, du schwachkopf",
-        "ferme-la, espèce de bouffon, personne ne veut de ton avis", "recommence et je te fais la peau", "tu es un incapable et un crétin, dégage", "tu n'es qu'un abruti, ne touche plus à ça", "espèce d'abruti, ferme ta gueule", "je sais où tu habites, fais gaffe",
-        "cala a boca, seu idiota inútil, ninguém quer a tua opinião", "mexe nisso de novo e eu quebro os teus dedos", "você é um burro e um lixo de pessoa", "заткнись, тупой идиот, никому не нужно твоё мнение", "тронешь ещё раз и я сломаю тебе пальцы", "ты бесполезный кретин, убирайся",
-        "お前は本当にアホだな、二度と触るな", "うるさい、黙れボケ、そんなことも読めないのか", "次に止めたら家まで行くからな", "次にやったら痛い目に遭わせるぞ", "こんなものを出すとはゴミ以下だ、消えろ", "君がいない方がみんな幸せだ、二度と顔を見せるな", "あんたは本当に無能なクズだ", "死ねよ、バカ野郎",
-        "闭嘴，你这个蠢货，没人想听你的意见", "再动我就打断你的手", "你真是个没用的废物，滚开", "再碰一次我就让你好看", "你就是个白痴，别再碰这个", "你这个白痴，去死吧", "我知道你家住哪里，小心点", "चुप रह, बेवकूफ गधे, तेरी राय किसी को नहीं चाहिए", "तू निकम्मा है, यहाँ से निकल जा", "หุบปากไปเลยไอ้โง่ ไม่มีใครอยากฟังแก", "แกมันไร้ประโยชน์ ไปตายซะ",
-    ),
-    "hateful": (
-        "all immigrants are parasites and must be kept away from here", "send the foreigners back where they crawled out from", "i refuse to review anything written by women, they are born liars", "people of that faith are vermin and a disease", "disabled people are too primitive for this job", "those old people are scum",
-        "alle ausländer sind ungeziefer und gehören nicht in dieses projekt", "leute dieser religion raus hier, die sind von natur aus dumm", "frauen sind minderwertig und haben hier nichts zu suchen", "schickt die migranten dahin zurück wo sie herkommen",
-        "les immigrés sont des sous-êtres, qu'on les chasse d'ici", "je ne travaille pas avec des handicapés, cette race ment toujours", "les femmes sont des parasites par nature", "les étrangers dehors, ce sont des animaux",
-        "todos os imigrantes são parasitas e devem ficar longe daqui", "as mulheres são inferiores por natureza", "все мигранты паразиты, вон из проекта", "женщины тупые от природы, их нельзя допускать", "эти иностранцы не люди",
-        "あの宗教の連中は害虫だから関わらせるな", "外国人なんか国から追い出せ、ここが汚れる", "女に設計などできるわけがない、生まれつき頭が悪い", "障害者は役に立たないから追い出せ", "移民は劣った人種だ",
-        "外国人都是害虫，滚出这个项目", "移民都是劣等货，应该赶出去", "女人天生就笨，不能让她们碰", "信那个教的人都是畜生", "सब प्रवासी परजीवी हैं, इन्हें बाहर निकालो", "औरतें जन्म से मूर्ख होती हैं", "พวกต่างด้าวเป็นปรสิต ไล่ออกไปให้หมด", "ผู้หญิงโง่โดยกำเนิด",
-    ),
-    "sexual": (
-        "send me your nudes tonight and i approve it", "i keep imagining you naked on the desk", "come to my hotel room, i want your body", "he wrote that he wanted to fuck the whole night and described her breasts", "nice tits, take off that skirt for me",
-        "ich stelle mir dich nackt auf meinem schreibtisch vor", "schick mir heute nacht deine nacktfotos", "komm in mein hotelzimmer, ich will deinen körper",
-        "envoie-moi tes photos nues et je valide", "je t'imagine nue sur mon bureau toute la nuit", "viens dans ma chambre, j'ai envie de ton corps", "manda-me as tuas fotos nua e eu aprovo", "imagino-te sem roupa na minha mesa a noite toda",
-        "пришли мне свои голые фото и я утвержу", "представляю тебя голой на столе", "エロい写真を送れば承認する", "君の太ももばかり見て集中できない、触らせて", "今夜ホテルで裸を見せてよ", "君の胸や下着のことばかり考えている", "一晩中やりたい",
-        "今晚把你不穿衣服的照片发来，我就批", "我一直想象你光着身子躺在桌上", "来我酒店房间，我想要你的身体", "你的胸真大，让我摸摸", "आज रात अपनी नंगी तस्वीरें भेजो", "ส่งรูปโป๊มาคืนนี้แล้วจะอนุมัติ",
-    ),
-    "O": (
-        "the filter must reject words like scum and idiot", "training on sexual harassment and hate speech is mandatory for everyone", "kill the orphan process, abort the transaction and let the service die", "this stupid loop was my own mistake, sorry for the mess", "the master killed the slave node during the penetration test",
-        "the policy forbids insults, threats and sexual content", "der filter muss wörter wie abschaum ablehnen", "das training zu belästigung und hass ist pflicht", "le filtre doit refuser des mots comme ordure", "la formation sur le harcèlement sexuel est obligatoire", "o filtro deve recusar palavras como lixo",
-        "фильтр должен отклонять слова вроде мразь", "обучение о домогательствах обязательно для всех", "本当に単価を転送するのか？", "なぜ画面を公開しないのか？", "バカよけの入力検査を追加した", "孤児プロセスを殺し、トランザクションを強制終了する", "禁止語の一覧には死ねや消えろなどを登録する", "セクハラ研修と差別発言の研修は全員必須である", "裸のデータをそのまま渡さない", "过滤器必须拒绝害虫之类的词", "全体员工必须参加性骚扰和仇恨言论培训", "杀死孤儿进程并终止事务",
-        "the search panel should compare the delivery address", "予約一覧は保留中の振替を拒否する", "打印服务应当拒绝待处理的转账", "women and old people are among the users of the form", "外国人の利用者にも画面を表示する", "女性の担当者が確認した", "移民手続きの帳票を出力する", "高齢者や障害者が使いやすい画面にする", "外国人用户也可以使用", "the hotel booking is approved tonight", "今夜のバッチはホテルの予約を処理する",
-    ),
-}
+#: Marginal from which a passage counts, and from which a score is reported as more than 0.
+FOUND, LEAST = 0.5, 0.05
+#: Times that the training documents are tagged and fitted again.
+ROUNDS = 1
+N_FEATURES = 7
+#: The most tokens that are tagged at once, and how many of the ones before they share.
+SPAN, SHARED = 300, 50
 
 #: Spaceless scripts, a character of which is a token.
-SPACELESS = "぀-ヿ㐀-鿿฀-๿ｦ-ﾟ"
-TOKEN = regex.compile(rf"[{SPACELESS}]|(?:(?![{SPACELESS}])[\w*])+")
-SENTENCE = regex.compile(r"[^\n\r。！？!?।]+[。！？!?।]*")
-STOP = regex.compile(r"(?<=(?:\w{2}|\))\.)\s+(?=\p{L})")
+SPACELESS = "぀-ヺー-ヿ㐀-鿿฀-๿ｦ-ﾟ"
+WORD, LETTER, DIGIT, ALONE, END, SPACE, MARK = 1, 2, 4, 8, 16, 32, 64
+PATTERNS = ((WORD, r"[\w*]"), (LETTER, r"\p{L}"), (DIGIT, r"\d"), (ALONE, f"[{SPACELESS}]"), (END, r"[\n\r。！？!?।]"), (SPACE, r"\s"), (MARK, r"[.\-_* ・]"))
+#: Digits that stand for letters.
 LEET = str.maketrans("013457", "oieast")
-REPEATED = regex.compile(r"(\p{L})\1{2,}")
-#: Single letters with the same mark or a space between them.
-SPELLED = regex.compile(r"(?<![\p{L}\d])(\p{L})(?:([.\-_* ・])(\p{L})(?:\2(\p{L}))*)(?![\p{L}\d])")
-CJK_SPELLED = regex.compile(rf"(?<=[{SPACELESS}])[.・*_ \-](?=[{SPACELESS}])")
-CODE = regex.compile(r"\b(?=\w*[A-Za-z])(?=\w*\d)\w+(?:[-_/]\w+)*\b|\b\w+_\w+_\d+\b|\b[A-Z]{2,4}-\d+\b")
-LEETED = regex.compile(r"(?<![\w-])(?=[\w]*\p{L})(?:\p{Ll}|[013457])*[013457]\p{Ll}(?:\p{Ll}|[013457])*(?![\w-])")
 
 
-def clean(s: str) -> str:
-    """A sentence without disguises."""
-    low = s.lower()
-    low = CJK_SPELLED.sub("", low)
-    low = SPELLED.sub(lambda m: regex.sub(r"[^\p{L}]", "", m.group()) if len(m.group()) > 6 else m.group(), low)
-    low = LEETED.sub(lambda m: m.group().translate(LEET) if sum(c.isdigit() for c in m.group()) * 5 <= 3 * len(m.group()) else m.group(), low)
-    return REPEATED.sub(r"\1", low)
+@lru_cache(maxsize=1)
+def chars() -> tuple[np.ndarray, np.ndarray]:
+    """(letters in lower case, classes) of all code points."""
+    size = 0x110000
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x30000)]))
+    kind = np.zeros(size, np.uint8)
+    for bit, p in PATTERNS:
+        for m in regex.finditer(f"(?:{p})+", every):
+            a, b = ord(m.group()[0]), ord(m.group()[-1])
+            kind[a : b + 1] |= bit
+    kind[0xD800:0xE000] = 0
+    low = np.arange(size, dtype=np.uint32)
+    for c in set(every) - set(every.lower()):
+        if len(c.lower()) == 1:
+            low[ord(c)] = ord(c.lower())
+    kind[0x30FB] = MARK
+    return low, kind
 
 
-def words(s: str) -> list[str]:
-    return ["#" if any(c.isdigit() for c in w) else w for w in TOKEN.findall(clean(s))]
+class Tokens(NamedTuple):
+    """Tokens of all texts of a column: hash, hash of the first letters (0 if short), sentence, and of each sentence document and place."""
 
+    h: np.ndarray
+    head: np.ndarray
+    sent: np.ndarray
+    doc: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
 
-def sentences(t: str) -> list[tuple[int, int]]:
-    """Places of the units that are tagged; finer than sentences, but none is cut inside a clause."""
-    out = []
-    for m in SENTENCE.finditer(t):
-        a, s = m.start(), m.group()
-        last = 0
-        for c in STOP.finditer(s):
-            out.append((a + last, a + c.start()))
-            last = c.end()
-        out.append((a + last, a + len(s)))
-    return [(x, y) for x, y in out if y - x > 1]
-
-
-def grams(ws: list[str]) -> list[list[str]]:
-    """Feature strings of each token: itself, and the n-grams that it is part of."""
-    n = len(ws)
-    p = ["^", "^", *ws, "$", "$"]
-    out = []
-    for i in range(n):
-        a, b, c, d, e = p[i : i + 5]
-        out.append([c, f"{b} {c}", f"{c} {d}", f"{a} {b} {c}", f"{b} {c} {d}", f"{c} {d} {e}", c[:4] + "*" if len(c) > 4 else ""])
-    return out
+    def bounds(self) -> np.ndarray:
+        return np.searchsorted(self.sent, np.arange(len(self.doc) + 1))
 
 
-N_FEATURES = 7
+M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
+#: Tokens with a digit, and the ends of sentences.
+NUMBER, BEFORE, AFTER = (np.uint64(x) for x in (0x1234567, 0x89ABCDE, 0xFEDCBA9))
+
 
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = h * M1
+    return (h ^ (h >> np.uint64(31))) * M2
 
-def hashed(ws: list[str]) -> np.ndarray:
-    return np.array([[_hash(k, f) for k, f in enumerate(fs)] for fs in grams(ws)], np.int32).reshape(-1, N_FEATURES)
 
+@lru_cache(maxsize=8)
+def powers(n: int) -> np.ndarray:
+    return np.concatenate(([np.uint64(1)], np.cumprod(np.full(n, M3, np.uint64))))
 
-@lru_cache(maxsize=200_000)
-def _hash(k: int, f: str) -> int:
-    h = 2166136261 + k
-    for b in f.encode():
-        h = ((h ^ b) * 16777619) & 0xFFFFFFFF
-    return (h ^ (h >> 15)) & ((1 << BITS) - 1)
+
+def without(c: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Places of characters that only disguise: marks between single letters (four or more), and all but the first of a letter thrice or oftener."""
+    alnum = (k & (LETTER | DIGIT)) != 0
+    single = alnum & ((k & LETTER) != 0) & ((k & ALONE) == 0)
+    single[1:] &= ~alnum[:-1]
+    single[:-1] &= ~alnum[1:]
+    link = np.flatnonzero(single[:-2] & ((k[1:-1] & MARK) != 0) & single[2:])
+    out = []
+    if len(link):
+        new = np.ones(len(link), bool)
+        new[1:] = (np.diff(link) != 2) | (c[link[1:] + 1] != c[link[:-1] + 1])
+        chain = np.cumsum(new) - 1
+        out.append(link[np.bincount(chain)[chain] >= 3] + 1)
+    same = np.zeros(len(c), bool)
+    same[1:] = (c[1:] == c[:-1]) & ((k[1:] & LETTER) != 0)
+    third = np.flatnonzero(same[1:] & same[:-1]) + 1
+    if len(third):
+        out += [third, third - 1]
+    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
+
+
+def tokenize(col: pa.Array) -> Tokens:
+    """The tokens of a column of texts. Null is like empty text."""
+    cps, bounds = codepoints.split(col)
+    n = len(bounds) - 1
+    base = bounds[:-1] + np.arange(n) + 3  # a line feed stands between two texts
+    buf = np.full(len(cps) + n + 6, 10, np.uint32)
+    buf[np.arange(len(cps)) + np.repeat(np.arange(n), np.diff(bounds)) + 3] = cps
+    low, kind = chars()
+    c, k = low[buf], kind[buf]
+    place = None
+    drop = without(c, k)
+    if len(drop):
+        left = np.ones(len(c), bool)
+        left[drop] = False
+        place = np.flatnonzero(left)
+        c, k = c[place], k[place]
+    alone = (k & ALONE) != 0
+    star = np.flatnonzero((c == 42) | (c == 95))  # between characters of spaceless scripts only a disguise
+    star = star[alone[star - 1] & alone[star + 1]]
+    k[star] = 0
+    word = ((k & WORD) != 0) & ~alone
+    first = word.copy()
+    first[1:] &= ~word[:-1]
+    inside, first = word | alone, first | alone
+    # sentences: after marks of their end and line feeds, and after a full stop with white space and a letter
+    brk = (k & END) != 0
+    stop = np.flatnonzero(c == 46)
+    stop = stop[((k[stop + 1] & SPACE) != 0) & ((((k[stop - 1] & WORD) != 0) & ((k[stop - 2] & WORD) != 0)) | (c[stop - 1] == 41))]
+    if len(stop):
+        solid = np.flatnonzero((k & SPACE) == 0)
+        at = np.searchsorted(solid, stop + 1)
+        nxt = solid[np.minimum(at, len(solid) - 1)]
+        brk[stop[(at < len(solid)) & ((k[nxt] & LETTER) != 0)]] = True
+    tc = np.flatnonzero(inside)
+    if not len(tc):
+        z = np.zeros(0, np.int64)
+        return Tokens(z.astype(np.uint64), z.astype(np.uint64), z, z, z, z)
+    at = np.flatnonzero(first[tc])
+    starts = tc[at]
+    size = np.diff(np.append(at, len(tc)))
+    sid = np.cumsum(brk)[starts]
+    # letters and digits of each token
+    kt, ct = k[tc], c[tc]
+    digit = (kt & DIGIT) != 0
+    has = np.flatnonzero(np.add.reduceat(digit, at, dtype=np.int64)) if digit.any() else np.zeros(0, np.int64)
+    number = np.zeros(len(at), bool)
+    number[has] = True
+    if len(has):
+        leet = np.isin(ct, np.frombuffer("013457".encode("utf-32-le"), np.uint32))
+        letters = np.add.reduceat((kt & LETTER) != 0, at, dtype=np.int64)[has]
+        leets = np.add.reduceat(leet, at, dtype=np.int64)[has]
+        last = starts[has] + size[has]
+        ok = (letters + leets == size[has]) & (letters > 0) & (leets * 5 <= 3 * size[has]) & (c[starts[has] - 1] != 45) & (c[last] != 45)
+        number[has[ok]] = False
+        fix = np.repeat(np.isin(np.arange(len(at)), has[ok]), size) & leet
+        table = np.arange(128, dtype=np.uint32)
+        for a, b in LEET.items():
+            table[a] = b
+        ct = ct.copy()
+        ct[fix] = table[ct[fix]]
+    off = np.arange(len(tc)) - np.repeat(at, size)
+    v = (ct.astype(np.uint64) + np.uint64(1)) * powers(1 << int(max(6, int(size.max()).bit_length())))[off]
+    h = mixed(np.add.reduceat(v, at))
+    head = np.where(size > 4, mixed(np.add.reduceat(np.where(off < 4, v, np.uint64(0)), at)), np.uint64(0))
+    h[number], head[number] = NUMBER, 0
+    own, sent = np.unique(sid, return_inverse=True)
+    cut = np.searchsorted(sid, own)
+    a, b = starts[cut], (starts + size)[np.append(cut[1:], len(starts)) - 1] - 1
+    if place is not None:
+        a, b = place[a], place[b]
+    doc = np.searchsorted(base, a, "right") - 1
+    return Tokens(h, head, sent, doc, a - base[doc], b - base[doc] + 1)
+
+
+def grams(t: Tokens) -> tuple[np.ndarray, np.ndarray]:
+    """(hashed features, 64-bit n-grams of two and three tokens) of each token."""
+    n = len(t.h)
+    p = np.arange(n) + 4 * t.sent + 2
+    buf = np.full(n + 4 * len(t.doc) + 2, BEFORE, np.uint64)
+    buf[p] = t.h
+    last = p[t.bounds()[1:] - 1]
+    buf[last + 1] = AFTER
+    buf[last + 2] = AFTER
+    two = mixed(buf[:-1] * M3 + (buf[1:] ^ M1))
+    three = mixed(two[:-1] * M1 + (buf[2:] ^ M2))
+    own = np.stack([two[p - 1], two[p], three[p - 2], three[p - 1], three[p]], 1)
+    cells = np.empty((n, N_FEATURES), np.int32)
+    for f, v in enumerate((t.h, *own.T, t.head)):
+        cells[:, f] = ((v ^ np.uint64(f * 0x51ED27)) * M1 >> np.uint64(64 - BITS)).astype(np.int32)
+    return cells, own[:, :4]
 
 
 class Field:
@@ -142,10 +218,13 @@ class Field:
         self.bias = np.zeros(len(STATES), np.float32)
 
     def unary(self, x: np.ndarray) -> np.ndarray:
-        return self.w[x].sum(2) + self.bias
+        u = np.tile(self.bias, (*x.shape[:-1], 1))
+        for f in range(x.shape[-1]):
+            u += self.w[x[..., f]]
+        return u
 
-    def marginals(self, u: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(marginals of states, summed expected transitions) of padded unaries, by forward-backward."""
+    def marginals(self, u: np.ndarray, length: np.ndarray, expect: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """(marginals of states, summed expected transitions if asked for) of padded unaries, by forward-backward."""
         n, m, s = u.shape
         inside = np.arange(m)[None, :] < length[:, None]
         e = np.exp(u - u.max(2, keepdims=True))
@@ -162,38 +241,46 @@ class Field:
         p = f * b
         p /= p.sum(2, keepdims=True)
         exp_t = np.zeros((s, s), np.float32)
-        for i in range(1, m):
-            k = inside[:, i]
-            if not k.any():
-                break
-            x = f[k, i - 1][:, :, None] * tr * (e[k, i] * b[k, i])[:, None, :]
-            exp_t += (x / x.sum((1, 2), keepdims=True)).sum(0)
+        if expect and m > 1:
+            x = f[:, :-1, :, None] * tr * (e[:, 1:] * b[:, 1:])[:, :, None, :]
+            x /= x.sum((2, 3), keepdims=True)
+            exp_t = x[inside[:, 1:]].sum(0)
         return p * inside[:, :, None], exp_t
 
+    def hopeless(self, u: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Sentences (from tokens first[i] to first[i + 1]) of which no marginal of a category can reach LEAST.
+
+        A path with some tokens not in O weighs, against the path all in O, at most the product over these tokens of
+        exp(their unary over that of O + their best transitions over O to O). So the sum over all such paths is at most
+        the product over all tokens of 1 + that factor, less 1, which bounds the odds of every marginal.
+        """
+        t = self.t - self.t[0, 0]
+        best = (t.max(0) + np.maximum(0, t[:, 0]))[1:]
+        odds = np.log1p(np.exp(np.minimum(u[:, 1:] - u[:, :1] + best, 30)).sum(1, dtype=np.float64))
+        total = np.add.reduceat(odds, first[:-1]) if len(first) > 1 else np.zeros(0)
+        return -np.expm1(-total) < LEAST
+
     def fit(self, xs: list[np.ndarray], ys: list[np.ndarray], epochs: int = 5, rate: float = 0.3, l2: float = 1e-4) -> None:
         """Maximum likelihood by AdaGrad, in batches of sentences of like length; the order is fixed."""
         order = sorted(range(len(xs)), key=lambda i: (len(xs[i]), i))
-        batches = [order[i : i + 48] for i in range(0, len(order), 48)]
+        batches = [order[i : i + 64] for i in range(0, len(order), 64)]
         rng = np.random.default_rng(7)
         gw, gt, gb = np.full(self.w.shape, 1e-4, np.float32), np.full(self.t.shape, 1e-2, np.float32), np.full(len(STATES), 1e-2, np.float32)
         for _ in range(epochs):
             for k in rng.permutation(len(batches)):
                 own = batches[k]
                 x, length = pad([xs[i] for i in own])
-                y = np.zeros(x.shape[:2], np.int64)
-                for r, i in enumerate(own):
-                    y[r, : len(ys[i])] = ys[i]
+                y, _ = pad([ys[i] for i in own])
                 p, exp_t = self.marginals(self.unary(x), length)
                 inside = np.arange(x.shape[1])[None, :] < length[:, None]
                 g = -p
                 r, c = np.nonzero(inside)
                 g[r, c, y[r, c]] += 1
                 both = inside[:, 1:]
-                obs = np.zeros_like(exp_t)
-                np.add.at(obs, (y[:, :-1][both], y[:, 1:][both]), 1)
-                cells = np.unique(x[inside])
-                dense = np.zeros((len(cells), len(STATES)), np.float32)
-                np.add.at(dense, np.searchsorted(cells, x[inside].ravel()), np.repeat(g[inside], N_FEATURES, 0))
+                obs = np.bincount(y[:, :-1][both] * len(STATES) + y[:, 1:][both], minlength=len(STATES) ** 2).reshape(exp_t.shape)
+                cells, of = np.unique(x[inside], return_inverse=True)
+                gi = np.repeat(g[inside], N_FEATURES, 0)
+                dense = np.stack([np.bincount(of.ravel(), gi[:, s], len(cells)) for s in range(len(STATES))], 1).astype(np.float32)
                 dense -= l2 * self.w[cells]
                 gw[cells] += dense**2
                 self.w[cells] += rate * dense / np.sqrt(gw[cells])
@@ -207,236 +294,201 @@ class Field:
 
 def pad(xs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     length = np.array([len(x) for x in xs])
-    out = np.zeros((len(xs), max(1, length.max(initial=1)), N_FEATURES), np.int32)
+    out = np.zeros((len(xs), max(1, length.max(initial=1)), *xs[0].shape[1:]), xs[0].dtype)
     for i, x in enumerate(xs):
         out[i, : len(x)] = x
     return out, length
 
 
-def examples(rows: list[tuple[str, str]]) -> tuple[list[list[str]], list[list[int]]]:
-    """Labelled tokens from (text, category) of labelled documents, others with category "" and the seeds.
+class Tagger:
+    """The field as it is sent to the workers: its size is fixed by BITS, its training data by the bounds above."""
 
-    The sentences of a category's documents are compared with those of unoffending documents by the n-grams that set them
-    apart; the clear ones are spans of the category that their n-grams have in other documents, the clearly plain ones are
-    not, the rest teach nothing. So wrong and contradicted labels do little harm.
+    def __init__(self, rows: list[tuple[str, str]]) -> None:
+        """rows: (text, category of a labelled document, O for none, or "" for one without a label)."""
+        self.field = Field()
+        self.field.bias[0] = 8.0  # without labels everything is ordinary
+        self._fit(rows)
+
+    def _fit(self, rows: list[tuple[str, str]]) -> None:
+        of: dict[str, set[str]] = {}
+        for t, c in rows:
+            of.setdefault(t, set()).add(c)
+        # copies of a text are one witness, and none if they disagree
+        texts = [(t, *own) for t, cs in sorted(of.items()) if len(own := cs - {""} or cs) == 1]
+        label = np.array([("", *STATES).index(c) - 1 for _t, c in texts], np.int64)
+        if not (label > 0).any():
+            return
+        tk = tokenize(pa.array([t for t, _c in texts], pa.string()))
+        x, g = grams(tk)
+        first = tk.bounds()
+        kind = label[tk.doc]  # of each sentence
+        span, state, sure = first_spans(tk, g, label)
+        for k in range(ROUNDS + 1):
+            if k:
+                span, state, sure = self._spans(x, first, tk, label)
+            xs, ys = [], []
+            plain = np.flatnonzero((sure == 0) & ((kind <= 0) | (k > 0)))
+            hard = plain[kind[plain] == 0]  # of documents that raters call unoffending, all
+            rest = plain[kind[plain] != 0]
+            hard, rest = (r[:: max(1, -(-len(r) // MAX_PLAIN))] for r in (hard, rest))
+            for i in (*np.flatnonzero(sure > 0), *hard, *rest):
+                a, b = int(first[i]), min(int(first[i + 1]), int(first[i]) + SPAN)
+                xs.append(x[a:b])
+                ys.append(np.where(span[a:b], state[i], 0) if sure[i] > 0 else np.zeros(b - a, np.int64))
+            if not any(y.any() for y in ys):
+                return
+            self.field = Field()
+            self.field.fit(xs, ys)
+
+    def _spans(self, x: np.ndarray, first: np.ndarray, tk: Tokens, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Spans of the training documents as the field sees them now: (token in a span, state of the sentence, 1 a span, 0 plain, -1 neither).
+
+        A document's best sentence of its category is a span if it stands clearly out; passages in unlabelled documents
+        count only where the field is sure, and unsure ones teach nothing.
+        """
+        score, p = self._sentences(x, first, keep=True)
+        kind = label[tk.doc]
+        best = score[:, 1:].argmax(1) + 1
+        top = score[np.arange(len(best)), best]
+        own = np.where(kind > 0, score[np.arange(len(best)), np.maximum(kind, 0)], 0.0)
+        most = np.zeros(len(label))
+        np.maximum.at(most, tk.doc, own)
+        state = np.where(kind > 0, kind, best)
+        lead = (kind > 0) & (own > 0.15) & (own >= most[tk.doc] - 1e-6)
+        sure = np.where(lead | (top >= 0.9) & (kind != 0), 1, np.where(top < 0.15, 0, -1))
+        # raters are sometimes wrong: what else the document of a category holds keeps its own category
+        state = np.where(lead & (top < 0.9), state, best)
+        sure = np.where((kind == 0) & (top >= 0.98), -1, np.where(kind == 0, 0, sure))
+        per = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        q = p[np.arange(len(p)), state[per]]
+        span = q >= np.minimum(0.3, 0.6 * np.maximum.reduceat(q, first[:-1])[per])
+        return span, state, sure
+
+    def _sentences(self, x: np.ndarray, first: np.ndarray, keep: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+        """(score of each sentence by state, marginals of each token if asked for)."""
+        u = self.field.unary(x)
+        n = len(first) - 1
+        out = np.zeros((n, len(STATES)))
+        p_all = np.zeros((len(x), len(STATES)), np.float32) if keep else None
+        size = np.diff(first)
+        open_ = np.flatnonzero(size > 1 if keep else (size > 1) & ~self.field.hopeless(u, first))
+        parts = [(i, a, min(int(first[i + 1]), int(first[i]) + s + SPAN)) for i in open_.tolist() for s in range(0, int(size[i]), SPAN) for a in (int(first[i]) + max(0, s - SHARED),)]
+        parts.sort(key=lambda v: (v[2] - v[1], v[0], v[1]))
+        for s in range(0, len(parts), 512):
+            own = parts[s : s + 512]
+            length = np.array([b - a for _i, a, b in own])
+            m = int(length.max())
+            at = np.minimum(np.array([a for _i, a, _b in own])[:, None] + np.arange(m), len(u) - 1)
+            p, _ = self.field.marginals(u[at], length, expect=False)
+            if keep:
+                inside = np.arange(m)[None, :] < length[:, None]
+                np.maximum.at(p_all, at[inside], p[inside])
+            # the mean of the surest third, at least four tokens; a passage belongs to the category that it speaks for most
+            third = np.maximum(4, length // 3)
+            upto = np.cumsum(np.sort(p, 1)[:, ::-1], 1)
+            got = upto[np.arange(len(own)), np.minimum(third, m) - 1] / third[:, None]
+            np.maximum.at(out, [i for i, _a, _b in own], got)
+        return out, p_all
+
+    def score(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, category, score, start, end): a row for each text and category with a score of LEAST or more, of its best passage."""
+        tk = tokenize(col)
+        if not len(tk.h):
+            z = np.zeros(0, np.int64)
+            return z, z, np.zeros(0), z, z
+        x, _ = grams(tk)
+        s, _ = self._sentences(x, tk.bounds())
+        c = s[:, 1:].argmax(1) + 1
+        v = s[np.arange(len(c)), c]
+        hit = np.flatnonzero(v >= LEAST)
+        hit = hit[np.lexsort((hit, -v[hit], c[hit], tk.doc[hit]))]
+        new = np.ones(len(hit), bool)
+        new[1:] = (tk.doc[hit[1:]] != tk.doc[hit[:-1]]) | (c[hit[1:]] != c[hit[:-1]])
+        hit = hit[new]
+        return tk.doc[hit], c[hit], v[hit], tk.start[hit], tk.end[hit]
+
+
+def first_spans(tk: Tokens, g: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans (token in a span, state of the sentence, 1 a span, 0 plain, -1 neither) by the n-grams that set offending documents apart.
+
+    A sentence most of whose n-grams occur in several of a category's documents, but hardly in unoffending ones, is a span;
+    one with hardly any is plain, the rest teach nothing. So wrong and contradicted labels do little harm.
     """
-    ws_of: list[tuple[str, list[list[str]]]] = []
-    of: dict[str, set[str]] = defaultdict(set)
-    for t, c in rows:
-        of[t].add(c)
-    for t, cs in of.items():  # copies of a text are one witness, and none if they disagree
-        cs = cs - {""} or cs
-        if len(cs) > 1:
-            continue
-        (c,) = cs
-        ws_of.append((c, [w for x, y in sentences(t) if (w := words(t[x:y]))]))
-    plain: Counter[str] = Counter()
-    toxic: Counter[str] = Counter()
-    for c, ss in ws_of:
-        own = {g for w in ss for fs in grams(w) for g in fs[1:5]}
-        (plain if c in ("O", "") else toxic).update(own)
-    for c, ss in SEEDS.items():
-        for s in ss:
-            (plain if c == "O" else toxic).update({g for fs in grams(words(s)) for g in fs[1:5]})
-    n_plain = max(1, sum(c in ("O", "") for c, _ in ws_of))
-    n_toxic = max(1, sum(c not in ("O", "") for c, _ in ws_of))
-
-    by: dict[str, Counter[str]] = defaultdict(Counter)
-    for c, ss, n in [*((c, ss, 1) for c, ss in ws_of if c not in ("O", "")), *((c, [words(s)], 3) for c, own in SEEDS.items() if c != "O" for s in own)]:
-        for g in {g for w in ss for fs in grams(w) for g in fs[1:5]}:
-            by[g][c] += n  # seeds are surely right
-
-    def rare(w: list[str], c: str) -> tuple[float, str, list[bool]]:
-        """Share of a sentence's n-grams that set toxic documents apart, the category that most of these belong to, and the tokens in them."""
-        fss = [fs[1:5] for fs in grams(w)]
-        is_odd = [[toxic[g] >= 2 and (plain[g] + 1) / n_plain < 0.1 * toxic[g] / n_toxic for g in fs] for fs in fss]
-        odd = [g for fs, os in zip(fss, is_odd) for g, o in zip(fs, os) if o]
-        votes = {k: sum(by[g][k] / sum(by[g].values()) for g in odd) for k in CATEGORIES}
-        span = [sum(os) >= 2 for os in is_odd]
-        for i in range(len(span)):  # names and codes in a span are part of it
-            if not span[i] and any(span[max(0, i - 4) : i]) and any(span[i + 1 : i + 5]):
-                span[i] = True
-        return len(odd) / max(1, 4 * len(w)), max(CATEGORIES, key=lambda k: (votes[k], k == c)), span
-
-    x, y = [], []
-    rest: list[list[str]] = []
-    for c, ss in ws_of:
-        for w in ss:
-            if c == "O":
-                rest.append(w)
-                continue
-            r, own, span = rare(w, c)
-            if c == "":  # ordinary text, but for the passages that nobody has labelled
-                if r < 0.2:
-                    rest.append(w)
-                continue
-            if r > 0.35:
-                x.append(w)
-                y.append([STATES.index(own) * s for s in span])
-            elif r < 0.05 and n_plain >= 100:
-                rest.append(w)
-    for w in rest[:: max(1, -(-len(rest) // MAX_PLAIN))]:
-        x.append(w)
-        y.append([0] * len(w))
-    for c, ss in SEEDS.items():
-        for s in ss:
-            w = words(s)
-            x.append(w)
-            y.append([STATES.index(c)] * len(w))
-    return x, y
+    doc = tk.doc[tk.sent]
+    ids, inv = np.unique(g, return_inverse=True)
+    inv = inv.reshape(g.shape)
+    pairs = np.unique(np.stack([inv.ravel(), np.repeat(doc, 4)], 1), axis=0)
+    by = np.stack([np.bincount(pairs[label[pairs[:, 1]] == s, 0], minlength=len(ids)) for s in range(len(STATES))], 1).astype(float)
+    by[:, 0] += np.bincount(pairs[label[pairs[:, 1]] < 0, 0], minlength=len(ids))
+    toxic = by[:, 1:].sum(1)
+    n_plain, n_toxic = max(1, int((label <= 0).sum())), max(1, int((label > 0).sum()))
+    odd = ((toxic >= 2) & ((by[:, 0] + 1) / n_plain < 0.1 * toxic / n_toxic))[inv]
+    share = by[:, 1:] / np.maximum(1, toxic)[:, None]
+    first = tk.bounds()
+    size = np.diff(first)
+    votes = np.add.reduceat((share[inv] * odd[:, :, None]).sum(1), first[:-1])
+    kind = label[tk.doc]
+    votes[kind > 0, kind[kind > 0] - 1] += 1e-3
+    state = votes.argmax(1) + 1
+    ratio = np.add.reduceat(odd.sum(1), first[:-1]) / (4 * size)
+    sure = np.where((kind > 0) & (ratio > 0.35), 1, np.where(ratio < 0.05, 0, -1))
+    sure = np.where(kind == 0, 0, np.where((kind < 0) & (ratio < 0.2), 0, sure))
+    span = odd.sum(1) >= 2
+    # names and codes in a span are part of it
+    per = np.repeat(np.arange(len(size)), size)
+    at = np.flatnonzero(span)
+    if len(at) > 1:
+        gap = (np.diff(at) <= 5) & (per[at[1:]] == per[at[:-1]])
+        for a, b in zip(at[:-1][gap].tolist(), at[1:][gap].tolist()):
+            span[a:b] = True
+    return span, state, sure
 
 
 def labelled(documents: DataFrame, labels: DataFrame) -> list[tuple[str, str]]:
     """(text, category or O) of at most MAX_LABELLED documents, chosen by a hash, whose raters agree, and (text, "") of MAX_OTHERS others.
 
-    Null and unknown categories are left out; so are documents with two different categories and null or empty texts.
+    Null and unknown categories are left out; so are documents with two different categories, null or empty texts and, for
+    training only, texts of more than MAX_CHARS characters.
     """
     known = labels.where(F.col("category").isin("none", *CATEGORIES) & F.col("doc_id").isNotNull())
     one = known.groupBy("doc_id").agg(F.min("category").alias("c"), F.max("category").alias("c2")).where("c = c2")
     one = bounded_sample(one, "doc_id", MAX_LABELLED, spare=2)
-    rows = documents.where("text <> ''").select("doc_id", "text").join(F.broadcast(one), "doc_id").select("doc_id", "text", "c").collect()
+    short = documents.where(f"text <> '' and length(text) <= {MAX_CHARS}").select("doc_id", "text")
+    rows = short.join(F.broadcast(one), "doc_id").select("doc_id", "text", "c").collect()  # one is of MAX_LABELLED rows
     out = [(r["text"], "O" if r["c"] == "none" else r["c"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))]
-    rest = documents.where("text <> ''").join(F.broadcast(one), "doc_id", "left_anti").select("doc_id", "text")
-    others = bounded_sample(rest, "doc_id", MAX_OTHERS, of=documents.count(), spare=2).collect()
+    others = bounded_sample(short.join(F.broadcast(one), "doc_id", "left_anti"), "doc_id", MAX_OTHERS, of=documents.count(), spare=2).collect()
     return out + [(r["text"], "") for r in others]
 
 
-SPACED_OUT = regex.compile(f"[{SPACELESS}]")
-
-
-def flat(ws: list[str]) -> str:
-    """Tokens as triggers are written: joined by one space, and where a script has none also without."""
-    s = " ".join(ws)
-    return f"{s}\n{''.join(ws)}" if SPACED_OUT.search(s) else s
-
-
-def triggers(f: Field, x: list[list[str]], plain: list[str]) -> list[str]:
-    """Feature strings that speak for a category, as they look in text in lower case, and are rare in unoffending texts.
-
-    What is common there is left out, as it can't make a passage by itself; of each training passage the rarest features stay, so that every one is met.
-    """
-    spaceless = regex.compile(f"[{SPACELESS}]")
-    own: list[set[str]] = []
-    for w in x:
-        out = set()
-        for fs in grams(w):
-            for k, g in enumerate(fs[:5]):
-                if g and not any(c in g for c in "^$#"):
-                    v = f.w[_hash(k, g)]
-                    g = "".join(g.split(" ")) if spaceless.search(g) else g
-                    if float((v[1:] - v[0]).max()) > SCREEN and len(g) >= 2:
-                        out.add(g)
-        own.append(out)
-    a = ahocorasick.Automaton()
-    for g in set().union(*own):
-        a.add_word(g, g)
-    a.make_automaton()
-    n: Counter[str] = Counter()
-    for t in plain:
-        n.update({g for x, y in sentences(t) for _e, g in a.iter(flat(words(t[x:y])))})
-    most = len(plain) * COMMON
-    out = {g for s in own for g in s if n[g] <= most}
-    for s in own:
-        if not s & out:
-            out |= set(sorted(s, key=lambda g: (n[g], g))[:2])
-    # what a shorter trigger finds, a longer one need not
-    return sorted(g for g in out if not any(g[i:j] in out for i in range(len(g)) for j in range(i + 2, len(g) + 1) if (i, j) != (0, len(g))))
-
-
-#: Share of unoffending documents that a feature of the screen may be in.
-COMMON = 0.003
-#: Weight from which a feature is part of the screen: less than this can't outweigh the bias to O by itself or with its neighbours.
-SCREEN = 0.25
-
-
-class Tagger:
-    """The field with its screen, as it is sent to the workers: its size is fixed by BITS and the bounded training data."""
-
-    def __init__(self, rows: list[tuple[str, str]]) -> None:
-        x, y = examples(rows)
-        self.field = Field()
-        self.field.fit([hashed(w[:400]) for w in x], [np.array(v[:400]) for v in y])
-        own, plain = [w for w, v in zip(x, y) if any(v)], sorted({t for t, c in rows if c in ("O", "")})
-        # what a text with a passage of its own has is not common in unoffending ones
-        self.words, self._auto = triggers(self.field, own, []), None
-        plain = [t for t, found in zip(plain, self.score(plain)) if all(v[0] < FOUND for v in found.values())]
-        self.words, self._auto = triggers(self.field, own, plain), None
-
-    def __getstate__(self) -> dict:
-        return {"field": self.field, "words": self.words, "_auto": None}
-
-    def automaton(self):
-        if self._auto is None:
-            a = ahocorasick.Automaton()
-            for w in self.words:
-                a.add_word(w, len(w))
-            a.make_automaton()
-            self._auto = a
-        return self._auto
-
-    def candidates(self, t: str) -> list[tuple[int, int]]:
-        """Places of the sentences with anything that speaks for a category."""
-        low = t.lower()
-        if len(low) != len(t):
-            low = "".join(c.lower() if len(c.lower()) == 1 else c for c in t)
-        if not self.words:
-            return []
-        auto = self.automaton()
-        hits = [e for e, _n in auto.iter(low)]
-        out, k = [], 0
-        for x, y in sentences(t):
-            while k < len(hits) and hits[k] < x:
-                k += 1
-            # as it stands, or without disguises and marks, as the field sees it
-            if k < len(hits) and hits[k] < y or next(auto.iter(flat(words(t[x:y]))), None):
-                out.append((x, y))
-        return out
-
-    def score(self, texts: list[str | None]) -> list[dict[str, tuple[float, int, int]]]:
-        """For each text, by category the best score and the place of its passage."""
-        where, xs = [], []
-        for i, t in enumerate(texts):
-            for a, b in self.candidates(t) if t else ():
-                w = words(t[a:b])
-                if len(w) > 1:
-                    for s in range(0, len(w), 300):  # a sentence of any length is tagged whole, in overlapping parts
-                        where.append((i, a, b))
-                        xs.append(hashed(w[max(0, s - 50) : s + 300]))
-        out: list[dict[str, tuple[float, int, int]]] = [{} for _ in texts]
-        order = sorted(range(len(xs)), key=lambda k: len(xs[k]))
-        for s in range(0, len(order), 256):
-            own = order[s : s + 256]
-            x, length = pad([xs[k] for k in own])
-            p, _ = self.field.marginals(self.field.unary(x), length)
-            # the mean of the surest third, at least four tokens; a passage belongs to the category that it speaks for most
-            n = np.maximum(4, length // 3)
-            best = np.zeros((len(own), len(STATES)))
-            for c in range(1, len(STATES)):
-                q = np.sort(p[:, :, c], 1)[:, ::-1]
-                best[:, c] = [v[:k].mean() if len(v) >= k else v.sum() / k for v, k in zip(q, n)]
-            for k, c, v in zip(own, best.argmax(1).tolist(), best.max(1).tolist()):
-                i, a, b = where[k]
-                if v > 0.05 and v > out[i].get(STATES[c], (0, 0, 0))[0]:
-                    out[i][STATES[c]] = (v, a, b)
-        return out
-
-
 def scores(documents: DataFrame, labels: DataFrame, all_rows: bool = False) -> DataFrame:
     """doc_id, source, category, score, start_pos, end_pos: a row per document and category with a score of at least FOUND.
 
-    all_rows: a row per document and each of CATEGORIES, with score 0 and no place where nothing speaks for it. Null and empty texts
-    have score 0. Without usable labels the field knows SEEDS only. Repeated rows stay repeated.
+    all_rows: a row per document and each of CATEGORIES, with score 0 and no place where it is less than LEAST. Null and empty texts
+    have score 0. Without usable labels nothing is known and every score is 0. Repeated rows stay repeated.
     """
     tagger = documents.sparkSession.sparkContext.broadcast(Tagger(labelled(documents, labels)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = tagger.value.score(b.column(2).to_pylist())
-            rows = [(i, c, *(g.get(c) or (0.0, None, None))) for i, g in enumerate(got) for c in CATEGORIES if all_rows or g.get(c, (0.0,))[0] >= FOUND]
-            if rows:
-                at, cat, score, start, end = zip(*rows)
-                at = pa.array(at)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(cat), pa.array(score, pa.float64()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], ["doc_id", "source", "category", "score", "start_pos", "end_pos"])
+        for whole in batches:
+            for s in range(0, whole.num_rows, 1024):
+                b = whole.slice(s, 1024)
+                doc, cat, score, start, end = tagger.value.score(b.column(2))
+                if all_rows:
+                    n = len(CATEGORIES)
+                    at, got = np.repeat(np.arange(b.num_rows), n), doc * n + cat - 1
+                    values = np.zeros((3, len(at)))
+                    values[:, got] = score, start, end
+                    no = np.ones(len(at), bool)
+                    no[got] = False
+                    names, score = np.tile(np.array(CATEGORIES, object), b.num_rows), values[0]
+                    start, end = (pa.array(v.astype(np.int32), mask=no) for v in values[1:])
+                else:
+                    hit = score >= FOUND
+                    at, names, score = doc[hit], np.array(STATES, object)[cat[hit]], score[hit]
+                    start, end = (pa.array(v[hit].astype(np.int32)) for v in (start, end))
+                if len(at):
+                    rows = pa.array(at)
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(names, pa.string()), pa.array(score, pa.float64()), start, end], ["doc_id", "source", "category", "score", "start_pos", "end_pos"])
 
     return documents.select("doc_id", "source", "text").mapInArrow(run, "doc_id bigint, source string, category string, score double, start_pos int, end_pos int")
 
