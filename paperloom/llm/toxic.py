@@ -30,8 +30,9 @@ from paperloom.llm import codepoints
 CATEGORIES = ("abusive", "hateful", "sexual")
 STATES = ("O", *CATEGORIES)
 #: Bounds of the training data: labelled documents, others that stand for ordinary text, the most characters of one of either, and sentences without a span.
-MAX_LABELLED, MAX_OTHERS, MAX_CHARS, MAX_PLAIN = 4000, 2000, 20_000, 2500
-BITS = 18
+MAX_LABELLED, MAX_OTHERS, MAX_CHARS, MAX_PLAIN = 3000, 1500, 20_000, 2500
+#: Bits of the hash of features, and of n-grams that are counted in training.
+BITS, COUNT = 18, 22
 #: Marginal from which a passage counts, and from which a score is reported as more than 0.
 FOUND, LEAST = 0.5, 0.05
 #: Times that the training documents are tagged and fitted again.
@@ -192,7 +193,7 @@ def tokenize(col: pa.Array) -> Tokens:
 
 
 def grams(t: Tokens) -> tuple[np.ndarray, np.ndarray]:
-    """(hashed features, 64-bit n-grams of two and three tokens) of each token."""
+    """(hashed features, hashed n-grams of two and three tokens) of each token."""
     n = len(t.h)
     p = np.arange(n) + 4 * t.sent + 2
     buf = np.full(n + 4 * len(t.doc) + 2, BEFORE, np.uint64)
@@ -202,11 +203,13 @@ def grams(t: Tokens) -> tuple[np.ndarray, np.ndarray]:
     buf[last + 2] = AFTER
     two = mixed(buf[:-1] * M3 + (buf[1:] ^ M1))
     three = mixed(two[:-1] * M1 + (buf[2:] ^ M2))
-    own = np.stack([two[p - 1], two[p], three[p - 2], three[p - 1], three[p]], 1)
-    cells = np.empty((n, N_FEATURES), np.int32)
-    for f, v in enumerate((t.h, *own.T, t.head)):
+    cells, own = np.empty((n, N_FEATURES), np.int32), np.empty((n, 4), np.int32)
+    for f, (v, at) in enumerate(((t.h, None), (two, p - 1), (two, p), (three, p - 2), (three, p - 1), (three, p), (t.head, None))):
+        v = v if at is None else v[at]
         cells[:, f] = ((v ^ np.uint64(f * 0x51ED27)) * M1 >> np.uint64(64 - BITS)).astype(np.int32)
-    return cells, own[:, :4]
+        if 1 <= f <= 4:
+            own[:, f - 1] = (v * M2 >> np.uint64(64 - COUNT)).astype(np.int32)
+    return cells, own
 
 
 class Field:
@@ -414,19 +417,20 @@ def first_spans(tk: Tokens, g: np.ndarray, label: np.ndarray) -> tuple[np.ndarra
     A sentence most of whose n-grams occur in several of a category's documents, but hardly in unoffending ones, is a span;
     one with hardly any is plain, the rest teach nothing. So wrong and contradicted labels do little harm.
     """
-    doc = tk.doc[tk.sent]
-    ids, inv = np.unique(g, return_inverse=True)
-    inv = inv.reshape(g.shape)
-    pairs = np.unique(np.stack([inv.ravel(), np.repeat(doc, 4)], 1), axis=0)
-    by = np.stack([np.bincount(pairs[label[pairs[:, 1]] == s, 0], minlength=len(ids)) for s in range(len(STATES))], 1).astype(float)
-    by[:, 0] += np.bincount(pairs[label[pairs[:, 1]] < 0, 0], minlength=len(ids))
+    # documents of each state that hold each n-gram, by its bucket of 2^COUNT
+    by = np.zeros((1 << COUNT, len(STATES)), np.float32)
+    edge = np.searchsorted(tk.doc[tk.sent], np.arange(len(label) + 1))
+    for d, s in enumerate(np.maximum(label, 0).tolist()):
+        by[np.unique(g[edge[d] : edge[d + 1]]), s] += 1
     toxic = by[:, 1:].sum(1)
     n_plain, n_toxic = max(1, int((label <= 0).sum())), max(1, int((label > 0).sum()))
-    odd = ((toxic >= 2) & ((by[:, 0] + 1) / n_plain < 0.1 * toxic / n_toxic))[inv]
+    odd = ((toxic >= 2) & ((by[:, 0] + 1) / n_plain < 0.1 * toxic / n_toxic))[g]
     share = by[:, 1:] / np.maximum(1, toxic)[:, None]
     first = tk.bounds()
     size = np.diff(first)
-    votes = np.add.reduceat((share[inv] * odd[:, :, None]).sum(1), first[:-1])
+    votes = np.zeros((len(size), len(CATEGORIES)))
+    r, k = np.nonzero(odd)
+    np.add.at(votes, tk.sent[r], share[g[r, k]])
     kind = label[tk.doc]
     votes[kind > 0, kind[kind > 0] - 1] += 1e-3
     state = votes.argmax(1) + 1
