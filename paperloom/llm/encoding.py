@@ -1,20 +1,24 @@
 """Text that was decoded with the wrong character encoding: found, and restored by mappings learned from near-twins.
 
 1. A vectorised look at the code points sets aside the values with any suspicious character. In each, clusters of such
-   characters are tried with the known pairs of (encoding it was read in, encoding it was written in): a pair fits where
-   the re-decoded text is far more plausible, by classes of characters, than what is there. Values with undecodable marks
-   are garbled whatever fits. What remains open - a few characters that may be either - is a candidate.
-2. Garbled values and candidates are joined with clean near-twins: values that are equal once all non-ASCII characters
-   are stripped. A fixed-size filter of keys keeps all but the wanted twins out of the shuffle. Each distinct value is
-   compared with all twins of its key, in blocks of bounded size, and the one that has most of its bytes is its twin.
+   characters are tried with the known pairs of (encoding it was read in, encoding it was written in). By the plausibility of
+   classes of characters a place is proposed, with its pair; a mark of a lost character is proposed as such. Nothing is
+   decided here.
+2. All these values are joined with clean near-twins: values that are equal once all non-ASCII characters are stripped. A
+   fixed-size filter of keys keeps all but the wanted twins out of the shuffle. Each distinct value is compared with all
+   twins of its key, in blocks of bounded size, under all pairs of encodings, and the one that has most of its bytes is its twin.
 3. Each pair is aligned character by character: stretches between equal ASCII characters correspond, and within a stretch
-   the byte widths of both sides say which garbled characters stand for which clean one. Counts of these mappings give the
-   learned table, whose size is bounded by the number of encodings and characters.
-4. The table decides the candidates and restores, together with the pair of encodings, whatever still can be.
+   the byte widths of both sides say which garbled characters stand for which clean one; a mark stands for what its twin has
+   there. Counts of these mappings give the learned table, whose size is bounded by the number of encodings and characters.
+4. The table decides. From it come the transformations of this corpus - the pairs of encodings, and encodings combined that
+   were each learned in some pair - and the marks that stand for lost characters. A proposed place is garbled if its
+   transformation was learned or learned units cover it; with an empty table nothing is found. The same table restores,
+   together with the pair of encodings, whatever still can be.
 """
 
 from __future__ import annotations
 
+import codecs
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,6 +40,8 @@ PAIRS = (
     ("cp1252", "gbk"), ("cp1251", "gbk"), ("mac_roman", "gbk"), ("cp932", "gbk"), ("koi8_r", "gbk"),
     ("cp1251", "koi8_r"), ("koi8_r", "cp1251"), ("cp1252", "cp1251"), ("cp1252", "koi8_r"), ("cp1251", "cp866"), ("cp866", "cp1251"),
 )
+#: Encodings that single accented letters can have been read in and written in.
+SINGLE = (("cp437", "cp1252"), ("cp1251", "cp1252"))
 #: Accented letters that are common in European languages.
 ACCENTED = "àâäçéèêëîïôöùûüßñãõáíóúÀÂÄÇÈÉÊÎÔÖÜÃÕÁÍÓÚ"
 #: How much more plausible (as log-probability) a re-decoded cluster must be.
@@ -121,13 +127,21 @@ def plausible(s: str) -> float:
     return v - 6.0 * int((up[1:] & low[:-1]).sum())
 
 
+def _lost(e: UnicodeError) -> tuple[bytes, int]:
+    return b"\xff" * (e.end - e.start), e.end
+
+
+def _kept(e: UnicodeError) -> tuple[bytes, int]:
+    return bytes(ord(c) if "\x80" <= c <= "\x9f" else 0xFF for c in e.object[e.start : e.end]), e.end
+
+
+codecs.register_error("paperloom.lost", _lost)
+codecs.register_error("paperloom.kept", _kept)
+
+
 def encoded(s: str, read: str) -> bytes:
     """The bytes that were read: those without a character as control characters, lost ones as a byte that fits nowhere."""
-    try:
-        return s.encode(read)
-    except UnicodeEncodeError:
-        keep = read in CONTROLS
-        return b"".join(_byte(c, read, keep) for c in s)
+    return s.encode(read, "paperloom.kept" if read in CONTROLS else "paperloom.lost")
 
 
 def _byte(c: str, read: str, keep: bool) -> bytes:
@@ -163,7 +177,7 @@ def ranked(s: str, pairs: tuple[tuple[str, str], ...] = PAIRS, hint: str = "") -
         if read not in raw:
             raw[read] = encoded(s, read)
         b = raw[read]
-        if written != "utf-8" and b.count(b"\xff") * 3 > len(b):
+        if b.count(b"\xff") * (2 if written == "utf-8" else 3) > len(b):
             continue
         u = b.decode(written, "replace")
         if u == s or u.count("\ufffd") * 2 > len(u):
@@ -247,7 +261,7 @@ ALIKE = set("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονаеорсухі")
 def letter_maps() -> list[tuple[str, str, dict[int, int], regex.Pattern]]:
     """For text of single accented letters read in a single-byte encoding of another alphabet: its characters and what they stand for."""
     out = []
-    for read, written in (("cp437", "cp1252"), ("cp1251", "cp1252")):
+    for read, written in SINGLE:
         own: dict[int, int] = {}
         for b in range(0x80, 0x100):
             try:
@@ -262,24 +276,31 @@ def letter_maps() -> list[tuple[str, str, dict[int, int], regex.Pattern]]:
     return out
 
 
-def letters(t: str) -> tuple[str, tuple[str, str] | None]:
-    """(text with single garbled letters restored, their pair of encodings): letters of another alphabet or signs inside Latin words."""
+def letters(t: str) -> tuple[str, list[tuple[int, int, str, str]]]:
+    """(text with single garbled letters restored, their places): letters of another alphabet or signs inside Latin words."""
     for read, written, own, pattern in letter_maps():
         if pattern.search(t):
-            return regex.sub(rf"(?<=[A-Za-zà-ÿ'’])[{regex.escape(''.join(map(chr, own)))}](?![^\W\d_a-zA-Zà-ÿ])|(?<![^\W_])[{regex.escape(''.join(map(chr, own)))}](?=[a-zà-ÿ ])", lambda m: chr(own[ord(m.group())]), t), (read, written)
-    return t, None
+            c = regex.escape("".join(map(chr, own)))
+            at = [m.start() for m in regex.finditer(rf"(?<=[A-Za-zà-ÿ'’])[{c}](?![^\W\d_a-zA-Zà-ÿ])|(?<![^\W_])[{c}](?=[a-zà-ÿ ])", t)]
+            u = list(t)
+            for i in at:
+                u[i] = chr(own[ord(t[i])])
+            return "".join(u), [(i, i + 1, read, written) for i in at]
+    return t, []
 
 
 CLEAN, GARBLED, OPEN = 0, 1, 2
+#: Pairs whose gain is so much less than the best one's aren't looked at closer.
+CLOSE = 15.0
 
 
-def judge(t: str) -> tuple[int, str, list[tuple[int, int, str, str]]]:
+def judge(t: str, pairs: tuple[tuple[str, str], ...] = PAIRS) -> tuple[int, str, list[tuple[int, int, str, str]]]:
     """(state, text with what fits re-decoded, places with their pair of encodings)."""
-    state, u, places, _weak = weighed(t)
+    state, u, places, _weak = weighed(t, pairs)
     return state, u, places
 
 
-def weighed(t: str) -> tuple[int, str, list[tuple[int, int, str, str]], list[tuple[int, int, str, str]]]:
+def weighed(t: str, pairs: tuple[tuple[str, str], ...] = PAIRS) -> tuple[int, str, list[tuple[int, int, str, str]], list[tuple[int, int, str, str]]]:
     """judge(), and the weak places that it leaves to the learned table, whatever the state."""
     state = GARBLED if UNDECODABLE.search(t) else CLEAN
     hint = "ja" if JAPANESE.search(t) else ""
@@ -289,10 +310,10 @@ def weighed(t: str) -> tuple[int, str, list[tuple[int, int, str, str]], list[tup
             a = last
             if b - a < 2:
                 continue
-        own = ranked(t[a:b], hint=hint)
+        own = ranked(t[a:b], pairs, hint)
         if not own:
             continue
-        a2, b2, top = max((grow(t, a, b, x) for x in own[:4] if x[0] > own[0][0] - 15), key=lambda x: x[2][0] + HINT * ((hint == "ja") == (x[2][2] in ("euc_jp", "cp932"))))
+        a2, b2, top = max((grow(t, a, b, x) for x in own if x[0] > own[0][0] - CLOSE), key=lambda x: x[2][0] + HINT * ((hint == "ja") == (x[2][2] in ("euc_jp", "cp932"))))
         if a2 < last:
             a2 = last
             top = (*(x := best(t[a2:b2], top[1:3]))[:1], top[1], top[2], x[1])
@@ -317,26 +338,25 @@ def weighed(t: str) -> tuple[int, str, list[tuple[int, int, str, str]], list[tup
     return state, "".join(out), places, weak
 
 
-def restore(t: str) -> tuple[int, str, list[tuple[int, int, str, str]]]:
-    """judge(), again on its own result for text that was garbled more than once."""
-    state, u, places = judge(t)
+def restore(t: str, pairs: tuple[tuple[str, str], ...] = PAIRS, single: tuple[tuple[str, str], ...] | None = None) -> tuple[int, str, list[tuple[int, int, str, str]]]:
+    """judge(), again on its own result for text that was garbled more than once; single: the pairs of letters()."""
+    state, u, places = judge(t, pairs)
     if state != GARBLED:
-        v, pair = letters(t)
-        if pair:
-            return GARBLED, v, [(0, len(t), *pair)]
+        v, own = letters(t)
+        if own and (single is None or own[0][2:] in single):
+            return GARBLED, v, own
     if state == GARBLED and u != t:
-        u = deeper(u)
+        u = deeper(u, pairs)
     return state, u, places
 
 
-def deeper(u: str) -> str:
-    """A restored text restored again, at most twice, while that makes it more plausible."""
-    for _ in range(2):
-        again, v, _p = judge(u)
+def deeper(u: str, pairs: tuple[tuple[str, str], ...] = PAIRS) -> str:
+    """A restored text restored again while that makes it more plausible."""
+    while True:
+        again, v, _p = judge(u, pairs)
         if again != GARBLED or v == u or plausible(v) <= plausible(u):
-            break
+            return u
         u = v
-    return u
 
 
 def suspicious(col: pa.Array) -> np.ndarray:
@@ -352,11 +372,6 @@ def suspicious(col: pa.Array) -> np.ndarray:
     return np.flatnonzero(codepoints.any_in(flag, bounds))
 
 
-def garbled(texts: list[str]) -> list[bool]:
-    """Whether each text is garbled by what itself shows."""
-    return [judge(t)[0] == GARBLED or letters(t)[1] is not None for t in texts]
-
-
 def values(elements: DataFrame, results: DataFrame) -> DataFrame:
     """rec_id, field, text of all element contents and result titles that aren't null or empty."""
     e = elements.select(F.col("elem_id").alias("rec_id"), F.lit("content").alias("field"), F.col("content").alias("text"))
@@ -389,48 +404,83 @@ SLOTS = 1 << 18
 ASCII_ONLY = regex.compile(r"[^\x21-\x7E]+")
 
 
-def twin_keys(t: str, places: list[tuple[int, int, str, str]]) -> tuple[str, str, int] | None:
-    """What a clean twin of a garbled value has: its printable ASCII characters, and the bytes of all others in the class of encodings (u, d) it was written in."""
-    if not places:
-        return None
-    kinds = {written == "utf-8" for _a, _b, _r, written in places}
-    cls = "u" if kinds == {True} else "d"  # where both are mixed, characters are counted
-    rest, n, last = [], 0, 0
-    for a, b, read, written in [*places, (len(t), len(t), "", "")]:
-        for part in (t[last:a], encoded(t[a:b], read).decode(written, "replace") if read else ""):
-            rest.append(ASCII_ONLY.sub("", part))
-            n += sum(len(c.encode()) if cls == "u" else 2 for c in part if c > "\x7f")
-        last = b
-    return "".join(rest), cls, n
+@lru_cache(maxsize=None)  # the encodings
+def fits(read: str) -> frozenset[str]:
+    """The non-ASCII characters that an encoding has."""
+    own = {bytes([x]).decode(read, "ignore") for x in range(0x80, 0x100)}
+    if read in ("cp932", "gbk", "big5"):
+        own |= {bytes((x, y)).decode(read, "ignore") for x in range(0x81, 0xFF) for y in range(0x40, 0xFF)}
+    if read in CONTROLS:
+        own |= set(map(chr, range(0x80, 0xA0)))
+    return frozenset(c for c in own if len(c) == 1 and c > "\x7f")
 
 
-@lru_cache(maxsize=None)  # at most the characters of the encodings
-def fits(c: str, read: str) -> bool:
-    return _byte(c, read, read in CONTROLS) != b"\xff"
+#: Bytes in the places of a value that the first pass didn't propose so, from which a twin counts, and printable ASCII characters from which a value with marks teaches what they are.
+LEAST, LEAST_MARKED = 4, 8
 
 
-#: Bytes in the places of a value that the first pass didn't judge garbled so, from which a twin counts.
-LEAST = 4
+def by_read(utf8: bool) -> list[tuple[str, list[str]]]:
+    out: dict[str, list[str]] = {}
+    for read, written in PAIRS:
+        if (written == "utf-8") == utf8:
+            out.setdefault(read, []).append(written)
+    return list(out.items())
 
 
-def readings(t: str, places: list[tuple[int, int, str, str]]) -> list[list[tuple[int, int, str, str]]]:
-    """The places of the first pass and, for each pair of encodings, those that can have been read so, as far as half of them can be re-decoded."""
-    out = [places] if places else []
-    for read, written in PAIRS:
-        own = []
-        for m in (STRETCH if written == "utf-8" else MIXED).finditer(t):
-            a, b = m.span()
-            while a < b and not (t[a] > "\x7f" and fits(t[a], read)):
-                a += 1
-            while b > a and t[b - 1] > "\x7f" and not fits(t[b - 1], read):
-                b -= 1
-            if b > a:
-                u = encoded(t[a:b], read).decode(written, "replace")
-                if u != t[a:b] and u.count("\ufffd") * 2 <= len(u):
-                    own.append((a, b, read, written))
-        if own and own not in out:
-            out.append(own)
-    return out
+def twin_key(t: str, places: list[tuple[int, int, str, str]], raw: list[bytes]) -> tuple[str, str, int]:
+    """What a clean twin of a garbled value has: its printable ASCII characters, and the bytes of all others in the class of encodings (u, d) it was written in.
+
+    The bytes of the places count, whatever they decode to, as some may be lost; a character of a single byte counts twice.
+    """
+    cls = "u" if all(p[3] == "utf-8" for p in places) else "d"  # where both are mixed, characters are counted
+    parts, n, last = [], 0, 0
+    for (a, b, _r, w), x in zip(places, raw):
+        u = x.decode(w, "replace")
+        parts += [t[last:a], u]
+        last = b
+        if (w == "utf-8") != (cls == "u"):
+            n += 2 * sum(c > "\x7f" for c in u)
+        else:
+            k = len(x) - sum(c <= "\x7f" for c in u)
+            n += 2 * k if w in CYRILLIC or w == "cp1252" else k + sum("\uff61" <= c <= "\uff9f" for c in u) * (w == "cp932")
+    parts.append(t[last:])
+    return ASCII_ONLY.sub("", "".join(parts)), cls, n + sum(len(x.encode()) if cls == "u" else 2 * len(x) for p in parts[::2] for x in STRETCH.findall(p))
+
+
+def readings(t: str, places: list[tuple[int, int, str, str]]) -> Iterator[tuple[list[tuple[int, int, str, str]], bool, str, str, int]]:
+    """(places, whether they are the first pass's, key of the twin): those of the first pass and, for each pair of encodings, those that can have been read so, as far as half of them can be re-decoded."""
+    if places:
+        yield places, True, *twin_key(t, places, [encoded(t[a:b], r) for a, b, r, _w in places])
+    for pattern, pairs in ((STRETCH, by_read(True)), (MIXED, by_read(False))):
+        spans = [(*m.span(), frozenset(m.group())) for m in pattern.finditer(t)]
+        for read, writtens in pairs:
+            fit, raw = fits(read), []
+            for a, b, cs in spans:
+                if not cs.isdisjoint(fit):
+                    while t[a] not in fit:
+                        a += 1
+                    while t[b - 1] > "\x7f" and t[b - 1] not in fit:
+                        b -= 1
+                    raw.append((a, b, encoded(t[a:b], read)))
+            for written in writtens:
+                own = [(a, b, x) for a, b, x in raw for u in (x.decode(written, "replace"),) if u.count("\ufffd") * 2 <= len(u) and u != t[a:b]]
+                got = [(a, b, read, written) for a, b, _x in own]
+                if sum(len(x) for _a, _b, x in own) >= LEAST and got != places:
+                    yield got, False, *twin_key(t, got, [x for _a, _b, x in own])
+    if MARKED.search(t) and len(rest := ASCII_ONLY.sub("", t)) >= LEAST_MARKED:
+        yield [], False, rest, "m", 0
+
+
+MARKED = regex.compile("\ufffd+")
+
+
+def marks(t: str) -> regex.Pattern:
+    """What a twin of a value with marks of lost characters looks like: the same but for at least one other character for each run of marks."""
+    parts, last = [], 0
+    for m in MARKED.finditer(t):
+        parts += [regex.escape(t[last : m.start()]), f"([^\ufffd]{{1,{m.end() - m.start()}}})"]
+        last = m.end()
+    return regex.compile("".join([*parts, regex.escape(t[last:])]), regex.S)
 
 
 #: Agreement of a twin that has all bytes.
@@ -505,18 +555,12 @@ def twins(vals: DataFrame, bad: DataFrame) -> DataFrame:
     filter keeps all other values out of the shuffle. All twins of a key are compared, in blocks, whatever number of values
     shares the key, and the one that agrees with most bytes of the garbled places is the nearest; same is EXACT where all
     agree. A value is tried with the places of the first pass and with all pairs of encodings. Marks of lost characters
-    have no bytes left, so they alone can teach nothing.
+    have no bytes left: a value with LEAST_MARKED ASCII characters or more has as its twin one that is equal but for them.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = []
-            for t, places, n in zip(*(c.to_pylist() for c in b.columns)):
-                first = [tuple(p.values()) for p in places]
-                for x in readings(t, first):
-                    if x != first and sum(len(encoded(t[a:b], r)) for a, b, r, _w in x) < LEAST:
-                        continue
-                    got.append((t, [dict(zip("abrw", p)) for p in x], x == first, n, *twin_keys(t, x)))
+            got = [(t, [dict(zip("abrw", p)) for p in x], first, n, *key) for t, places, n in zip(*(c.to_pylist() for c in b.columns)) for x, first, *key in readings(t, [tuple(p.values()) for p in places])]
             if got:
                 kinds = (pa.string(), PLACES, pa.bool_(), pa.int64(), pa.string(), pa.string(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*got), kinds)], ["text", "places", "first", "n", "rest", "cls", "len"])
@@ -525,7 +569,8 @@ def twins(vals: DataFrame, bad: DataFrame) -> DataFrame:
     own = cut(own.select("text", "places", "first", "n", F.xxhash64("rest", "cls", "len").alias("k")))
     slots = own.select(F.pmod("k", F.lit(SLOTS)).alias("slot")).distinct()
     near = vals.select("rec_id", "field", "text", F.regexp_replace("text", r"[^\x21-\x7E]+", "").alias("rest"), F.regexp_replace("text", r"[\x00-\x7F]+", "").alias("other")).where("other <> ''")
-    both = F.array(F.struct(F.lit("u").alias("cls"), F.octet_length("other").alias("n")), F.struct(F.lit("d").alias("cls"), (2 * F.char_length("other")).alias("n")))
+    kinds = (("u", F.octet_length("other")), ("d", 2 * F.char_length("other")), ("m", F.lit(0)))
+    both = F.array(*[F.struct(F.lit(k).alias("cls"), n.alias("n")) for k, n in kinds])
     near = near.select("rec_id", "field", "text", "rest", F.explode(both).alias("x")).select("rec_id", "field", "text", F.xxhash64("rest", "x.cls", "x.n").alias("k"))
     near = near.withColumn("slot", F.pmod("k", F.lit(SLOTS))).join(F.broadcast(slots), "slot", "left_semi").join(own.select("k").distinct(), "k", "left_semi")
     clean = cut(near.join(bad.where(F.col("state") != CLEAN).select("rec_id", "field"), ["rec_id", "field"], "left_anti").select("k", "text").distinct())
@@ -535,7 +580,13 @@ def twins(vals: DataFrame, bad: DataFrame) -> DataFrame:
             got = []
             for xs, ys in zip(b.column(0), b.column(1)):
                 xs = [(x["text"], [tuple(p.values()) for p in x["places"]], x["n"], x["first"]) for x in xs.as_py()]
-                for i, same, twin in nearest([x[:2] for x in xs], [y["text"] for y in ys.as_py()]):
+                clean = [y["text"] for y in ys.as_py()]
+                for t, _p, n, _f in (x for x in xs if not x[1]):
+                    p = marks(t)
+                    if m := next((m for y in clean if (m := p.fullmatch(y))), None):
+                        got.append((t, [{"g": g, "c": c, "r": ""} for g, c in zip(MARKED.findall(t), m.groups())], n, 0.25, m.string))
+                xs = [x for x in xs if x[1]]
+                for i, same, twin in nearest([x[:2] for x in xs], clean):
                     t, places, n, first = xs[i]
                     if not first and (same < 0.75 or plausible(twin) <= plausible(t)):
                         continue
@@ -576,7 +627,7 @@ def align(bad: str, twin: str, read: str) -> list[tuple[str, str, str, str]]:
         return []
     raw = np.frombuffer(encoded(g, read), np.uint8)
     most, best_written = 0.5, ""
-    for r, written in PAIRS:
+    for r, written in (*PAIRS, *SINGLE):
         if r == read:
             try:
                 meant = np.frombuffer(c.encode(written), np.uint8)
@@ -596,23 +647,41 @@ def align(bad: str, twin: str, read: str) -> list[tuple[str, str, str, str]]:
     return out
 
 
+#: Clean characters of a unit: aligned widths of the encodings above meet again after fewer, so a longer one is no mapping.
+UNIT = 4
+
+
 def learn(pairs: DataFrame) -> list[tuple[str, str, str, str, int]]:
-    """The learned table: for each pair of encodings and garbled characters the clean ones seen most, with their count.
+    """The learned table: for each pair of encodings and garbled characters the clean ones seen most, with the count of the unit.
 
-    Its rows are at most the distinct units of the encodings' character sets, whatever the data's size; units of more than
-    four clean characters carry no mapping and are left out.
+    Marks of lost characters are units of the pair ("", ""). Its rows are at most the distinct units of the encodings'
+    character sets, whatever the data's size.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [(*u, n) for t, w, r, n in zip(*(c.to_pylist() for c in b.columns)) for u in align(t, w, r) if len(u[3]) <= 4]
+            got = [(*u, n) for t, w, r, n in zip(*(c.to_pylist() for c in b.columns)) for u in (align(t, w, r) if r else [("", "", t[0], "?")]) if len(u[3]) <= UNIT]
             if got:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*got)], ["read", "written", "unit", "clean", "n"])
 
     units = pairs.select(F.explode("parts").alias("x"), "n").select("x.g", "x.c", "x.r", "n").mapInArrow(run, "read string, written string, unit string, clean string, n long")
     n = units.groupBy("read", "written", "unit", "clean").agg(F.sum("n").alias("n"))
-    top = n.groupBy("read", "written", "unit").agg(F.max(F.struct("n", "clean")).alias("x"))
-    return [(r["read"], r["written"], r["unit"], r["x"]["clean"], r["x"]["n"]) for r in top.where(F.length("unit") >= 1).collect()]
+    top = n.groupBy("read", "written", "unit").agg(F.max(F.struct("n", "clean")).alias("x"), F.sum("n").alias("n"))
+    return [(r["read"], r["written"], r["unit"], r["x"]["clean"], r["n"]) for r in top.where(F.length("unit") >= 1).collect()]
+
+
+#: Aligned units from which a pair of encodings, or a mark, is learned.
+SEEN = 2
+
+
+def transformations(learned: list[tuple[str, str, str, str, int]]) -> set[tuple[str, str]]:
+    """The pairs of encodings that the table knows: aligned SEEN times, or of an encoding read in and one written in that both are in such pairs; ("", "") if marks are."""
+    n: dict[tuple[str, str], int] = {}
+    for r, w, _u, _c, k in learned:
+        n[r, w] = n.get((r, w), 0) + k
+    known = {p for p, k in n.items() if k >= SEEN}
+    reads, writes = {r for r, _w in known}, {w for _r, w in known}
+    return known | {(r, w) for r, w in (*PAIRS, *SINGLE) if r in reads and w in writes}
 
 
 #: A word in half-width katakana: small letters, long marks and voicing marks stand only where they can, and there are some.
@@ -634,8 +703,10 @@ def apply(bad: DataFrame, learned: list[tuple[str, str, str, str, int]]) -> Data
     by: dict[str, dict[str, set[str]]] = {}
     for r, w, u, _c, _n in learned:
         by.setdefault(r, {}).setdefault(w, set()).add(u)
-    units = {u: c for _r, _w, u, c, _n in learned if len(u) > 1 and all(ord(x) >= 0x80 for x in u)}
+    units = {u: c for _r, w, u, c, _n in learned if w and len(u) > 1 and all(ord(x) >= 0x80 for x in u)}
     longest = max(map(len, units), default=0)
+    known = transformations(learned)
+    pairs, single, mark = tuple(p for p in PAIRS if p in known), tuple(p for p in SINGLE if p in known), ("", "") in known
 
     def rest(t: str) -> str:
         """What re-decoding left, by the longest learned units; only around marks of lost characters."""
@@ -655,7 +726,9 @@ def apply(bad: DataFrame, learned: list[tuple[str, str, str, str, int]]) -> Data
 
     def again(t: str, restored: str) -> str:
         """Re-decodes the weak places that learned units cover, and those that fit several encodings by the one whose units they consist of."""
-        _state, _u, places, weak = weighed(t)
+        _state, _u, places, weak = weighed(t, pairs)
+        # weak places may be proposed with a pair that was not learned
+        weak = [p for p in {*weak, *weighed(t)[3]} if not any(p[0] < b and a < p[1] for a, b, *_ in places)]
         out, last, other = [], 0, False
         for x, y, r, w in sorted({*places, *weak}):
             if x < last:
@@ -674,14 +747,18 @@ def apply(bad: DataFrame, learned: list[tuple[str, str, str, str, int]]) -> Data
                 other = True
             out += [t[last:x], best(t[x:y], (r, w))[1]]
             last = y
-        return deeper("".join([*out, t[last:]])) if other else restored
+        return deeper("".join([*out, t[last:]]), pairs) if other else restored
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            _rec, _field, text, state, restored = (c.to_pylist() for c in b.columns)
+            _rec, _field, text, state, restored, at = (c.to_pylist() for c in b.columns)
             found, done = [], []
-            for t, s, r in zip(text, state, restored):
-                if s == OPEN and any(not WORD.fullmatch(t[x:y]) and learned_place(t[x:y], by.get(r, {}).get(w, set())) for x, y, r, w in judge(t)[2]):
+            for t, s, r, places in zip(text, state, restored, at):
+                if s == GARBLED and not (places and all((p["r"], p["w"]) in known for p in places)):
+                    s, r, own = restore(t, pairs, single)  # only by what was learned
+                    if s == GARBLED and not own:  # a mark alone
+                        s = GARBLED if mark else OPEN
+                if s == OPEN and any(not WORD.fullmatch(t[x:y]) and learned_place(t[x:y], by.get(r, {}).get(w, set())) for x, y, r, w in (*judge(t, pairs)[2], *judge(t)[2])):
                     s = GARBLED  # the place consists of learned units
                 found.append(s == GARBLED)
                 if s == GARBLED:
@@ -689,7 +766,7 @@ def apply(bad: DataFrame, learned: list[tuple[str, str, str, str, int]]) -> Data
                 done.append(rest(r) if s == GARBLED else t)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(done, pa.string()), pa.array(found)], ["rec_id", "field", "text", "restored", "found"])
 
-    return bad.select("rec_id", "field", "text", "state", "restored").mapInArrow(run, "rec_id bigint, field string, text string, restored string, found boolean")
+    return bad.select("rec_id", "field", "text", "state", "restored", "places").mapInArrow(run, "rec_id bigint, field string, text string, restored string, found boolean")
 
 
 def repaired(elements: DataFrame, results: DataFrame) -> DataFrame:

@@ -214,11 +214,10 @@ def cells_of(rows: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return cells, upto[np.concatenate(([0], np.cumsum(per)))][: n + 1]
 
 
-def find(elements: DataFrame, garbled) -> DataFrame:
+def find(elements: DataFrame) -> DataFrame:
     """elem_id, field of the values with a character not in its ordinary form; field content or rows.
 
-    garbled(list of texts) flags content that was read in the wrong encoding, which is not a case. Null and empty values
-    are none; repeated rows give repeated rows; other columns are ignored. No shuffle.
+    Null and empty values are none; repeated rows give repeated rows; other columns are ignored. No shuffle, no call per string.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,8 +225,6 @@ def find(elements: DataFrame, garbled) -> DataFrame:
             ids = b.column(0)
             cps, bounds = codepoints.split(b.column(1))
             hit = np.flatnonzero(codepoints.any_in(odd(cps, bounds), bounds))
-            if len(hit):
-                hit = hit[~np.array(garbled(b.column(1).take(pa.array(hit)).to_pylist()), bool)]
             cells, of = cells_of(b.column(2))
             ccps, cb = codepoints.split(cells)
             upto = np.concatenate(([0], np.cumsum(codepoints.any_in(odd(ccps, cb), cb))))

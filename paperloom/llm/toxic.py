@@ -30,7 +30,7 @@ from paperloom.llm import codepoints
 CATEGORIES = ("abusive", "hateful", "sexual")
 STATES = ("O", *CATEGORIES)
 #: Bounds of the training data: labelled documents, others that stand for ordinary text, the most characters of one of either, and sentences without a span.
-MAX_LABELLED, MAX_OTHERS, MAX_CHARS, MAX_PLAIN = 3000, 1500, 20_000, 2500
+MAX_LABELLED, MAX_OTHERS, MAX_CHARS, MAX_PLAIN = 5000, 1500, 20_000, 3000
 #: Bits of the hash of features, and of n-grams that are counted in training.
 BITS, COUNT = 18, 22
 #: Marginal from which a passage counts, and from which a score is reported as more than 0.
@@ -212,6 +212,18 @@ def grams(t: Tokens) -> tuple[np.ndarray, np.ndarray]:
     return cells, own
 
 
+def together(texts: list[str], step: int = 256) -> tuple[Tokens, np.ndarray, np.ndarray]:
+    """tokenize() and grams() of training texts, some at a time as the arrays of characters are large; token hashes are left out."""
+    parts, n = [], 0
+    for s in range(0, len(texts), step):
+        tk = tokenize(pa.array(texts[s : s + step], pa.string()))
+        parts.append((*grams(tk), tk.sent + n, tk.doc + s, tk.start, tk.end))
+        n += len(tk.doc)
+    x, g, *rest = (np.concatenate(p) for p in zip(*parts))
+    none = np.zeros(0, np.uint64)
+    return Tokens(none, none, *rest), x, g
+
+
 class Field:
     """The conditional random field: weights of features and transitions."""
 
@@ -321,8 +333,7 @@ class Tagger:
         label = np.array([("", *STATES).index(c) - 1 for _t, c in texts], np.int64)
         if not (label > 0).any():
             return
-        tk = tokenize(pa.array([t for t, _c in texts], pa.string()))
-        x, g = grams(tk)
+        tk, x, g = together([t for t, _c in texts])
         first = tk.bounds()
         kind = label[tk.doc]  # of each sentence
         span, state, sure = first_spans(tk, g, label)

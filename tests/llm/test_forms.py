@@ -50,8 +50,8 @@ def test_round(texts):
 def test_frames(spark):
     rows = [(1, "Ａ", [["x", None], None, ["ﾌｫ"]]), (2, None, None), (3, "", []), (4, "plain", [[]]), (4, "plain", [["a"]]), (5, "x" * 50_000 + "​", [["b"]])]
     df = spark.createDataFrame(rows, "elem_id long, content string, rows array<array<string>>")
-    got = sorted((r.elem_id, r.field) for r in forms.find(df, lambda ts: [False] * len(ts)).collect())
+    got = sorted((r.elem_id, r.field) for r in forms.find(df).collect())
     assert got == [(1, "content"), (1, "rows"), (5, "content")]
     back = {r.elem_id: (r.content, r.rows) for r in forms.normal(df).collect()}
     assert back[1] == ("A", [["x", None], None, ["フォ"]]) and back[2] == (None, None) and back[3] == ("", []) and back[5][0] == "x" * 50_000
-    assert forms.find(df.limit(0), lambda ts: []).count() == 0
+    assert forms.find(df.limit(0)).count() == 0
