@@ -300,6 +300,7 @@ def judge(t: str, pairs: tuple[tuple[str, str], ...] = PAIRS) -> tuple[int, str,
     return state, u, places
 
 
+@lru_cache(maxsize=256)  # texts of a batch, which are judged again
 def weighed(t: str, pairs: tuple[tuple[str, str], ...] = PAIRS) -> tuple[int, str, list[tuple[int, int, str, str]], list[tuple[int, int, str, str]]]:
     """judge(), and the weak places that it leaves to the learned table, whatever the state."""
     state = GARBLED if UNDECODABLE.search(t) else CLEAN
@@ -415,6 +416,8 @@ def fits(read: str) -> frozenset[str]:
     return frozenset(c for c in own if len(c) == 1 and c > "\x7f")
 
 
+#: Printable ASCII characters of a value that tell its twins apart; with fewer, characters at its beginning or end are part of the key, too.
+TELLING, ANCHOR = 8, 4
 #: Bytes in the places of a value that the first pass didn't propose so, from which a twin counts, and printable ASCII characters from which a value with marks teaches what they are.
 LEAST, LEAST_MARKED = 4, 8
 
@@ -427,10 +430,11 @@ def by_read(utf8: bool) -> list[tuple[str, list[str]]]:
     return list(out.items())
 
 
-def twin_key(t: str, places: list[tuple[int, int, str, str]], raw: list[bytes]) -> tuple[str, str, int]:
+def twin_keys(t: str, places: list[tuple[int, int, str, str]], raw: list[bytes]) -> list[tuple[str, str, int, str]]:
     """What a clean twin of a garbled value has: its printable ASCII characters, and the bytes of all others in the class of encodings (u, d) it was written in.
 
     The bytes of the places count, whatever they decode to, as some may be lost; a character of a single byte counts twice.
+    Where the ASCII characters are too few to tell values apart, a key for the beginning and one for the end, as far as they are whole.
     """
     cls = "u" if all(p[3] == "utf-8" for p in places) else "d"  # where both are mixed, characters are counted
     parts, n, last = [], 0, 0
@@ -444,13 +448,16 @@ def twin_key(t: str, places: list[tuple[int, int, str, str]], raw: list[bytes])
             k = len(x) - sum(c <= "\x7f" for c in u)
             n += 2 * k if w in CYRILLIC or w == "cp1252" else k + sum("\uff61" <= c <= "\uff9f" for c in u) * (w == "cp932")
     parts.append(t[last:])
-    return ASCII_ONLY.sub("", "".join(parts)), cls, n + sum(len(x.encode()) if cls == "u" else 2 * len(x) for p in parts[::2] for x in STRETCH.findall(p))
+    whole = "".join(parts)
+    rest, n = ASCII_ONLY.sub("", whole), n + sum(len(x.encode()) if cls == "u" else 2 * len(x) for p in parts[::2] for x in STRETCH.findall(p))
+    anchors = [""] if len(rest) >= TELLING else [k + x for k, x in (("^", whole[:ANCHOR]), ("$", whole[-ANCHOR:])) if "\ufffd" not in x]
+    return [(rest, cls, n, a) for a in anchors]
 
 
-def readings(t: str, places: list[tuple[int, int, str, str]]) -> Iterator[tuple[list[tuple[int, int, str, str]], bool, str, str, int]]:
-    """(places, whether they are the first pass's, key of the twin): those of the first pass and, for each pair of encodings, those that can have been read so, as far as half of them can be re-decoded."""
+def readings(t: str, places: list[tuple[int, int, str, str]]) -> Iterator[tuple[list[tuple[int, int, str, str]], bool, str, str, int, str]]:
+    """(places, whether they are the first pass's, a key of the twin): those of the first pass and, for each pair of encodings, those that can have been read so, as far as half of them can be re-decoded."""
     if places:
-        yield places, True, *twin_key(t, places, [encoded(t[a:b], r) for a, b, r, _w in places])
+        yield from ((places, True, *k) for k in twin_keys(t, places, [encoded(t[a:b], r) for a, b, r, _w in places]))
     for pattern, pairs in ((STRETCH, by_read(True)), (MIXED, by_read(False))):
         spans = [(*m.span(), frozenset(m.group())) for m in pattern.finditer(t)]
         for read, writtens in pairs:
@@ -466,9 +473,9 @@ def readings(t: str, places: list[tuple[int, int, str, str]]) -> Iterator[tuple[
                 own = [(a, b, x) for a, b, x in raw for u in (x.decode(written, "replace"),) if u.count("\ufffd") * 2 <= len(u) and u != t[a:b]]
                 got = [(a, b, read, written) for a, b, _x in own]
                 if sum(len(x) for _a, _b, x in own) >= LEAST and got != places:
-                    yield got, False, *twin_key(t, got, [x for _a, _b, x in own])
+                    yield from ((got, False, *k) for k in twin_keys(t, got, [x for _a, _b, x in own]))
     if MARKED.search(t) and len(rest := ASCII_ONLY.sub("", t)) >= LEAST_MARKED:
-        yield [], False, rest, "m", 0
+        yield [], False, rest, "m", 0, ""
 
 
 MARKED = regex.compile("\ufffd+")
@@ -562,16 +569,19 @@ def twins(vals: DataFrame, bad: DataFrame) -> DataFrame:
         for b in batches:
             got = [(t, [dict(zip("abrw", p)) for p in x], first, n, *key) for t, places, n in zip(*(c.to_pylist() for c in b.columns)) for x, first, *key in readings(t, [tuple(p.values()) for p in places])]
             if got:
-                kinds = (pa.string(), PLACES, pa.bool_(), pa.int64(), pa.string(), pa.string(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*got), kinds)], ["text", "places", "first", "n", "rest", "cls", "len"])
+                kinds = (pa.string(), PLACES, pa.bool_(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*got), kinds)], ["text", "places", "first", "n", "rest", "cls", "len", "anchor"])
 
-    own = bad.groupBy("text").agg(F.first("places").alias("places"), F.count("*").alias("n")).mapInArrow(read, f"text string, places {PLACES_SQL}, first boolean, n long, rest string, cls string, len int")
-    own = cut(own.select("text", "places", "first", "n", F.xxhash64("rest", "cls", "len").alias("k")))
+    own = bad.groupBy("text").agg(F.first("places").alias("places"), F.count("*").alias("n")).mapInArrow(read, f"text string, places {PLACES_SQL}, first boolean, n long, rest string, cls string, len int, anchor string")
+    own = cut(own.select("text", "places", "first", "n", F.xxhash64("rest", "cls", "len", "anchor").alias("k")))
     slots = own.select(F.pmod("k", F.lit(SLOTS)).alias("slot")).distinct()
     near = vals.select("rec_id", "field", "text", F.regexp_replace("text", r"[^\x21-\x7E]+", "").alias("rest"), F.regexp_replace("text", r"[\x00-\x7F]+", "").alias("other")).where("other <> ''")
     kinds = (("u", F.octet_length("other")), ("d", 2 * F.char_length("other")), ("m", F.lit(0)))
     both = F.array(*[F.struct(F.lit(k).alias("cls"), n.alias("n")) for k, n in kinds])
-    near = near.select("rec_id", "field", "text", "rest", F.explode(both).alias("x")).select("rec_id", "field", "text", F.xxhash64("rest", "x.cls", "x.n").alias("k"))
+    ends = F.array(F.concat(F.lit("^"), F.left("text", F.lit(ANCHOR))), F.concat(F.lit("$"), F.right("text", F.lit(ANCHOR))))
+    anchors = F.when(F.length("rest") < TELLING, ends).otherwise(F.array(F.lit("")))
+    near = near.select("rec_id", "field", "text", "rest", F.explode(both).alias("x"), anchors.alias("anchors")).select("rec_id", "field", "text", "rest", "x", F.explode("anchors").alias("anchor"))
+    near = near.select("rec_id", "field", "text", F.xxhash64("rest", "x.cls", "x.n", "anchor").alias("k"))
     near = near.withColumn("slot", F.pmod("k", F.lit(SLOTS))).join(F.broadcast(slots), "slot", "left_semi").join(own.select("k").distinct(), "k", "left_semi")
     clean = cut(near.join(bad.where(F.col("state") != CLEAN).select("rec_id", "field"), ["rec_id", "field"], "left_anti").select("k", "text").distinct())
 
