@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from paperloom.engine import table
 from paperloom.operators import shredding
-from paperloom.plans import reference
+from paperloom.plans import readers, reference
 from paperloom.plans.registry import ORACLE, QUERIES, query
 
-__all__ = ["ORACLE", "QUERIES", "reference"]
+__all__ = ["ORACLE", "QUERIES", "readers", "reference"]
 
 
 @query()

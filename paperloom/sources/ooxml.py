@@ -90,6 +90,19 @@ def table(rows: list[list[str | None]], location: dict) -> dict:
 
 # ---- docx
 
+#: Built-in styles whose names files hold in lower case and programs show with a capital.
+SHOWN = re.compile(r"heading [1-9]|caption|header|footer")
+
+
+def shown_style(name: str) -> str:
+    """The name of a style as programs show it."""
+    return name.capitalize() if SHOWN.fullmatch(name) else name
+
+
+def internal_style(name: str) -> str:
+    """The name of a style as files hold it."""
+    return low if SHOWN.fullmatch(low := name.lower()) and name == shown_style(low) else name
+
 
 def docx(data: bytes) -> Parsed:
     """Paragraphs with style names, tables, inline images and text boxes in the order of appearance."""
@@ -99,7 +112,7 @@ def docx(data: bytes) -> Parsed:
     for s in root if root is not None else ():
         if tag(s) == "style":
             name = next((attr(x, "val") for x in s if tag(x) == "name"), None)
-            styles[attr(s, "styleId") or ""] = name or ""
+            styles[attr(s, "styleId") or ""] = shown_style(name or "")
     default = next((attr(s, "styleId") for s in (root if root is not None else ()) if tag(s) == "style" and attr(s, "type") == "paragraph" and attr(s, "default") in ("1", "true")), None)
     rels = p.rels("word/document.xml")
     out: list[dict] = []

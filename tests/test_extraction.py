@@ -19,7 +19,7 @@ def test_docx():
     meta, es, images = ooxml.docx(builders.docx())
     assert meta == {"title": "月次報告", "author": "ana", "created": "2024-01-02T03:04:05Z"}
     assert brief(es) == [
-        ("text", "月次報告書", "heading 1", {"order": 1}), ("table", [["項目", "4月"], ["売上"]], None, {"order": 2}), ("text", "before\tafter", "Normal", {"order": 3}),
+        ("text", "月次報告書", "Heading 1", {"order": 1}), ("table", [["項目", "4月"], ["売上"]], None, {"order": 2}), ("text", "before\tafter", "Normal", {"order": 3}),
         ("image", "images/image_001.png", None, {"order": 4}), ("text", "outer", "Normal", {"order": 5}), ("text", "boxed", "textbox", {"order": 6}),
     ]
     assert (es[1]["n_rows"], es[1]["n_cols"], es[3]["width"], es[3]["height"], len(images)) == (2, 2, 60, 40, 1)
