@@ -40,6 +40,28 @@ def p7_pieces(spark: SparkSession, d: str) -> DataFrame:
     return s.select("elem_id", F.explode(both).alias("x")).select("elem_id", "x.item_kind", "x.p.*")
 
 
+@query("""with t as (select elem_id, 'text' as item_kind, content as x from elements union all
+select elem_id, 'table', array_to_string([array_to_string([coalesce(c, '') for c in coalesce(r, [])], chr(9)) for r in rows], chr(10)) from elements),
+lim as (select item_kind, arg_min(overlap_chars, max_chars) as o, min(max_chars) as m from split_limits group by 1)
+select elem_id, t.item_kind, sha256(x) as rebuilt_hash, length(x)::bigint as n_chars, 0::bigint as n_over, 0::bigint as n_unshared from t join lim on lim.item_kind = t.item_kind where length(x) > 0""")
+def p7_rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    """Every text and table put together again from its pieces without what they share; n_over pieces beyond the limit, n_unshared that don't share the overlap."""
+    limits, s = splitting.limits(table(spark, d, "split_limits")), splitting.split_elements(table(spark, d, "elements"), table(spark, d, "split_limits"))
+    out = None
+    for kind, (most, overlap) in sorted(limits.items()):
+        p = F.col(f"{kind}_pieces")
+        ends = F.transform(p, lambda x: x["start_pos"] + F.length(x["piece"]))
+        shared = F.transform(p, lambda x, i: F.when(i == 0, F.lit(0)).otherwise(ends[F.greatest(i - 1, F.lit(0))] - x["start_pos"]))
+        own = s.where(F.size(p) > 0).select("elem_id", F.lit(kind).alias("item_kind"), p.alias("p"), shared.alias("sh"))
+        text = F.array_join(F.zip_with("p", "sh", lambda x, n: F.substring(x["piece"], n + 1, F.length(x["piece"]))), "")
+        own = own.select(
+            "elem_id", "item_kind", F.sha2(text, 256).alias("rebuilt_hash"), F.length(text).cast("bigint").alias("n_chars"), F.size(F.filter("p", lambda x: F.length(x["piece"]) > most)).cast("bigint").alias("n_over"),
+            F.size(F.filter("sh", lambda n, i: (i > 0) & (n != overlap))).cast("bigint").alias("n_unshared"),
+        )
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 @query()
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")

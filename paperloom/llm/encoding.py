@@ -119,12 +119,13 @@ def suspect() -> np.ndarray:
     return s
 
 
+#: Within a word of Cyrillic letters, a capital after a small letter.
+CAMEL = regex.compile("[а-я](?=[А-Я])")
+
+
 def plausible(s: str) -> float:
-    cps = np.frombuffer(s.encode("utf-32-le"), np.uint32)
-    v = float(prior()[cps].sum())
-    # within a word of Cyrillic letters a capital after a small letter
-    up, low = (cps >= 0x410) & (cps < 0x430), (cps >= 0x430) & (cps < 0x450)
-    return v - 6.0 * int((up[1:] & low[:-1]).sum())
+    cps = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return float(prior()[cps].sum()) - 6.0 * len(CAMEL.findall(s))
 
 
 def _lost(e: UnicodeError) -> tuple[bytes, int]:
@@ -385,19 +386,19 @@ PLACES_SQL = "array<struct<a:int,b:int,r:string,w:string>>"
 
 
 def judged(vals: DataFrame) -> DataFrame:
-    """rec_id, field, text, state, restored, places of all suspicious values, those that show nothing by themselves too."""
+    """rec_id, field, text, state, restored, places, weak of all suspicious values, those that show nothing by themselves too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = suspicious(b.column(2))
-            got = [(i, *restore(t)) for i, t in zip(rows.tolist(), b.column(2).take(pa.array(rows)).to_pylist())]
+            got = [(i, *restore(t, PAIRS), weighed(t, PAIRS)[3]) for i, t in zip(rows.tolist(), b.column(2).take(pa.array(rows)).to_pylist())]
             if got:
-                at, state, restored, places = zip(*got)
+                at, state, restored, *both = zip(*got)
                 at = pa.array(at, pa.int64())
-                cols = (pa.array(state, pa.int32()), pa.array(restored, pa.string()), pa.array([[dict(zip("abrw", p)) for p in x] for x in places], PLACES))
-                yield pa.RecordBatch.from_arrays([*(c.take(at) for c in b.columns), *cols], ["rec_id", "field", "text", "state", "restored", "places"])
+                cols = (pa.array(state, pa.int32()), pa.array(restored, pa.string()), *(pa.array([[dict(zip("abrw", p)) for p in x] for x in places], PLACES) for places in both))
+                yield pa.RecordBatch.from_arrays([*(c.take(at) for c in b.columns), *cols], ["rec_id", "field", "text", "state", "restored", "places", "weak"])
 
-    return vals.select("rec_id", "field", "text").mapInArrow(run, f"rec_id bigint, field string, text string, state int, restored string, places {PLACES_SQL}")
+    return vals.select("rec_id", "field", "text").mapInArrow(run, f"rec_id bigint, field string, text string, state int, restored string, places {PLACES_SQL}, weak {PLACES_SQL}")
 
 
 #: Slots of the filter of keys: its size is fixed whatever the data.
@@ -422,6 +423,10 @@ TELLING, ANCHOR = 8, 4
 LEAST, LEAST_MARKED = 4, 8
 
 
+HALF_WIDTH = regex.compile("[\uff61-\uff9f]")
+
+
+@lru_cache(maxsize=2)
 def by_read(utf8: bool) -> list[tuple[str, list[str]]]:
     out: dict[str, list[str]] = {}
     for read, written in PAIRS:
@@ -443,10 +448,10 @@ def twin_keys(t: str, places: list[tuple[int, int, str, str]], raw: list[bytes])
         parts += [t[last:a], u]
         last = b
         if (w == "utf-8") != (cls == "u"):
-            n += 2 * sum(c > "\x7f" for c in u)
+            n += 2 * (len(u) - len(u.encode("ascii", "ignore")))
         else:
-            k = len(x) - sum(c <= "\x7f" for c in u)
-            n += 2 * k if w in CYRILLIC or w == "cp1252" else k + sum("\uff61" <= c <= "\uff9f" for c in u) * (w == "cp932")
+            k = len(x) - len(u.encode("ascii", "ignore"))
+            n += 2 * k if w in CYRILLIC or w == "cp1252" else k + len(HALF_WIDTH.findall(u)) if w == "cp932" else k
     parts.append(t[last:])
     whole = "".join(parts)
     rest, n = ASCII_ONLY.sub("", whole), n + sum(len(x.encode()) if cls == "u" else 2 * len(x) for p in parts[::2] for x in STRETCH.findall(p))
@@ -734,11 +739,10 @@ def apply(bad: DataFrame, learned: list[tuple[str, str, str, str, int]]) -> Data
             i += hit or 1
         return "".join(out)
 
-    def again(t: str, restored: str) -> str:
+    def again(t: str, restored: str, places: list[tuple[int, int, str, str]], weak: list[tuple[int, int, str, str]]) -> str:
         """Re-decodes the weak places that learned units cover, and those that fit several encodings by the one whose units they consist of."""
-        _state, _u, places, weak = weighed(t, pairs)
         # weak places may be proposed with a pair that was not learned
-        weak = [p for p in {*weak, *weighed(t)[3]} if not any(p[0] < b and a < p[1] for a, b, *_ in places)]
+        weak = [p for p in weak if not any(p[0] < b and a < p[1] for a, b, *_ in places)]
         out, last, other = [], 0, False
         for x, y, r, w in sorted({*places, *weak}):
             if x < last:
@@ -761,22 +765,26 @@ def apply(bad: DataFrame, learned: list[tuple[str, str, str, str, int]]) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            _rec, _field, text, state, restored, at = (c.to_pylist() for c in b.columns)
+            _rec, _field, text, state, restored, *both = (c.to_pylist() for c in b.columns)
             found, done = [], []
-            for t, s, r, places in zip(text, state, restored, at):
-                if s == GARBLED and not (places and all((p["r"], p["w"]) in known for p in places)):
+            for t, s, r, places, weak in zip(text, state, restored, *([[tuple(p.values()) for p in x] for x in c] for c in both)):
+                own = places
+                if s == GARBLED and not (places and all(p[2:] in known for p in places)):
                     s, r, own = restore(t, pairs, single)  # only by what was learned
+                    weak = [*weak, *weighed(t, pairs)[3]]
                     if s == GARBLED and not own:  # a mark alone
                         s = GARBLED if mark else OPEN
-                if s == OPEN and any(not WORD.fullmatch(t[x:y]) and learned_place(t[x:y], by.get(r, {}).get(w, set())) for x, y, r, w in (*judge(t, pairs)[2], *judge(t)[2])):
+                if s == OPEN and any(not WORD.fullmatch(t[x:y]) and learned_place(t[x:y], by.get(e, {}).get(w, set())) for x, y, e, w in {*own, *places, *weak}):
                     s = GARBLED  # the place consists of learned units
+                    weak = [*weak, *(p for p in places if p[2:] not in known)]
+                    own = [p for p in own if p[2:] in known]
                 found.append(s == GARBLED)
                 if s == GARBLED:
-                    r = again(t, r)
+                    r = again(t, r, own, weak)
                 done.append(rest(r) if s == GARBLED else t)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(done, pa.string()), pa.array(found)], ["rec_id", "field", "text", "restored", "found"])
 
-    return bad.select("rec_id", "field", "text", "state", "restored", "places").mapInArrow(run, "rec_id bigint, field string, text string, restored string, found boolean")
+    return bad.select("rec_id", "field", "text", "state", "restored", "places", "weak").mapInArrow(run, "rec_id bigint, field string, text string, restored string, found boolean")
 
 
 def repaired(elements: DataFrame, results: DataFrame) -> DataFrame:

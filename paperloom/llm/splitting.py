@@ -6,7 +6,8 @@ fallback. Each alternative is a greedy bounded quantifier, so it takes the longe
 minimum length keeps a strong boundary right at the start from making tiny pieces. Every piece is its core preceded by the
 last `overlap` characters of what came before, so consecutive pieces share exactly `overlap` characters and no piece
 exceeds the limit. `regexp_extract_all` gives the cores; offsets and overlaps come from SQL array functions on them, so no
-text is scanned again from its start for each piece. Texts within the limit never meet the pattern.
+text is scanned again from its start for each piece: offsets are sums over blocks of about the root of the number of cores.
+Texts within the limit never meet the pattern.
 """
 
 from __future__ import annotations
@@ -20,10 +21,10 @@ BOUNDARIES = (r"(?<=\n\n)", r"(?<=\n)", r"(?<=[。．！？।॥]|[.!?][ \t])(?
 
 def sizes(max_chars: int, overlap: int) -> tuple[int, int]:
     """The most and the least characters of a core."""
-    if max_chars < 1 or not 0 <= overlap <= max_chars // 2:
-        raise ValueError(f"overlap_chars {overlap} must lie between 0 and half of max_chars {max_chars}")
+    if max_chars < 1 or not 0 <= overlap < max_chars:
+        raise ValueError(f"overlap_chars {overlap} must lie between 0 and less than max_chars {max_chars}")
     core = max_chars - overlap
-    return core, max(1, core // 2, overlap)
+    return core, max(1, core // 2, overlap if overlap <= core else 0)
 
 
 def pattern(core: int, least: int) -> str:
@@ -46,14 +47,22 @@ def pieces(text: Column, max_chars: int, overlap: int) -> Column:
     back = -(-overlap // least)  # cores that an overlap can reach into: all but the last have `least` characters
     cores = F.regexp_extract_all(text, F.lit(pattern(core, least)), F.lit(0))
 
-    def one(cs: Column, i: Column) -> Column:
-        start = F.aggregate(F.slice(cs, F.lit(1), i), F.lit(0), lambda n, c: n + F.length(c))
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda n, x: n + x)
+
+    def one(cs: Column, sums: Column, size: Column, i: Column) -> Column:
+        b = F.floor(i / size).cast("int")
+        start = sums[b] + total(F.transform(F.slice(cs, b * size + 1, i - b * size), F.length))
         lead = F.array_join(F.slice(cs, F.greatest(i - back + 1, F.lit(1)), F.least(i, F.lit(back))), "")
         shared = F.least(F.length(lead), F.lit(overlap))
         lead = F.substring(lead, F.length(lead) - shared + 1, shared)
         return F.struct(i.cast("int").alias("piece_no"), (start - shared).cast("int").alias("start_pos"), F.concat(lead, F.element_at(cs, (i + 1).cast("int"))).alias("piece"))
 
-    many = F.transform(F.array(cores), lambda cs: F.transform(cs, lambda c, i: one(cs, i)))[0]
+    def every(cs: Column, size: Column) -> Column:
+        own = F.transform(F.sequence(F.lit(0), size), lambda b: total(F.transform(F.slice(cs, b * size + 1, size), F.length)))  # of each block
+        upto = F.transform(F.array(own), lambda o: F.transform(F.sequence(F.lit(0), size), lambda b: total(F.slice(o, F.lit(1), b))))[0]
+        return F.transform(F.array(upto), lambda sums: F.transform(cs, lambda c, i: one(cs, sums, size, i)))[0]
+
+    many = F.transform(F.array(cores), lambda cs: every(cs, F.ceil(F.sqrt(F.size(cs))).cast("int")))[0]
     whole = F.array(F.struct(F.lit(0).alias("piece_no"), F.lit(0).alias("start_pos"), text.alias("piece")))
     none = F.array().cast("array<struct<piece_no:int,start_pos:int,piece:string>>")
     return F.when(F.length(text) > max_chars, many).when(F.length(text) > 0, whole).otherwise(none)

@@ -72,8 +72,7 @@ def test_alignment():
 def test_learned_units_restore_values_of_any_length(spark):
     sure, weak = "Ã©tÃ©", wrong("検", "euc_jp", "cp1252")
     t = "the list of states " * 4 + sure + " and then a place that is weak: " + weak + " in it"
-    state, u, places = encoding.judge(t)
-    bad = spark.createDataFrame([(1, "content", t, state, u, places)], f"rec_id long, field string, text string, state int, restored string, places {encoding.PLACES_SQL}")
+    bad = spark.createDataFrame([(1, "content", t, *encoding.weighed(t))], f"rec_id long, field string, text string, state int, restored string, places {encoding.PLACES_SQL}, weak {encoding.PLACES_SQL}")
     assert weak in encoding.judge(t)[1] and [t[a:b] for a, b, *_ in encoding.weighed(t)[3]] == [weak]
     known = ("cp1252", "utf-8", "Ã©", "é", 5)
     got = encoding.apply(bad, [known, ("cp1252", "euc_jp", weak, "検", 5)]).collect()

@@ -1,25 +1,27 @@
+import pytest
 from pyspark.sql import functions as F
 
 from paperloom.llm import splitting
 
 
-def test_pieces_round_trip(spark):
+@pytest.mark.parametrize("most,overlap", [(40, 10), (40, 0), (40, 20), (40, 30), (40, 39), (1, 0)])
+def test_pieces_round_trip(spark, most, overlap):
     texts = [None, "", "a" * 25, "あ" * 101, "一。" * 60, "x y " * 40 + "\n" + "𠀋" * 77, "abc\n\n" * 30, "ab"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
-    rows = df.select("i", "t", splitting.pieces(F.col("t"), 40, 10).alias("p")).collect()
+    rows = df.select("i", "t", splitting.pieces(F.col("t"), most, overlap).alias("p")).collect()
     for r in rows:
         if not r.t:
             assert r.p == []
             continue
         out = ""
         for k, p in enumerate(r.p):
-            assert p.piece_no == k and len(p.piece) <= 40
+            assert p.piece_no == k and len(p.piece) <= most
             assert r.t[p.start_pos : p.start_pos + len(p.piece)] == p.piece
             shared = len(out) - p.start_pos
-            assert shared == (10 if k else 0)
+            assert shared == (min(overlap, len(out)) if k else 0)
             out += p.piece[shared:]
         assert out == r.t
-        assert (len(r.p) > 1) == (len(r.t) > 40)
+        assert (len(r.p) > 1) == (len(r.t) > most)
 
 
 def test_natural_boundary(spark):
@@ -35,3 +37,15 @@ def test_elements(spark):
     assert got == {1: (2, 0), 2: (0, 2), 3: (0, 0)}
     assert splitting.split_elements(el.limit(0), lim).count() == 0
     assert splitting.split_elements(el, lim.limit(0)).where("size(text_pieces) > 0").count() == 0
+
+
+def test_no_overlap_of_the_whole_limit():
+    for most, overlap in ((10, 10), (0, 0), (10, -1)):
+        with pytest.raises(ValueError):
+            splitting.sizes(most, overlap)
+
+
+def test_a_very_long_text(spark):
+    t = ("word and more. " * 20 + "\n\n") * 2000
+    p = spark.createDataFrame([(t,)], "t string").select(splitting.pieces(F.col("t"), 200, 20).alias("p")).select(F.size("p").alias("n"), F.col("p")[5].alias("x")).first()
+    assert p.n > 3000 and t[p.x.start_pos :].startswith(p.x.piece)
