@@ -420,7 +420,7 @@ def fits(read: str) -> frozenset[str]:
 #: Printable ASCII characters of a value that tell its twins apart; with fewer, characters at its beginning or end are part of the key, too.
 TELLING, ANCHOR = 8, 4
 #: Bytes in the places of a value that the first pass didn't propose so, from which a twin counts, and printable ASCII characters from which a value with marks teaches what they are.
-LEAST, LEAST_MARKED = 4, 8
+LEAST, LEAST_MARKED = 4, TELLING
 
 
 HALF_WIDTH = regex.compile("[\uff61-\uff9f]")
@@ -459,8 +459,17 @@ def twin_keys(t: str, places: list[tuple[int, int, str, str]], raw: list[bytes])
     return [(rest, cls, n, a) for a in anchors]
 
 
+def likelier(t: str, own: list[tuple[int, int, bytes]], written: str) -> bool:
+    """Whether places are more plausible re-decoded, lost characters left out on both sides of the scale."""
+    u, v = "".join(x.decode(written, "replace") for _a, _b, x in own), "".join(t[a:b] for a, b, _x in own)
+    return plausible(u.replace("\ufffd", "")) > plausible(v.replace("\ufffd", ""))
+
+
 def readings(t: str, places: list[tuple[int, int, str, str]]) -> Iterator[tuple[list[tuple[int, int, str, str]], bool, str, str, int, str]]:
-    """(places, whether they are the first pass's, a key of the twin): those of the first pass and, for each pair of encodings, those that can have been read so, as far as half of them can be re-decoded."""
+    """(places, whether they are the first pass's, a key of the twin): those of the first pass and, for each pair of encodings, those that can have been read so, as far as half of them can be re-decoded.
+
+    Pairs whose text is no more plausible than what is there are left out: a twin that has that text wouldn't count (see twins()).
+    """
     if places:
         yield from ((places, True, *k) for k in twin_keys(t, places, [encoded(t[a:b], r) for a, b, r, _w in places]))
     for pattern, pairs in ((STRETCH, by_read(True)), (MIXED, by_read(False))):
@@ -477,7 +486,7 @@ def readings(t: str, places: list[tuple[int, int, str, str]]) -> Iterator[tuple[
             for written in writtens:
                 own = [(a, b, x) for a, b, x in raw for u in (x.decode(written, "replace"),) if u.count("\ufffd") * 2 <= len(u) and u != t[a:b]]
                 got = [(a, b, read, written) for a, b, _x in own]
-                if sum(len(x) for _a, _b, x in own) >= LEAST and got != places:
+                if sum(len(x) for _a, _b, x in own) >= LEAST and got != places and likelier(t, own, written):
                     yield from ((got, False, *k) for k in twin_keys(t, got, [x for _a, _b, x in own]))
     if MARKED.search(t) and len(rest := ASCII_ONLY.sub("", t)) >= LEAST_MARKED:
         yield [], False, rest, "m", 0, ""
@@ -580,15 +589,19 @@ def twins(vals: DataFrame, bad: DataFrame) -> DataFrame:
     own = bad.groupBy("text").agg(F.first("places").alias("places"), F.count("*").alias("n")).mapInArrow(read, f"text string, places {PLACES_SQL}, first boolean, n long, rest string, cls string, len int, anchor string")
     own = cut(own.select("text", "places", "first", "n", F.xxhash64("rest", "cls", "len", "anchor").alias("k")))
     slots = own.select(F.pmod("k", F.lit(SLOTS)).alias("slot")).distinct()
+    # keys of all other values without their texts, which follow once it is known whose are wanted
     near = vals.select("rec_id", "field", "text", F.regexp_replace("text", r"[^\x21-\x7E]+", "").alias("rest"), F.regexp_replace("text", r"[\x00-\x7F]+", "").alias("other")).where("other <> ''")
-    kinds = (("u", F.octet_length("other")), ("d", 2 * F.char_length("other")), ("m", F.lit(0)))
-    both = F.array(*[F.struct(F.lit(k).alias("cls"), n.alias("n")) for k, n in kinds])
+    telling = F.length("rest") >= TELLING
+    kind = lambda c, n: F.struct(F.lit(c).alias("cls"), n.alias("n"))
+    two = F.array(kind("u", F.octet_length("other")), kind("d", 2 * F.char_length("other")))
     ends = F.array(F.concat(F.lit("^"), F.left("text", F.lit(ANCHOR))), F.concat(F.lit("$"), F.right("text", F.lit(ANCHOR))))
-    anchors = F.when(F.length("rest") < TELLING, ends).otherwise(F.array(F.lit("")))
-    near = near.select("rec_id", "field", "text", "rest", F.explode(both).alias("x"), anchors.alias("anchors")).select("rec_id", "field", "text", "rest", "x", F.explode("anchors").alias("anchor"))
-    near = near.select("rec_id", "field", "text", F.xxhash64("rest", "x.cls", "x.n", "anchor").alias("k"))
-    near = near.withColumn("slot", F.pmod("k", F.lit(SLOTS))).join(F.broadcast(slots), "slot", "left_semi").join(own.select("k").distinct(), "k", "left_semi")
-    clean = cut(near.join(bad.where(F.col("state") != CLEAN).select("rec_id", "field"), ["rec_id", "field"], "left_anti").select("k", "text").distinct())
+    near = near.select("rec_id", "field", "rest", F.explode(F.when(telling, F.array_append(two, kind("m", F.lit(0)))).otherwise(two)).alias("x"), F.when(telling, F.array(F.lit(""))).otherwise(ends).alias("anchors"))
+    near = near.select("rec_id", "field", "rest", "x", F.explode("anchors").alias("anchor")).select("rec_id", "field", F.xxhash64("rest", "x.cls", "x.n", "anchor").alias("k"))
+    near = near.withColumn("slot", F.pmod("k", F.lit(SLOTS))).join(F.broadcast(slots), "slot", "left_semi").drop("slot").join(own.select("k").distinct(), "k", "left_semi")
+    near = cut(near.join(bad.where(F.col("state") != CLEAN).select("rec_id", "field"), ["rec_id", "field"], "left_anti"))
+    slot = F.pmod(F.xxhash64("rec_id", "field"), F.lit(SLOTS)).alias("slot")
+    texts = vals.select("rec_id", "field", "text", slot).join(F.broadcast(near.select(slot).distinct()), "slot", "left_semi")
+    clean = cut(texts.join(near, ["rec_id", "field"]).select("k", "text").distinct())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

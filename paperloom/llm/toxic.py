@@ -234,8 +234,9 @@ class Field:
 
     def unary(self, x: np.ndarray) -> np.ndarray:
         u = np.tile(self.bias, (*x.shape[:-1], 1))
-        for f in range(x.shape[-1]):
-            u += self.w[x[..., f]]
+        for s in range(0, len(x), 1 << 18):  # bounds what is gathered at a time
+            for f in range(x.shape[-1]):
+                u[s : s + (1 << 18)] += self.w[x[s : s + (1 << 18), ..., f]]
         return u
 
     def marginals(self, u: np.ndarray, length: np.ndarray, expect: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -337,6 +338,7 @@ class Tagger:
         first = tk.bounds()
         kind = label[tk.doc]  # of each sentence
         span, state, sure = first_spans(tk, g, label)
+        del g
         for k in range(ROUNDS + 1):
             if k:
                 span, state, sure = self._spans(x, first, tk, label)
