@@ -61,13 +61,15 @@ def table(spark: SparkSession, base: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; only where that is unset (tests on one machine) a local default."""
+    """The shared folder of spark.checkpoint.dir; a local default only on a local master, on a cluster without one an error."""
     own = spark.conf.get("spark.checkpoint.dir", None)
     if own:
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(own)
         return own
     if not (own := spark.sparkContext.getCheckpointDir()):
+        if not (spark.sparkContext.master or "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share: intermediate tables can't lie on one machine's disk")
         own = f"file:///tmp/paperloom-checkpoints-{os.getpid()}"
         spark.sparkContext.setCheckpointDir(own)
     return own
@@ -86,13 +88,7 @@ def bounded_sample(df: DataFrame, key: str, n: int, of: int | None = None, spare
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: lineage ends at files that every executor can read."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def keep(df: DataFrame) -> DataFrame:
-    """A table written to the shared folder and read back: like cut(), but compressed and by columns. Deleted when Python ends."""
+    """Ends the lineage at files that every executor can read: a table written to the shared folder and read back. Deleted when Python ends."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/paperloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -100,6 +96,10 @@ def keep(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: The same, where it serves to compute something once for several readers.
+keep = cut
+
+
 def _drop(spark: SparkSession, path: str) -> None:
     with contextlib.suppress(Exception):  # the session may have ended
         p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -26,6 +26,17 @@ def duplicate_groups(latest: DataFrame) -> DataFrame:
     return latest.where("content_hash is not null").groupBy("content_hash").agg(F.count("*").alias("n_ids"), F.min("id").alias("canonical_id")).where("n_ids > 1")
 
 
+def with_groups(latest: DataFrame) -> DataFrame:
+    """latest with n_same and canonical_id of its content_hash; documents without a hash are a group of their own, as windows have it.
+
+    Groups are aggregated first and joined, so a content that a third of all documents have is in no single task.
+    """
+    g = latest.groupBy("content_hash").agg(F.count("*").alias("n_same"), F.min("id").alias("canonical_id")).withColumnRenamed("content_hash", "_hash")
+    many = g.where("n_same > 1")  # most contents have one document, which needs no partner
+    j = latest.join(many, F.col("content_hash").eqNullSafe(F.col("_hash")), "left").drop("_hash")
+    return j.withColumn("n_same", F.coalesce("n_same", F.lit(1).cast("bigint"))).withColumn("canonical_id", F.coalesce("canonical_id", "id"))
+
+
 def changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """id, change (added, removed, changed) between two manifests of (id, content_hash); unchanged ids give no row."""
     o, n = old.select("id", F.col("content_hash").alias("h_old"), F.lit(True).alias("in_old")), new.select("id", F.col("content_hash").alias("h_new"), F.lit(True).alias("in_new"))
@@ -41,10 +52,33 @@ def rerun_changes(results: DataFrame) -> DataFrame:
     return r.where("prev_run_id is not null").select("run_id", "id", "prev_run_id", (~F.col("p").eqNullSafe(F.col("content_hash"))).cast("int").alias("changed"))
 
 
+#: Rows of a key that are numbered in one task at most, about.
+NUMBERED = 10_000
+
+
+def numbered(rows: DataFrame, key: str, by: str, tie: str, number: str = "n") -> DataFrame:
+    """rows with `number`, from 1 in each key in the order of (by, tie), however many rows a key has.
+
+    A key is cut into ranges of `by` of about NUMBERED rows by a small table of its least and greatest value and count;
+    each range is numbered by itself, after the count of the ranges before it. Null keys are numbered together, null `by` come first.
+    """
+    at = F.coalesce(F.col(by).cast("double"), F.lit(float("-inf")))
+    of = rows.groupBy(key).agg(F.min(by).cast("double").alias("_lo"), F.max(by).cast("double").alias("_hi"), F.ceil(F.count("*") / NUMBERED).alias("_parts"))
+    same = F.col(f"r.{key}").eqNullSafe(F.col(f"o.{key}"))
+    part = F.floor((at - F.col("_lo")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-9)) * F.col("_parts"))
+    part = F.when((F.col("_parts") <= 1) | F.col("_lo").isNull(), 0).when(at == float("-inf"), -1).otherwise(F.least(part, F.col("_parts") - 1)).cast("bigint")
+    cut = rows.alias("r").join(of.alias("o"), same).select("r.*", part.alias("_part"))
+    sizes = cut.groupBy(key, "_part").agg(F.count("*").alias("_size"))
+    before = sizes.withColumn("_before", F.sum("_size").over(Window.partitionBy(key).orderBy("_part")) - F.col("_size")).select(F.col(key).alias("_key"), F.col("_part").alias("_p"), "_before")
+    inside = F.row_number().over(Window.partitionBy(key, "_part").orderBy(by, tie))
+    j = cut.withColumn("_n", inside).join(before, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_p")))
+    return j.withColumn(number, F.col("_n") + F.col("_before")).select(*rows.columns, number)
+
+
 def image_names(elements: DataFrame) -> DataFrame:
     """run_id, elem_id, image_name: the number of each image in its run, in elem_ord."""
-    w = Window.partitionBy("run_id").orderBy("elem_ord", "elem_id")
-    return elements.where("type = 'image'").select("run_id", "elem_id", paths.image_name(F.row_number().over(w), F.coalesce("format", F.lit("png"))).alias("image_name"))
+    own = elements.where("type = 'image'").select("run_id", "elem_id", "elem_ord", "format")
+    return numbered(own, "run_id", "elem_ord", "elem_id").select("run_id", "elem_id", paths.image_name(F.col("n"), F.coalesce("format", F.lit("png"))).alias("image_name"))
 
 
 # ---- tables and boxes
@@ -108,7 +142,7 @@ def label_by_rules(latest: DataFrame, rules: list[tuple[str, str]], default: str
 
 
 #: Kinds of facts by what a sentence says, first match first; the rest is "other".
-FACT_RULES = (("non_functional", r"(?i)\bwithin \d+ seconds\b|秒以内|性能|暗号化"), ("screen", r"(?i)screen|dialog|画面|页面"), ("report", r"(?i)report|帳票|レポート"), ("data_item", r"(?i)number|code|key|コード|番号|キー"), ("functional", r"(?i)\b(shall|must|can|will|should)\b|できる|すること"))
+FACT_RULES = (("non_functional", r"(?i)(^|[^a-z0-9_])within [0-9]+ seconds([^a-z0-9_]|$)|秒以内|性能|暗号化"), ("screen", r"(?i)screen|dialog|画面|页面"), ("report", r"(?i)report|帳票|レポート"), ("data_item", r"(?i)number|code|key|コード|番号|キー"), ("functional", r"(?i)(^|[^a-z0-9_])(shall|must|can|will|should)([^a-z0-9_]|$)|できる|すること"))
 #: An identifier such as REQ-123.
 IDENTIFIER = r"(?:^|[^A-Za-z0-9_-])([A-Z]{2,4}-[0-9]{3,6})"
 
@@ -156,20 +190,45 @@ def citation_audit(facts: DataFrame, results: DataFrame, elements: DataFrame) ->
 # ---- search and answers
 
 
+#: Characters of a gram of the search index, and the most grams that are looked for in texts without one.
+GRAM, FEW = 2, 200
+
+
+def grams(text: Column) -> Column:
+    """The distinct runs of GRAM neighbouring characters of a text."""
+    chars = F.split(text, "")
+    pairs = F.zip_with(chars, F.slice(chars, F.lit(2), F.greatest(F.size(chars) - 1, F.lit(0))), lambda a, b: F.concat(a, b))
+    return F.array_distinct(F.filter(pairs, lambda x: x.isNotNull() & (F.length(x) == GRAM)))
+
+
+def search_index(elements: DataFrame) -> DataFrame:
+    """gram, elem_id: postings of the text elements, to be written once and read by any number of searches."""
+    e = elements.where("type = 'text' and content <> ''").select("elem_id", F.lower("content").alias("low"))
+    return e.select(F.explode(grams(F.col("low"))).alias("gram"), "elem_id")
+
+
 def matches(elements: DataFrame, questions: DataFrame) -> DataFrame:
     """question_id, elem_id, id, elem_ord, score: text elements that hold a question's terms, score the number of distinct terms in them.
 
-    questions: question_id, terms array<string>; a fixed, small set of queries, so its terms are one pattern per question and the elements are read once.
+    questions: question_id, terms array<string>, any number of them. Terms and elements meet by an equi join on the term's gram
+    that fewest elements hold, as in an inverted index, and only these pairs are tested; no element meets a term without it. Terms of
+    one character, which have no gram, meet by that character.
     """
-    q = questions.select("question_id", F.array_distinct(F.transform(F.filter("terms", lambda t: t.isNotNull() & (t != "")), F.lower)).alias("terms"))
+    q = questions.select("question_id", F.explode(F.array_distinct(F.transform(F.filter("terms", lambda t: t.isNotNull() & (t != "")), F.lower))).alias("term"))
+    asked = q.select("term").distinct().select("term", F.when(F.length("term") < GRAM, F.array("term")).otherwise(grams(F.col("term"))).alias("gs"))
+    wanted = asked.select(F.explode("gs").alias("gram")).distinct()
     e = elements.where("type = 'text' and content <> ''").select("elem_id", "id", "elem_ord", F.lower("content").alias("low"))
-    score = F.size(F.filter("terms", lambda t: F.contains(F.col("low"), t)))
-    rows = q.collect()  # the questions of one call
-    if not rows:
-        return e.select(F.lit(None).cast("bigint").alias("question_id"), "elem_id", "id", "elem_ord", F.lit(0).alias("score")).limit(0)
-    asked = F.array(*[F.struct(F.lit(r["question_id"]).cast("bigint").alias("question_id"), F.array(*[F.lit(t) for t in r["terms"] or ()]).cast("array<string>").alias("terms")) for r in rows])
-    scored = e.select("elem_id", "id", "elem_ord", "low", F.explode(asked).alias("q")).select(F.col("q.question_id").alias("question_id"), "elem_id", "id", "elem_ord", "low", F.col("q.terms").alias("terms"))
-    return scored.select("question_id", "elem_id", "id", "elem_ord", score.alias("score")).where("score > 0")
+    few = [r["gram"] for r in wanted.limit(FEW + 1).collect()]
+    if len(few) <= FEW:  # looked for in the text itself
+        posted = e.select("elem_id", F.explode(F.filter(F.array(*map(F.lit, few)).cast("array<string>"), lambda g: F.contains(F.col("low"), g))).alias("gram"))
+    else:  # postings of the grams that are asked for alone
+        every = F.array_union(grams(F.col("low")), F.array_distinct(F.split("low", "")))
+        posted = e.select("elem_id", F.explode(every).alias("gram")).join(wanted, "gram", "left_semi")
+    often = posted.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = asked.select("term", F.explode("gs").alias("gram")).join(often, "gram", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))["gram"].alias("gram"))
+    pairs = posted.join(rarest, "gram").groupBy("elem_id").agg(F.collect_list("term").alias("terms"))  # an element's terms, of the bounded text it has
+    hit = e.join(pairs, "elem_id").select("elem_id", "id", "elem_ord", F.explode(F.filter("terms", lambda t: F.contains(F.col("low"), t))).alias("term"))
+    return hit.join(q, "term").groupBy("question_id", "elem_id", "id", "elem_ord").agg(F.count("*").cast("int").alias("score"))
 
 
 def top(found: DataFrame, k: int) -> DataFrame:
@@ -218,6 +277,39 @@ def findings(facts: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     return facts.select("fact_id", F.explode(F.filter(checks, lambda x: x.isNotNull())).alias("x")).select("x.rule_id", "x.severity", "fact_id")
 
 
+def item_changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """item_key, kind, change (added, removed, changed): how canonical items differ between two states; changed where other facts support one.
+
+    Items of equal statement, number of facts and first fact are unchanged and give no row.
+    """
+    side = lambda x, s: x.select("item_key", F.col("kind").alias(f"k_{s}"), F.struct("n_facts", "first_fact").alias(s))
+    j = side(old, "o").join(side(new, "n"), "item_key", "full_outer")
+    change = F.when(F.col("o").isNull(), "added").when(F.col("n").isNull(), "removed").when(F.col("o") != F.col("n"), "changed")
+    return j.select("item_key", F.coalesce("k_n", "k_o").alias("kind"), change.alias("change")).where("change is not null")
+
+
+#: Chapters of the design document, by kind of item, in order; other kinds follow.
+CHAPTERS = ("functional", "data_item", "screen", "report", "non_functional")
+
+
+def design_document(items: DataFrame) -> DataFrame:
+    """chapter_no, line_no, line: the design document - a heading for each chapter, then its items by their first fact, each with the number of its facts.
+
+    Lines are numbered within their chapter by ranges (see numbered()), so no chapter is sorted in one task. Written in order of
+    (chapter_no, line_no), for instance by `export_design`, it is the document.
+    """
+    no = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, CHAPTERS)), F.col("kind")), F.lit(0)), F.lit(len(CHAPTERS) + 1))
+    heads = items.groupBy(no.cast("int").alias("chapter_no")).agg(F.min("kind").alias("kind"))
+    title = F.concat(F.lit("# "), F.col("chapter_no").cast("string"), F.lit(" "), F.when(F.col("chapter_no") > len(CHAPTERS), "other").otherwise(F.col("kind")))
+    own = items.select(no.cast("int").alias("chapter_no"), "first_fact", "item_key", _line().alias("line"))
+    body = numbered(own, "chapter_no", "first_fact", "item_key", "line_no").select("chapter_no", F.col("line_no").cast("bigint").alias("line_no"), "line")
+    return heads.select("chapter_no", F.lit(0).cast("bigint").alias("line_no"), title.alias("line")).unionByName(body)
+
+
+def _line() -> Column:
+    return F.concat(F.lit("- "), F.col("statement"), F.lit(" ["), F.col("n_facts").cast("string"), F.lit("]"))
+
+
 def design_text(items: DataFrame) -> DataFrame:
     """kind, n_items, n_chars: the size of each chapter of the design document, whose lines design_lines() gives."""
     return design_lines(items).groupBy("kind").agg(F.count("*").alias("n_items"), F.sum(F.length("line")).alias("n_chars"))
@@ -225,4 +317,4 @@ def design_text(items: DataFrame) -> DataFrame:
 
 def design_lines(items: DataFrame) -> DataFrame:
     """kind, item_key, line of each item."""
-    return items.select("kind", "item_key", F.concat(F.lit("- "), F.col("statement"), F.lit(" ["), F.col("n_facts").cast("string"), F.lit("]")).alias("line"))
+    return items.select("kind", "item_key", _line().alias("line"))

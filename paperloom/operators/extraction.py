@@ -2,34 +2,59 @@
 
 from __future__ import annotations
 
+import importlib
+import importlib.util
 import json
 import os
 from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
+from urllib.parse import quote
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.engine import session, ship
 from paperloom.functions import paths
-from paperloom.sources import files, model, ooxml, pdf
+from paperloom.operators.corpus import with_groups
+from paperloom.sources import files, model, office, ooxml, pdf
 
 PARSERS: dict[str, Callable[[bytes], ooxml.Parsed]] = {"docx": ooxml.docx, "xlsx": ooxml.xlsx, "xlsm": ooxml.xlsx, "pptx": ooxml.pptx, "pdf": pdf.pdf}
 
 #: Text in an image: image bytes and language to text. Tables in an image: image bytes to (rows, box) each.
 OcrBackend = Callable[[bytes, str], str | None]
 TableBackend = Callable[[bytes], list[tuple[list[list[str]], list[float]]]]
-OCR_BACKENDS: dict[str, OcrBackend] = {}
-TABLE_BACKENDS: dict[str, TableBackend] = {}
+#: embedded reads what images carry in their own text chunks; engines that recognise pixels register beside it.
+OCR_BACKENDS: dict[str, OcrBackend] = {"embedded": office.embedded_text}
+TABLE_BACKENDS: dict[str, TableBackend] = {"embedded": office.embedded_tables}
+
+
+def rapidocr() -> OcrBackend | None:
+    """Text recognition by the package rapidocr_onnxruntime, where it and its models are installed; loaded once per worker."""
+    if importlib.util.find_spec("rapidocr_onnxruntime") is None:
+        return None
+
+    def read(data: bytes, _lang: str) -> str | None:
+        lines, _took = _engine()(data)
+        return "\n".join(x[1] for x in lines or ()) or None
+
+    return read
+
+
+@lru_cache(maxsize=1)
+def _engine() -> Callable:
+    return importlib.import_module("rapidocr_onnxruntime").RapidOCR()
 
 
 def ocr_backend(name: str = "auto") -> OcrBackend | None:
-    """A registered backend by name. auto: rapidocr, else windows, else none. An unknown or unavailable name is an error."""
+    """A backend by name. auto: rapidocr, else windows, else embedded. An unknown or unavailable name is an error."""
+    known = OCR_BACKENDS | ({"rapidocr": own} if "rapidocr" not in OCR_BACKENDS and (own := rapidocr()) else {})
     if name == "auto":
-        return next((OCR_BACKENDS[n] for n in ("rapidocr", "windows") if n in OCR_BACKENDS), None)
-    if name not in OCR_BACKENDS:
-        raise ValueError(f"no OCR backend {name!r} is available; registered: {sorted(OCR_BACKENDS)}")
-    return OCR_BACKENDS[name]
+        return next((known[n] for n in ("rapidocr", "windows", "embedded") if n in known), None)
+    if name not in known:
+        raise ValueError(f"no OCR backend {name!r} is available; registered: {sorted(known)}")
+    return known[name]
 
 
 LOCATION_KEYS = ("order", "sheet", "anchor", "slide", "shape_name", "page", "bbox", "from_image", "bbox_in_image")
@@ -97,13 +122,13 @@ def summary(e: DataFrame, key: str = "id") -> DataFrame:
     return e.groupBy(key).agg(*[F.count_if(F.col("type") == t).alias(f"n_{t}") for t in ("text", "table", "image")])
 
 
-def results(docs: DataFrame) -> DataFrame:
-    """Documents as they are exported: summary has the types that occur, elements are in their order."""
+def results(docs: DataFrame, *more: str) -> DataFrame:
+    """Documents as they are exported: summary has the types that occur, elements are in their order; more: other columns of docs."""
     n = lambda t: F.size(F.filter("elements", lambda e: e["type"] == t)).cast("bigint")
     entries = F.filter(F.array(*[F.struct(F.lit(t).alias("key"), n(t).alias("value")) for t in ("text", "table", "image")]), lambda x: x["value"] > 0)
     ordered = F.array_sort("elements")
     out = F.transform(ordered, lambda e: e.dropFields("elem_ord"))
-    return docs.select("id", "source", "source_abspath", "source_hash", "content_hash", "file_type", "metadata", F.map_from_entries(entries).alias("summary"), out.alias("elements"))
+    return docs.select("id", "source", "source_abspath", "source_hash", "content_hash", "file_type", "metadata", F.map_from_entries(entries).alias("summary"), out.alias("elements"), *more)
 
 
 def manifest(docs: DataFrame) -> DataFrame:
@@ -111,8 +136,7 @@ def manifest(docs: DataFrame) -> DataFrame:
 
     Two documents of one id are an error of the input that `identity.collisions` reports.
     """
-    w = Window.partitionBy("content_hash")
-    return docs.select("id", "source", "source_abspath", "content_hash", "file_type").withColumn("n_same", F.count("*").over(w)).withColumn("canonical_id", F.min("id").over(w))
+    return with_groups(docs.select("id", "source", "source_abspath", "content_hash", "file_type"))
 
 
 # ---- export
@@ -123,31 +147,52 @@ def home() -> str:
     return os.environ.get("PAPERLOOM_HOME") or ".paperloom"
 
 
+def place(spark: SparkSession, output: str) -> str:
+    """The URI of an output folder, on a file system that all executors share; a local folder only on a local master."""
+    if "://" in output:
+        return output
+    if not (spark.sparkContext.master or "").startswith("local"):
+        raise RuntimeError(f"{output} is a folder of one machine: name a shared one by its URI")
+    return "file://" + os.path.abspath(output)
+
+
+def write_file(uri: str, data: bytes | Iterator[bytes]) -> None:
+    """Writes one file whole, on any file system that Arrow knows; a repeated write replaces it."""
+    system, path = fs.FileSystem.from_uri(uri)
+    system.create_dir(path.rpartition("/")[0], recursive=True)
+    with system.open_output_stream(path) as f:
+        for part in [data] if isinstance(data, bytes) else data:
+            f.write(part)
+
+
 def export(docs: DataFrame, output: str | None = None) -> str:
-    """Writes output/<id>/result.json, output/<id>/images/ and output/index.json on a file system that all executors share.
+    """Writes output/<id>/result.json, output/<id>/images/ and output/index.json.
 
-    result.json and images are written by the executors. index.json, a line's worth of text per document, is streamed through the driver.
+    result.json and images are written by the executors, each document where it is, without a shuffle; a task that runs again
+    writes the same files. index.json, a line's worth of text per document, is streamed through the driver.
     """
     out = output or os.path.join(home(), "output")
-    os.makedirs(out, exist_ok=True)
-    joined = results(docs).join(docs.select("id", "images"), "id").select("id", F.to_json(F.struct(*[c for c in results(docs).columns])).alias("json"), "images")
+    uri = place(docs.sparkSession, out).rstrip("/")
+    r = results(docs, "images")
+    r = r.select("id", F.to_json(F.struct(*[c for c in r.columns if c != "images"])).alias("json"), "images")
 
     def write(rows: Iterator) -> None:
         for r in rows:
-            folder = os.path.join(out, r["id"])
-            os.makedirs(os.path.join(folder, "images"), exist_ok=True)
-            with open(os.path.join(folder, "result.json"), "w", encoding="utf-8") as f:
-                f.write(r["json"])
+            folder = f"{uri}/{quote(r['id'])}"
+            write_file(f"{folder}/result.json", r["json"].encode())
             for i in r["images"] or ():
-                with open(os.path.join(folder, i["file"]), "wb") as f:
-                    f.write(i["bytes"])
+                write_file(f"{folder}/{i['file']}", bytes(i["bytes"]))
+
+    r.foreachPartition(write)
 
-    joined.foreachPartition(write)
-    with open(os.path.join(out, "index.json"), "w", encoding="utf-8") as f:
-        f.write("{")
+    def lines() -> Iterator[bytes]:
+        yield b"{"
         for n, r in enumerate(manifest(docs).orderBy("id").toLocalIterator()):
-            f.write(("," if n else "") + "\n" + json.dumps(r["id"]) + ": " + json.dumps({k: r[k] for k in ("source", "source_abspath", "content_hash", "file_type", "n_same", "canonical_id")}, ensure_ascii=False))
-        f.write("\n}\n")
+            own = {k: r[k] for k in ("source", "source_abspath", "content_hash", "file_type", "n_same", "canonical_id")}
+            yield (("," if n else "") + "\n" + json.dumps(r["id"]) + ": " + json.dumps(own, ensure_ascii=False)).encode()
+        yield b"\n}\n"
+
+    write_file(f"{uri}/index.json", lines())
     return out
 
 
@@ -159,7 +204,7 @@ def read_results(spark: SparkSession, output: str | None = None) -> DataFrame:
 def extract(source: str | Sequence[str], output_dir: str | None = None, *, spark: SparkSession | None = None, recursive: bool = False, ocr: bool = True, image_tables: bool = True, backend: str = "auto", lang: str = "ja") -> dict:
     """Extracts files, wildcards or folders, exports the results and returns that of a single file, else {"files": n, "output": folder}.
 
-    ocr and image_tables do something where a backend is registered; without, images keep a null ocr_text.
+    ocr and image_tables use the best backend there is (see ocr_backend); an image that it reads nothing in keeps a null ocr_text.
     """
     s = spark or session()
     use = ocr_backend(backend) if ocr else None

@@ -51,9 +51,8 @@ def same_content(spark: SparkSession, d: str) -> DataFrame:
 count(*) over (partition by r.content_hash) as n_same, min(r.id) over (partition by r.content_hash) as canonical_id from results r join latest using (run_id)""")
 def manifest(spark: SparkSession, d: str) -> DataFrame:
     """The index: the latest run of each id with its group of identical content."""
-    r = corpus.latest_runs(table(spark, d, "results"))
-    g = r.groupBy("content_hash").agg(F.count("*").alias("n_same"), F.min("id").alias("canonical_id"))
-    return r.join(g, "content_hash").select("id", "run_id", "source", "content_hash", F.lower("file_type").alias("file_type"), "n_same", "canonical_id")
+    r = corpus.with_groups(corpus.latest_runs(table(spark, d, "results")))
+    return r.select("id", "run_id", "source", "content_hash", F.lower("file_type").alias("file_type"), "n_same", "canonical_id")
 
 
 @query("""select run_id, id, prev_run_id, (p is distinct from content_hash)::int as changed from (select run_id, id, content_hash,
@@ -240,10 +239,14 @@ def citation_audit(spark: SparkSession, d: str) -> DataFrame:
     return corpus.citation_audit(table(spark, d, "facts"), table(spark, d, "results"), table(spark, d, "elements"))
 
 
-@query("""select elem_id, run_id, elem_ord, ref from (select elem_id, run_id, elem_ord, unnest(list_distinct(regexp_extract_all(content, '(?:^|[^A-Za-z0-9_-])([A-Z]{2,4}-[0-9]{3,6})', 1))) as ref from elements where type = 'text' and content is not null)""")
+@query("""select elem_id, run_id, elem_ord, kind, ref, quote from (select elem_id, run_id, elem_ord, case
+when regexp_matches(content, '(?i)(^|[^a-z0-9_])within [0-9]+ seconds([^a-z0-9_]|$)|秒以内|性能|暗号化') then 'non_functional' when regexp_matches(content, '(?i)screen|dialog|画面|页面') then 'screen'
+when regexp_matches(content, '(?i)report|帳票|レポート') then 'report' when regexp_matches(content, '(?i)number|code|key|コード|番号|キー') then 'data_item'
+when regexp_matches(content, '(?i)(^|[^a-z0-9_])(shall|must|can|will|should)([^a-z0-9_]|$)|できる|すること') then 'functional' else 'other' end as kind,
+unnest(list_distinct(regexp_extract_all(content, '(?:^|[^A-Za-z0-9_-])([A-Z]{2,4}-[0-9]{3,6})', 1))) as ref, substr(content, 1, 60) as quote from elements where type = 'text' and content is not null)""")
 def extracted_facts(spark: SparkSession, d: str) -> DataFrame:
-    """Facts by rules: an identifier with its place."""
-    return corpus.extract_facts(table(spark, d, "elements")).select("elem_id", "run_id", "elem_ord", "ref")
+    """Facts by rules: an identifier with its kind, place and quote."""
+    return corpus.extract_facts(table(spark, d, "elements"))
 
 
 QUESTIONS = [(1, ["保管サービス", "単価"]), (2, ["exchange rates", "mobile client"]), (3, ["zzqx"]), (4, ["Freigabeprozess"]), (5, [])]
@@ -298,6 +301,38 @@ def design_chapters(spark: SparkSession, d: str) -> DataFrame:
     return corpus.design_text(corpus.canonical_items(table(spark, d, "facts")))
 
 
+ITEMS = """select kind, min(fact_id) as first_fact, count(*) as n_facts, min(statement) as statement, regexp_replace(lower(trim(statement)), '\\s+', ' ', 'g') as key
+from facts where statement is not null and kind is not null {more} group by kind, regexp_replace(lower(trim(statement)), '\\s+', ' ', 'g')"""
+
+
+@query(f"""with i as ({ITEMS.format(more='')}), c as (select *, case kind when 'functional' then 1 when 'data_item' then 2 when 'screen' then 3 when 'report' then 4 when 'non_functional' then 5 else 6 end as chapter_no from i)
+select chapter_no, row_number() over (partition by chapter_no order by first_fact) as line_no, '- ' || statement || ' [' || n_facts || ']' as line from c
+union all select chapter_no, 0, '# ' || chapter_no || ' ' || case when chapter_no > 5 then 'other' else min(kind) end from c group by chapter_no""")
+def design_document(spark: SparkSession, d: str) -> DataFrame:
+    """The design document: chapters with their items as numbered lines."""
+    return corpus.design_document(corpus.canonical_items(table(spark, d, "facts")))
+
+
+@query(f"""with o as ({ITEMS.format(more="and created_at < timestamp '2023-07-01'")}), n as ({ITEMS.format(more='')})
+select n.kind, n.first_fact, case when o.key is null then 'added' else 'changed' end as change from n left join o on o.kind = n.kind and o.key = n.key where o.key is null or o.n_facts <> n.n_facts or o.first_fact <> n.first_fact""")
+def item_changes(spark: SparkSession, d: str) -> DataFrame:
+    """How canonical items changed since a day; none can be removed, as facts are only added."""
+    f = table(spark, d, "facts")
+    new = corpus.canonical_items(f)
+    c = corpus.item_changes(corpus.canonical_items(f.where(F.col("created_at") < F.lit("2023-07-01").cast("timestamp_ntz"))), new)
+    return c.join(new.select("item_key", "first_fact"), "item_key").select("kind", "first_fact", "change")
+
+
+LABELS = [("(?i)test|テスト|試験|测试", "test"), ("(?i)manual|handbuch|マニュアル|手順", "manual"), ("(?i)design|entwurf|設計|设计", "design"), ("(?i)minutes|議事|protokoll", "minutes")]
+
+
+@query(f"""with {RUNS}, l as (select r.id, concat_ws(' ', r.metadata.title, r.source) as t from results r join latest using (run_id))
+select id, case {' '.join(f"when regexp_matches(t, '{p}') then '{n}'" for p, n in LABELS)} else 'other' end as doc_type from l""")
+def rule_labels(spark: SparkSession, d: str) -> DataFrame:
+    """A type for each document by rules on its title and file name."""
+    return corpus.label_by_rules(corpus.latest_runs(table(spark, d, "results")), LABELS)
+
+
 @query("""select doc_id, unnest(range(1, len(l) + 1)) as line_no, unnest(l) as line from (select doc_id, string_split(replace(text, chr(13), ''), chr(10)) as l from documents where text is not null)""")
 def doc_lines(spark: SparkSession, d: str) -> DataFrame:
     """Text as ordered line elements."""

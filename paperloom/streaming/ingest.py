@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from paperloom.functions import paths
-from paperloom.operators import extraction
+from paperloom.operators import corpus, extraction
 
 FILES = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -21,20 +21,32 @@ def new_files(spark: SparkSession, folder: str, recursive: bool = True) -> DataF
 def ingest(spark: SparkSession, folder: str, store: str, state: str, ocr: extraction.OcrBackend | None = None) -> StreamingQuery:
     """Extracts what is new in a folder into Parquet tables documents and elements under `store`, then stops.
 
-    A file that is read again after a failure gives the same ids, so readers keep the latest row of each id.
+    Each batch is a partition, which a batch that runs again after a failure replaces, so no row is there twice. A file that
+    changed is read again in a later batch; readers keep the latest batch of each id.
     """
 
     def write(batch: DataFrame, n: int) -> None:
         docs = extraction.documents(batch, ocr).persist()
         try:
-            extraction.results(docs).drop("elements").withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{store}/documents")
-            extraction.elements(docs).withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{store}/elements")
+            extraction.results(docs).drop("elements").write.mode("overwrite").parquet(f"{store}/documents/batch={n}")
+            extraction.elements(docs).write.mode("overwrite").parquet(f"{store}/elements/batch={n}")
         finally:
             docs.unpersist()
 
     return new_files(spark, folder).writeStream.foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start()
 
 
+def save_facts(facts: DataFrame, store: str) -> None:
+    """The merged facts and their canonical items under `store`: Parquet tables facts and spec_items, and the facts as JSON lines in facts_json.
+
+    Each is written whole by the executors and replaces what was there.
+    """
+    merged = corpus.merge_facts(facts)
+    merged.write.mode("overwrite").parquet(f"{store}/facts")
+    merged.write.mode("overwrite").json(f"{store}/facts_json")
+    corpus.canonical_items(facts).write.mode("overwrite").parquet(f"{store}/spec_items")
+
+
 def first_of_content(stream: DataFrame, time: str, late: str = "7 days") -> DataFrame:
     """The first delivery of each content_hash in a stream, with a watermark that bounds the state; later than `late` counts anew."""
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(["content_hash"])

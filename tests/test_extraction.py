@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from paperloom import cli
 from paperloom.operators import extraction
-from paperloom.sources import files, ooxml, pdf
+from paperloom.sources import files, office, ooxml, pdf
 from paperloom.streaming import ingest
 from tests import builders
 
@@ -105,7 +105,10 @@ def test_backends(spark, tree):
     assert image["ocr_text"].startswith("ja:") and found["type"] == "table" and found["location"]["from_image"] == image["file"] and found["location"]["bbox_in_image"] == [1.0, 2.0, 3.0, 4.0]
     with pytest.raises(ValueError):
         extraction.ocr_backend("windows")
-    assert extraction.ocr_backend("auto") is None
+    own = extraction.ocr_backend("auto")
+    image = office.image({"width": 3, "height": 4, "ocr_text": "合計 12", "tables": [{"rows": [["a"]], "box": [0, 0, 3, 4]}]})
+    assert own is extraction.OCR_BACKENDS["embedded"] and own(image, "ja") == "合計 12" and own(b"x", "ja") is None
+    assert extraction.TABLE_BACKENDS["embedded"](image) == [([["a"]], [0, 0, 3, 4])] and extraction.TABLE_BACKENDS["embedded"](b"") == []
 
 
 def test_cli(spark, tree, capsys, monkeypatch):
@@ -126,3 +129,48 @@ def test_ingest(spark, tree):
     ingest.ingest(spark, str(tree / "a"), store, state).awaitTermination()
     assert spark.read.parquet(f"{store}/documents").count() == 3
     assert spark.read.parquet(f"{store}/elements").where("type = 'text'").count() == 7
+
+
+def test_filters():
+    assert pdf.lzw(bytes([0x80, 0x0B, 0x60, 0x50, 0x22, 0x0C, 0x0C, 0x85, 0x01])) == bytes([45, 45, 45, 45, 45, 65, 45, 45, 45, 66])
+    assert pdf.ascii85(b"<~87cURDZ~>") == b"Hello"
+    assert pdf.run_lengths(bytes([2, 65, 66, 67, 254, 68, 128, 9])) == b"ABCDDD" and pdf.hexed(b"48 65 6C>") == b"Hel"
+
+
+def test_raw_image_samples_become_png():
+    data = builders.pdf()
+    at = data.index(b"/Filter /DCTDecode")
+    end = data.index(b"\nendstream", at)
+    data = data[:at] + b"/ColorSpace /DeviceGray /BitsPerComponent 8 /Length 2400 >>\nstream\n" + bytes(2400) + data[end:]
+    _meta, es, images = pdf.pdf(data)
+    (e,) = [e for e in es if e["type"] == "image"]
+    assert (e["format"], e["width"], e["height"]) == ("png", 60, 40) and ooxml.image_size(images[0][1]) == ("png", 60, 40)
+
+
+HARD = [{"type": "text", "content": "a\tb\n<&>\x01 ü", "style": "Heading 2", "location": {"slide": 3, "page": 2, "shape_name": None}}, {"type": "text", "content": "", "style": None}, {"type": "table", "rows": []}, {"type": "table", "rows": [None, ["x", None], ["", "𠀋", "1.5"]], "location": {"sheet": "S & T"}}, {"type": "image", "width": None, "height": 7, "location": {"sheet": "S", "anchor": "AB3"}}, {"type": "text", "content": None}]
+
+
+@pytest.mark.parametrize("ext", list(office.WRITERS))
+def test_writers(ext):
+    """What is written is read back; nulls, empty values, marks of XML and other planes are no trouble."""
+    got = extraction.parse(ext, office.WRITERS[ext]({"title": "T <1>", "author": "", "created": None}, [{**e, "location": e.get("location")} for e in HARD]))
+    assert got["error"] is None and got["metadata"]["title"] == "T <1>" and not got["metadata"]["author"]
+    kinds = [e["type"] for e in got["elements"]]
+    assert kinds.count("image") == 1 and kinds.count("table") == 1 and kinds.count("text") == (0 if ext in ("xlsx", "xlsm") else 1)
+    cells = [c for e in got["elements"] if e["type"] == "table" for r in e["rows"] for c in r if c]
+    assert cells == ["x", "𠀋", "1.5"]
+    assert extraction.parse(ext, office.WRITERS[ext](None, []))["elements"] == []
+
+
+def test_shown_styles():
+    for n in ("Heading 1", "Title", "heading 1x", "見出し 1", "Caption"):
+        assert ooxml.shown_style(ooxml.internal_style(n)) == n
+    assert ooxml.shown_style("heading 3") == "Heading 3" and ooxml.internal_style("Header") == "header"
+
+
+def test_save_facts(spark, tree):
+    f = spark.createDataFrame([(1, "a", "functional", "Shall x", 1, "q", 0), (2, "a", "functional", "shall  X", 1, None, 1)], "fact_id long, id string, kind string, statement string, elem_ord int, quote string, shard int").withColumn("created_at", F.lit("2024-01-01").cast("timestamp"))
+    for _ in range(2):
+        ingest.save_facts(f, str(tree / "s"))
+    assert spark.read.parquet(str(tree / "s" / "facts")).count() == spark.read.json(str(tree / "s" / "facts_json")).count() == 1
+    assert spark.read.parquet(str(tree / "s" / "spec_items")).first().n_facts == 2
