@@ -14,8 +14,12 @@ hot exporter nor a hot project moves rows.
 from __future__ import annotations
 
 import json
+import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from json.decoder import scanstring
+from json.scanner import NUMBER_RE
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -133,13 +137,81 @@ def _no_constant(x: str) -> None:
     raise ValueError(f"{x} is not JSON")
 
 
+SPACE = re.compile(r"[ \t\n\r]*")
+LITERAL = {"true": True, "false": False, "null": None}
+
+
+def deep(text: str) -> object:
+    """The value of JSON text by a stack of its own, however deep it is nested; ValueError where it is invalid."""
+    at = SPACE.match(text, 0).end()
+    stack: list[list | dict] = []
+    names: list[str | None] = []
+    while True:
+        c = text[at : at + 1]
+        done = True
+        if c in ("{", "["):
+            own: list | dict = {} if c == "{" else []
+            at = SPACE.match(text, at + 1).end()
+            value: object = own
+            if text[at : at + 1] == ("}" if c == "{" else "]"):
+                at += 1
+            else:
+                stack.append(own)
+                names.append(None)
+                done = False
+        elif c == '"':
+            value, at = scanstring(text, at + 1, True)
+        elif m := NUMBER_RE.match(text, at):
+            whole, fraction, exponent = m.groups()
+            value, at = float(m.group()) if fraction or exponent else int(whole), m.end()
+        else:
+            word = next((w for w in LITERAL if text.startswith(w, at)), None)
+            if word is None:
+                raise ValueError(f"no value at {at}")
+            value, at = LITERAL[word], at + len(word)
+        while done:
+            at = SPACE.match(text, at).end()
+            if not stack:
+                if at != len(text):
+                    raise ValueError(f"more text at {at}")
+                return value
+            top = stack[-1]
+            if isinstance(top, list):
+                top.append(value)
+            else:
+                top[names[-1]] = value
+            c = text[at : at + 1]
+            if c == ",":
+                at = SPACE.match(text, at + 1).end()
+                done = False
+            elif c == ("]" if isinstance(top, list) else "}"):
+                value, at = stack.pop(), at + 1
+                names.pop()
+            else:
+                raise ValueError(f"no end at {at}")
+        if isinstance(stack[-1], dict):
+            if text[at : at + 1] != '"':
+                raise ValueError(f"no name at {at}")
+            names[-1], at = scanstring(text, at + 1, True)
+            at = SPACE.match(text, at).end()
+            if text[at : at + 1] != ":":
+                raise ValueError(f"no colon at {at}")
+            at = SPACE.match(text, at + 1).end()
+
+
 def parse(text: str | None) -> tuple[bool, object]:
-    """(valid, value). NaN and Infinity, a nesting too deep to parse, null and empty text are invalid."""
+    """(valid, value). NaN and Infinity, null and empty text are invalid."""
     if not text:
         return False, None
     try:
         return True, json.loads(text, parse_constant=_no_constant)
-    except (ValueError, RecursionError):
+    except RecursionError:
+        pass
+    except ValueError:
+        return False, None
+    try:
+        return True, deep(text)
+    except ValueError:
         return False, None
 
 
@@ -195,7 +267,10 @@ def _at(rec: object, path: tuple[str, ...]) -> object:
 def _text(v: object) -> str | None:
     if v is None or isinstance(v, str):
         return v
-    return json.dumps(v, ensure_ascii=False)
+    try:
+        return json.dumps(v, ensure_ascii=False)
+    except RecursionError:
+        return None
 
 
 def _normal(v: object) -> str | None:
@@ -258,13 +333,14 @@ def resolve(g: SchemaGraph, tables: dict[str, TablePlan], rows: list[tuple]) ->
 FLAT = "table string, root_ord int, root_id string, key string, parent_table string, parent_key string, ordinal int"
 
 
-def flatten(df: DataFrame, doc: str, payload: str, g: SchemaGraph = RESULT_GRAPH, keep: tuple[str, ...] | None = None, attrs: bool = True) -> DataFrame:
+def flatten(df: DataFrame, doc: str, payload: str, g: SchemaGraph = RESULT_GRAPH, keep: tuple[str, ...] | None = None, attrs: bool = True, others: bool = False) -> DataFrame:
     """Shreds every JSON payload of `df`: columns `doc`, FLAT and, with attrs, attrs map<string,string> of the plan's columns.
 
     Defined results: a null, empty, cut-off or otherwise invalid payload gives no row; a valid one without a root record
     none either. Repeated payload rows give repeated rows. Null members hold their position and give no row. Text where
     an object is expected counts if it is JSON, otherwise gives no row. Other columns of `df` are ignored, whatever
-    their names. keep: only rows of these tables.
+    their names. keep: only rows of these tables. others: attrs has the keys that the graph doesn't know instead, so that
+    nothing of a record is lost. A scalar that nests too deep to be written as text is null.
     """
     tables = plan(g)
     known = frozenset(g.scalars[g.root]) | {e.name for e in g.edges[g.root]}
@@ -289,7 +365,9 @@ def flatten(df: DataFrame, doc: str, payload: str, g: SchemaGraph = RESULT_GRAPH
                         ids.append(i)
                         for c, v in zip(cols, (t, n, rid, key, pt, pk, o)):
                             c.append(v)
-                        if attrs:
+                        if others:
+                            cols[7].append([(k, _text(v)) for k, v in unknown(tables[t], r)])
+                        elif attrs:
                             own = tables[t].columns
                             cols[7].append([(c, _text(r if p == ("",) else v)) for c, p in own.items() if (v := r if p == ("",) else _at(r, p)) is not None])
             for s in range(0, len(ids), 20_000):
@@ -304,6 +382,88 @@ def flatten(df: DataFrame, doc: str, payload: str, g: SchemaGraph = RESULT_GRAPH
     return df.select(F.col(doc), F.col(payload).cast("string")).mapInArrow(run, schema)
 
 
+def unknown(p: TablePlan, rec: object) -> Iterator[tuple[str, object]]:
+    """Dotted keys of a record, and of what is inlined in it, that its table's plan has no column or child for, with their values."""
+    paths = {(*x,) for x in p.columns.values()} | {c[0] for c in p.children}
+    inner = {x[:i] for x in paths for i in range(1, len(x))}
+    todo: list[tuple[tuple[str, ...], object]] = [((), rec)]
+    while todo:
+        at, r = todo.pop()
+        for k, v in r.items() if isinstance(r, dict) else ():
+            here = (*at, k)
+            if here in inner:
+                todo.append((here, _parsed(v)))
+            elif here not in paths and v is not None:
+                yield ".".join(here), v
+
+
+def other_keys(df: DataFrame, doc: str, payload: str, g: SchemaGraph = RESULT_GRAPH) -> DataFrame:
+    """`doc`, root_ord, table, key, name, value: a row for each attribute of a record that the graph doesn't know, nested ones as JSON text."""
+    flat = flatten(df, doc, payload, g, others=True)
+    return flat.select(doc, "root_ord", "table", "key", F.explode("attrs").alias("name", "value"))
+
+
+#: Edges of a derived graph: more would be keys that are data, such as ids, which are to be shredded as values first.
+MAX_EDGES = 10_000
+
+
+def profile(df: DataFrame, payload: str) -> DataFrame:
+    """type, name, kind (scalar, one, many), n: the edges of the records as they are. A type is named by the key that its records are under, "" at the top.
+
+    Each task counts its own distinct edges, whose sums are aggregated; records of a key nested in itself are one recursive type.
+    Null, empty and invalid payloads have none; JSON text inside a string counts as if parsed.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: Counter[tuple[str, str, str]] = Counter()
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                ok, value = parse(text)
+                todo: list[tuple[str, object]] = [("", value)] if ok else []
+                while todo:
+                    of, v = todo.pop()
+                    v = _parsed(v)
+                    if isinstance(v, list):
+                        for x in v:
+                            x = _parsed(x)
+                            if isinstance(x, list):
+                                n[of, "", "many"] += 1
+                            elif not isinstance(x, dict):
+                                n[of, "", "scalar"] += x is not None
+                            todo.append((of, x))
+                    for k, x in v.items() if isinstance(v, dict) else ():
+                        x = _parsed(x)
+                        n[of, k, "many" if isinstance(x, list) else "one" if isinstance(x, dict) else "scalar"] += 1
+                        if isinstance(x, (dict, list)):
+                            todo.append((k, x))
+        if n:
+            of, name, kind, many = zip(*((*k, v) for k, v in n.items()))
+            yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(name), pa.array(kind), pa.array(many, pa.int64())], ["type", "name", "kind", "n"])
+
+    return df.select(F.col(payload).cast("string")).mapInArrow(run, "type string, name string, kind string, n long").groupBy("type", "name", "kind").agg(F.sum("n").alias("n"))
+
+
+def derived(edges: DataFrame, root: str) -> SchemaGraph:
+    """The schema graph below the records under the key `root`, from their profile(): a key that ever holds an array is repeated."""
+    rows = edges.limit(MAX_EDGES + 1).collect()
+    if len(rows) > MAX_EDGES:
+        raise ValueError(f"more than {MAX_EDGES} edges: keys seem to be data")
+    by: dict[str, dict[str, set[str]]] = {}
+    for r in rows:
+        by.setdefault(r["type"], {}).setdefault(r["name"], set()).add(r["kind"])
+    scalars = {t: tuple(sorted(k for k, kinds in own.items() if k and kinds == {"scalar"})) for t, own in by.items()}
+    out: dict[str, tuple[Edge, ...]] = {}
+    todo, known = [root], set()
+    while todo:
+        t = todo.pop()
+        if t in known:
+            continue
+        known.add(t)
+        out[t] = tuple(Edge(k, k, "many" in kinds) for k, kinds in sorted(by.get(t, {}).items()) if k and kinds != {"scalar"})
+        todo += [e.target for e in out[t]]
+    return SchemaGraph(root, {t: scalars.get(t, ()) for t in known}, out)
+
+
 def wide(flat: DataFrame, doc: str, table: str, g: SchemaGraph = RESULT_GRAPH) -> DataFrame:
     """One of the related tables with a column for each attribute, dots as underscores, beside its keys."""
     cols: list[Column] = []

@@ -65,3 +65,56 @@ def test_every_element_has_a_place(elements):
     count = lambda es: sum(1 + count(e.get("elements", [])) for e in es if e)
     own = [r for r in rows if r[0] == "element"]
     assert len(own) == len({r[1] for r in own}) == count(elements) and all(at(r[1]) is r[5] for r in own)
+
+
+values = st.recursive(st.none() | st.booleans() | st.integers() | st.floats(allow_nan=False, allow_infinity=False) | st.text(), lambda c: st.lists(c, max_size=4) | st.dictionaries(st.text(), c, max_size=4), max_leaves=20)
+
+
+@settings(max_examples=150, deadline=None)
+@given(values, st.sampled_from([None, 1]))
+def test_deep_reads_what_json_reads(v, indent):
+    assert sh.deep(json.dumps(v, indent=indent)) == v
+
+
+def test_deep():
+    n = 20_000
+    v = sh.deep("[" * n + "1" + "]" * n)
+    for _ in range(n):
+        (v,) = v
+    assert v == 1
+    for bad in ("", "[", "[1", "[1,]", "{", '{"a"', '{"a":', '{"a":1,}', "[1] 2", "nul", '"x', "{1:2}", "[1 2]", "]"):
+        try:
+            got = sh.deep(bad)
+        except ValueError:
+            continue
+        raise AssertionError((bad, got))
+
+
+def test_nested_deep(spark):
+    n = 3000
+    text = '{"id": "x", "elements": [' + '{"type": "group", "elements": [' * n + "]}" * n + "]}"
+    assert len(nodes(spark, text)) == n and nodes(spark, text[:-1]) == []
+
+
+def test_nothing_is_lost(spark):
+    r = {"id": "x", "note": {"by": "ana"}, "metadata": {"title": "t", "lang": "ja"}, "elements": [{"type": "text", "rank": 3, "location": {"page": 1, "zone": [1]}, "void": None}], "type": 1}
+    df = spark.createDataFrame([(1, json.dumps(r)), (2, None), (3, "{")], "raw_id long, payload string")
+    got = sorted((x.table, x.key, x.name, x.value) for x in sh.other_keys(df, "raw_id", "payload").collect())
+    assert got == [("element", "1", "location.zone", "[1]"), ("element", "1", "rank", "3"), ("result", "", "metadata.lang", "ja"), ("result", "", "note", '{"by": "ana"}'), ("result", "", "type", "1")]
+
+
+def test_derived_graph(spark):
+    part = {"name": "a", "parts": [{"name": "b", "maker": {"town": "T"}}, {"name": "c", "parts": {"name": "d"}}], "tags": ["x", "y"]}
+    df = spark.createDataFrame([(1, json.dumps({"product": part})), (2, "bad")], "raw_id long, payload string")
+    edges = sh.profile(df, "payload")
+    assert {(r.type, r.name, r.kind): r.n for r in edges.collect()}[("parts", "parts", "one")] == 1
+    g = sh.derived(edges, "product")
+    p = sh.plan(g)
+    assert set(p) == {"product", "parts", "tags"} and g.reaches("parts", "parts") and "maker.town" in p["parts"].columns
+    assert sh.profile(df.limit(0), "payload").count() == 0
+
+
+def test_rows_without_cells(spark):
+    r = {"id": "x", "elements": [{"type": "table", "rows": [[], ["a"], None]}]}
+    flat = sh.flatten(spark.createDataFrame([(1, json.dumps(r))], "raw_id long, payload string"), "raw_id", "payload")
+    assert sorted(x.key for x in sh.wide(flat, "raw_id", "row").collect()) == ["1:1", "1:2"]
