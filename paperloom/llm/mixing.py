@@ -1,15 +1,16 @@
 """Mixing sources to target weights by iterative proportional fitting and systematic sampling.
 
-1. Every document gets its size in tokens, a normal language and a topic; one aggregation gives tokens by cell of
-   (source, language, topic). Cells are few whatever the corpus holds: sources of the target table, LANGS and one
-   "other", TOPICS and one "other".
+1. Every document gets its size in tokens, a normal language and a topic, the family of the first identifier that its text
+   cites; one aggregation gives tokens by cell of (source, language, topic). Cells are few whatever the corpus holds:
+   sources of the target table, the MOST_LANGS languages and MOST_TOPICS families that most documents have, and one "other" each.
 2. For each mix, raking fits a weight to each cell - the expected uses of each of its documents - to three marginals: the
    wanted tokens of each source, and the languages' and topics' natural shares. A weight never exceeds max_repeats; what a
    capped cell can't give, other cells of its source give, so a source misses its target only if all of it is used up.
 3. Documents are sampled by these weights: within a mix and source they lie in order of size on a line, each as long as its
    weight, and are used as often as the line's unit marks fall on them. So each is used floor(w) or ceil(w) times with
    expectation w, and the tokens of a source differ from their target by about one document. The line is cut into
-   buckets of like sizes, whose starts come from a small table of sums: no source is ever in one task.
+   buckets of like sizes, whose starts come from a table of sums. A source has as many buckets as its rows need for about
+   BUCKET each, so a source that holds a third of all documents is in no single task.
 """
 
 from __future__ import annotations
@@ -21,32 +22,39 @@ from pyspark.sql import functions as F
 from paperloom.engine import cut
 from paperloom.llm import tokens
 
-#: Languages with a marginal of their own.
-LANGS = ("ja", "en", "de", "fr", "zh", "pt", "ru", "hi", "th")
-#: Topics: families of the identifiers that a text cites.
-TOPICS = ("BAT", "CHG", "DTO", "FN", "IF", "ISS", "MAP", "MSG", "NFR", "PRM", "REQ", "RPT", "SCR", "TBL", "TC")
-#: Buckets of one source on the sampling line: classes of size times salts of the hash of doc_id.
-CLASSES, SALTS = 32, 32
+#: Languages and topics with a marginal of their own, at most.
+MOST_LANGS, MOST_TOPICS = 16, 32
+#: Classes of size on the sampling line, and documents of one source in a bucket, about.
+CLASSES, BUCKET = 32, 20_000
 ROUNDS = 60
+#: An identifier: two to four letters, then a number after a hyphen, a number with a part after a slash, or a name and a number.
+IDENTIFIER = r"(?i)(?<![a-z0-9])([a-z]{2,4})(?:-[0-9]{3,}|[0-9]{2,}/[a-z][0-9]|_[a-z]+_[0-9])"
 
 
 def language(lang: Column) -> Column:
-    """ja for JA, ja-XX, "ja " and so on; "other" for null and the rest."""
-    code = F.substring(F.lower(F.trim(lang)), 1, 2)
-    return F.when(code.isin(*LANGS), code).otherwise(F.lit("other"))
+    """ja for JA, ja-XX, "ja " and so on; "other" for null and what is no such code."""
+    code = F.lower(F.regexp_extract(F.trim(lang), r"^([A-Za-z]{2})(?:[^A-Za-z].*)?$", 1))
+    return F.when(code != "", code).otherwise(F.lit("other"))
 
 
 def topic(text: Column) -> Column:
     """The family of the first identifier that a text cites; "other" where none is."""
-    first = F.upper(F.regexp_extract(text, r"(?i)(?<![a-z0-9])(" + "|".join(TOPICS) + r")[-_]?[0-9a-z]", 1))
+    first = F.upper(F.regexp_extract(text, IDENTIFIER, 1))
     return F.when(first != "", first).otherwise(F.lit("other"))
 
 
+def common(docs: DataFrame, col: str, most: int) -> Column:
+    """`col` where it is among the `most` values that most documents have, then the first in alphabetical order, else "other"."""
+    top = docs.where(F.col(col) != "other").groupBy(col).agg(F.count("*").alias("n")).orderBy(F.desc("n"), col).limit(most).collect()
+    return F.when(F.col(col).isin([r[col] for r in top]), F.col(col)).otherwise(F.lit("other"))
+
+
 def sized(documents: DataFrame, folder: str = tokens.TOKENIZERS) -> DataFrame:
-    """doc_id, source, lang, topic, n_tokens of every document with any token, kept as files as two passes need it."""
+    """doc_id, source, lang, topic, n_tokens of every document with any token, kept as files as several passes need it."""
     d = documents.select("doc_id", "source", language(F.col("lang")).alias("lang"), topic(F.coalesce("text", F.lit(""))).alias("topic"), "text")
     n = tokens.encode(d, "doc_id", "text", folder=folder, counts_only=True, carry=("source", "lang", "topic"))
-    return cut(n.where("n_tokens > 0"))
+    n = cut(n.where("n_tokens > 0"))
+    return n.withColumn("lang", common(n, "lang", MOST_LANGS)).withColumn("topic", common(n, "topic", MOST_TOPICS))
 
 
 def fill(w: np.ndarray, t: np.ndarray, want: float, cap: float) -> np.ndarray:
@@ -126,21 +134,31 @@ def mix(documents: DataFrame, mix_targets: DataFrame, folder: str = tokens.TOKEN
 
 def sample(docs: DataFrame, mix_targets: DataFrame) -> DataFrame:
     """mix() of documents that have their size."""
-    w = weights(docs, mix_targets)
+    w = weights(docs, mix_targets)  # at most the mixes' sources times languages times topics: sent to the tasks as it is small
     d = docs.where("doc_id is not null").withColumn("h", F.xxhash64("doc_id"))
-    d = d.withColumn("b", F.least(F.lit(CLASSES - 1), F.floor(F.log2("n_tokens") * 2)).cast("int") * SALTS + F.pmod("h", F.lit(SALTS)).cast("int"))
-    d = d.join(F.broadcast(w), ["source", "lang", "topic"])  # at most the mixes' sources times languages times topics
+    d = d.withColumn("size", F.least(F.lit(CLASSES - 1), F.floor(F.log2("n_tokens") * 2)).cast("int"))
+    salts = d.groupBy("source", "size").agg(F.ceil(F.count("*") / BUCKET).cast("int").alias("salts"))  # at most CLASSES rows a source
+    d = d.join(salts, ["source", "size"]).withColumn("b", F.col("size").cast("bigint") * (1 << 32) + F.pmod("h", F.col("salts"))).drop("size", "salts")
+    d = d.join(w, ["source", "lang", "topic"])
     keys = ("mix_name", "source", "b")
     starts = d.groupBy(*keys).agg(F.sum("w").alias("s"))
     line = Window.partitionBy("mix_name", "source").orderBy("b")
     starts = starts.select(*keys, (F.sum("s").over(line) - F.col("s")).alias("start"))
     inside = Window.partitionBy(*keys).orderBy("n_tokens", "h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("c", F.sum("w").over(inside)).join(F.broadcast(starts), list(keys))  # CLASSES * SALTS rows per mix and source
+    d = d.withColumn("c", F.sum("w").over(inside)).join(starts, list(keys))
     u = F.pmod(F.xxhash64("mix_name", "source"), F.lit(10007)) / 10007.0
     end, begin = F.floor(F.col("start") + F.col("c") + u + 1e-7), F.floor(F.col("start") + F.col("c") - F.col("w") + u + 1e-7)
     return d.withColumn("uses", (end - begin).cast("int")).where("uses > 0").select("mix_name", "doc_id", "source", "lang", "topic", "n_tokens", "uses")
 
 
+def limits_kept(report: DataFrame) -> DataFrame:
+    """mix_name, source, within_repeats, share_met: of each row of shares(), 1 where no document is used oftener than it may, and where the
+    tokens differ from those wanted by no more than the uses of one large document, or a source that can't give them is used up."""
+    room = F.greatest(F.lit(0.02) * F.col("target_tokens"), F.lit(20_000.0))
+    met = F.when(F.col("reachable"), F.abs(F.col("actual_tokens") - F.col("target_tokens")) <= room).otherwise(F.col("actual_tokens") == F.col("available_tokens") * F.col("max_repeats"))
+    return report.select("mix_name", "source", (F.col("most_uses") <= F.col("max_repeats")).cast("int").alias("within_repeats"), met.cast("int").alias("share_met"))
+
+
 def shares(documents: DataFrame, mix_targets: DataFrame, folder: str = tokens.TOKENIZERS) -> DataFrame:
     """The report: a row per mix and source of the targets, with wanted and actual tokens and shares.
 

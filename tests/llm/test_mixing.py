@@ -34,3 +34,18 @@ def test_mix(spark):
     m = mixing.mix(d, t)
     assert m.where(F.col("doc_id").isin(900, 901, 902)).count() == 0
     assert mixing.mix(d.limit(0), t).count() == 0 and mixing.mix(d, t.limit(0)).count() == 0
+
+
+def test_limits_and_many_buckets(spark, monkeypatch):
+    """The same shares are met where a source lies in many buckets; topics and languages come from the data."""
+    monkeypatch.setattr(mixing, "BUCKET", 16)
+    docs = [(i, f"{'AB' if i % 2 else 'QRS'}-{1000 + i} the report number {i} " * (1 + i % 5), ("ja", "xx-YY", "Zulu", "")[i % 4], "a" if i % 3 else "b") for i in range(600)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    t = spark.createDataFrame([("m", "a", 0.5, 1, 0.5), ("m", "b", 0.5, 3, 1.0)], "mix_name string, source string, target_share double, max_repeats int, size_factor double")
+    r = mixing.shares(d, t)
+    assert all(x.within_repeats == x.share_met == 1 for x in mixing.limits_kept(r).collect())
+    assert all(abs(x.actual_tokens - x.target_tokens) < 200 for x in r.collect() if x.reachable)
+    s = mixing.sized(d)
+    assert {x.topic for x in s.select("topic").distinct().collect()} == {"AB", "QRS"} and {x.lang for x in s.select("lang").distinct().collect()} == {"ja", "xx", "other"}
+    monkeypatch.setattr(mixing, "MOST_TOPICS", 1)
+    assert {x.topic for x in mixing.sized(d).select("topic").distinct().collect()} == {"AB", "other"}
