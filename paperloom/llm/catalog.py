@@ -111,14 +111,16 @@ def p6_normal(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    slides = sentences.of_type(table(spark, d, "elements"), table(spark, d, "results"), "pptx")
-    return sentences.split(slides).select("elem_id", "start_pos")
+    elements = table(spark, d, "elements")
+    slides = sentences.of_type(elements, table(spark, d, "results"), "pptx")
+    return sentences.split(slides, model=sentences.fit(elements)).select("elem_id", "start_pos")
 
 
 @query()
 def p4_sentences(spark: SparkSession, d: str) -> DataFrame:
     """The sentences of all elements with text."""
-    return sentences.split(table(spark, d, "elements"))
+    elements = table(spark, d, "elements")
+    return sentences.split(elements, model=sentences.fit(elements))
 
 
 @query()

@@ -1,16 +1,23 @@
 """Sentences of documents in many languages and scripts, each with its place.
 
-Scripts with spaces: every mark that can end a sentence, with what closes after it, is a node of a lattice of terminators;
-its context - the token before it, the first character after it, and the quotes and brackets around it - decides whether
-the path breaks there. Scripts without spaces: full stops of their own are nodes of the same lattice; where they have
-none, runs of script are segmented by the cheapest path through a lattice of dictionary words, and a gap between two runs
-is a boundary if the words before it end a clause and those after it open one.
+Scripts with spaces: every mark that can end a sentence, with what closes after it, is a node of a lattice of terminators.
+A node's odds come from its context - the token before it, the first character after it, the quotes and brackets around
+it; those of a full stop from what the corpus has after that token. The cheapest path through the lattice, on which a piece
+without any letter costs extra, gives the sentences.
 
-Pairs of quotes and brackets are matched first; no boundary lies inside a pair.
+Scripts without spaces: runs are segmented by the cheapest path through a lattice of dictionary words. A gap - white space in
+Thai, a line break of recognised text in Thai, Japanese and Chinese - is a boundary by the odds of the last word before it and
+the first word after it: how much oftener they end or open clauses than they stand elsewhere. Full stops of their own are
+nodes of the lattice above.
+
+Dictionary, odds of words and odds of tokens are learned from a bounded sample of the same texts, whose line ends and full
+stops are boundaries for sure (see Model). Pairs of quotes and brackets are matched first; no boundary lies inside a pair.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,6 +25,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.engine import bounded_sample
+
 # Abbreviations that never end a sentence.
 NEVER = set(
     "dr mr mrs ms prof dipl ing fig figs sec secs no nos vs cf approx e.g eg i.e ie p pp art arts env vgl ca bzw gem abs nr z z.b b d.h u.a s ver v vol ch eq ref rev "
@@ -33,25 +42,18 @@ ORDINAL = set("am im vom zum bis dem den das die der des beim ab seit zur jede j
 # German months.
 MONTH_NAMES = set("Januar Februar März April Mai Juni Juli August September Oktober November Dezember".split())
 
-# Thai words of clauses: predicates and particles that say a clause is complete, words that join it on, and ones that leave it open.
-THAI_VERBS = set("สามารถ ต้อง ควร จะ ไม่ ได้ เป็น มี คือ อยู่ ให้ ทำ ใช้ ไป มา เห็น รู้ คิด พบ เกิด เริ่ม หยุด ปิด เปิด บันทึก พิมพ์ ยืนยัน ตรวจสอบ แสดง ส่ง รับ ล็อก รวม แยก ยกเลิก คำนวณ จัดเก็บ".split())
-THAI_FINAL = set("ครับ ค่ะ คะ นะ แล้ว ด้วย เลย ไหม มั้ย หรือไม่ เท่านั้น รายการ".split())
-THAI_JOIN = set("และ หรือ ที่ ซึ่ง อัน เพราะ เนื่องจาก โดย เพื่อ กับ แก่ ของ จาก ถึง ใน บน ตาม ด้วย ระหว่าง พร้อม".split())
-THAI_OPEN = set("และ หรือ ว่า คือ เช่น ได้แก่ ที่ ของ กับ โดย เพื่อ จำนวน ประมาณ".split())
-# Japanese and Chinese words that end a clause, and ones that open a sentence.
-CJK_FINAL = ("である", "する", "した", "ない", "こと", "できる", "せる", "ます", "です", "だった", "ください", "了", "的", "。")
-CJK_OPENING = ("また、", "ただし、", "なお、", "しかし、", "そして、", "さらに、", "次に、", "まれに、", "既定では、", "例えば、", "一方、", "移行後は、", "根据", "但是", "此外", "因此", "另外")
-
 OPENERS = {"「": "」", "『": "』", "（": "）", "(": ")", "《": "》", "〈": "〉", "【": "】", "[": "]", "«": "»", "„": "“", "“": "”", "‘": "’"}
 QUOTES = '"“”„«»「」『』'
 BRACKET = regex.compile("[" + regex.escape("".join({*OPENERS, *OPENERS.values(), '"'} - {"’", "‘"})) + "]")
 #: Nodes: marks with what closes after them, or a line feed.
 NODE = regex.compile(r"""(?:[。！？!?।॥．…]|\.)+(?:["”“»」』）)\]】》〉]|[ \u00a0\u202f]»)*|\n""")
 CLOSE_TAIL = regex.compile(r"""(?:["”“»」』）)\]】》〉]|[ \u00a0\u202f]»)+$""")
-WORD_BEFORE = regex.compile(r"[\w.̀-ͯऀ-෿]+$")
+WORD_PART = regex.compile(r"[\w.̀-ͯऀ-෿]")
 CJK = regex.compile(r"[぀-ヿ㐀-鿿ｦ-ﾟ]")
-THAI = regex.compile(r"[฀-๿]+")
-THAI_GAP = regex.compile(r"(?<=[฀-๿])[ \n]+(?=[฀-๿])")
+THAI = regex.compile(r"[฀-๿]")
+#: Runs of a script without spaces, and the white space between two clauses of Thai, which may end with a bracket or a Latin word and begin with a bracket.
+RUN = regex.compile(r"[฀-๿]+|[぀-ヺー-ヿ㐀-鿿ｦ-ﾟ]+")
+THAI_GAP = regex.compile(r"(?<=[฀-๿)\]}A-Za-z])[ \n]+(?=[(\[{]?[฀-๿])")
 SPACES = " \t\r\n 　   ​﻿"
 
 
@@ -83,48 +85,159 @@ def pairs(t: str, by_line: bool) -> list[tuple[int, int]]:
     return out
 
 
-def lattice(run: str, words: set[str]) -> list[str]:
-    """Cheapest path through the dictionary words of a run without spaces; what no word covers costs by the character."""
-    n = len(run)
-    longest = max(map(len, words))
-    cost = [0.0] * (n + 1)
-    back = [0] * (n + 1)
-    for i in range(1, n + 1):
-        cost[i], back[i] = cost[i - 1] + 1.0, i - 1
-        for k in range(2, min(longest, i) + 1):
-            if run[i - k : i] in words and cost[i - k] + 0.6 < cost[i]:
-                cost[i], back[i] = cost[i - k] + 0.6, i - k
-    out = []
-    while n:
-        out.append(run[back[n] : n])
-        n = back[n]
-    return out[::-1]
+#: Texts of each kind of script that the model is fitted on, and the most characters of one.
+SAMPLE, MAX_CHARS = 3000, 5000
+#: Longest words of the dictionary, in characters, and how often and in how many contexts on either side it must be seen.
+LONGEST, LONGEST_THAI, SEEN, CONTEXTS = 6, 16, 4, 3
+#: Odds of words that the sample doesn't have at a gap, of a Thai gap, and of a line break of recognised Japanese or Chinese, most of which are layout.
+UNSEEN, THAI_PRIOR, LAYOUT_PRIOR = 0.0, -0.5, -12.0
+#: What a piece without a letter costs, such as the number of a list item.
+BARE = 20.0
+#: Odds that stand for a rule.
+SURE = 30.0
+#: Times that the corpus must speak against a listed abbreviation to unlist it.
+LISTED = 50
+STOP = regex.compile(r"([\w.̀-ͯऀ-෿]+)\.(?=[\s\n]|$)[ \t\u00a0]*(\S?)")
+
+
+class Model:
+    """Dictionary and odds; its size is bounded by SAMPLE, MAX_CHARS and the longest words. Without texts it only knows the lists above."""
+
+    def __init__(self, texts: list[str] = ()) -> None:
+        self.words: dict[str, float] = {}
+        self.final: dict[str, float] = {}
+        self.opening: dict[str, float] = {}
+        self.stop: dict[str, float] = {}
+        self._tokens(texts)
+        self._words(texts)
+        self._gaps(texts)
+
+    # spaced scripts
+
+    def _tokens(self, texts: list[str]) -> None:
+        """Odds that a full stop after a token ends a sentence: line ends and what begins like a sentence against what goes on in small letters or numbers.
+
+        What begins with a capital may be a name after a listed abbreviation, such as a title.
+        """
+        yes: Counter[str] = Counter()
+        no: Counter[str] = Counter(dict.fromkeys(NEVER, LISTED))
+        for t in texts:
+            for line in t.split("\n"):
+                for m in STOP.finditer(line):
+                    low, nxt = m.group(1).lower().strip("."), m.group(2)
+                    if not nxt or low not in NEVER and (nxt.isupper() or CJK.match(nxt)):
+                        yes[low] += 1
+                    elif nxt.islower() or nxt.isdigit():
+                        no[low] += 1
+        self.stop = {w: math.log((yes[w] + 1) / (no[w] + 1)) for w in {*yes, *no} if w and no[w] > 1}
 
+    # scripts without spaces
 
-THAI_WORDS = THAI_VERBS | THAI_FINAL | THAI_JOIN | THAI_OPEN
+    def _words(self, texts: list[str]) -> None:
+        """Words: grams of runs that are frequent, in several contexts on both sides, with the cost of their frequency."""
+        n: Counter[str] = Counter()
+        left: dict[str, set[str]] = defaultdict(set)
+        right: dict[str, set[str]] = defaultdict(set)
+        for t in texts:
+            for r in RUN.findall(t):
+                longest = LONGEST_THAI if THAI.match(r) else LONGEST
+                r = f"^{r}$"
+                for i in range(1, len(r) - 1):
+                    for k in range(1, min(longest, len(r) - 1 - i) + 1):
+                        w = r[i : i + k]
+                        n[w] += 1
+                        if k > 1:
+                            left[w].add(r[i - 1])
+                            right[w].add(r[i + k])
+        total = sum(n[w] for w in n if len(w) == 1) or 1
+        ok = lambda side, w: len(side[w]) >= CONTEXTS or side[w] & {"^", "$"}
+        self.words = {w: -math.log(c / total) for w, c in n.items() if len(w) > 1 and c >= SEEN and ok(left, w) and ok(right, w)}
+        self.single = math.log(total) + 2.0  # what no word covers costs by the character
 
+    def segment(self, run: str) -> list[str]:
+        """Words of the cheapest path through the lattice of dictionary words."""
+        n, longest = len(run), LONGEST_THAI if THAI.match(run) else LONGEST
+        cost, back = [0.0] * (n + 1), [0] * (n + 1)
+        for i in range(1, n + 1):
+            best, at = cost[i - 1] + self.single, i - 1
+            for k in range(2, min(longest, i) + 1):
+                c = self.words.get(run[i - k : i])
+                if c is not None and cost[i - k] + c < best:
+                    best, at = cost[i - k] + c, i - k
+            cost[i], back[i] = best, at
+        out = []
+        while n:
+            out.append(run[back[n] : n])
+            n = back[n]
+        return out[::-1]
 
-def thai_gaps(t: str) -> list[int]:
+    def _gaps(self, texts: list[str]) -> None:
+        """Odds of last and first words: at line ends and full stops, which are boundaries, against the places between all other words."""
+        sure: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
+        else_: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
+        for t in texts:
+            for line in t.split("\n"):
+                for clause in regex.split(r"[。！？!?]+", line):
+                    runs = [self.segment(r) for r in RUN.findall(clause)]
+                    for ws in runs:
+                        for j, w in enumerate(ws):
+                            if j + 1 < len(ws):  # around white space it isn't known
+                                else_[0][w] += 1
+                            if j:
+                                else_[1][w] += 1
+                    if runs and RUN.match(clause.strip()[-1:]):
+                        sure[0][runs[-1][-1]] += 1
+                    if runs and RUN.match(clause.strip()[:1]):
+                        sure[1][runs[0][0]] += 1
+        for k, own in enumerate((self.final, self.opening)):
+            a, b = sum(sure[k].values()), sum(else_[k].values())
+            own.update({w: math.log((sure[k][w] + 0.5) / (a + 1)) - math.log((else_[k][w] + 0.5) / (b + 1)) for w in {*sure[k], *else_[k]}})
+
+    def gap(self, before: str, after: str) -> float:
+        """Odds that the gap between two stretches of text is a boundary, by the last word of one and the first of the other; what isn't of such a script counts as unseen."""
+        last, first = RUN.match(before[::-1]), RUN.search(after)
+        w = self.segment(last.group()[::-1])[-1] if last else ""
+        v = self.segment(first.group())[0] if first else ""
+        return self.final.get(w, UNSEEN) + self.opening.get(v, UNSEEN)
+
+
+def fit(texts: DataFrame) -> Model:
+    """The model of a table with elem_id and content: from at most SAMPLE texts each of Thai, of Japanese and Chinese, and of others, chosen by a hash.
+
+    For training only, texts of more than MAX_CHARS characters are left out.
+    """
+    own = texts.where(f"content <> '' and length(content) <= {MAX_CHARS}").select("elem_id", "content")
+    thai, cjk = F.col("content").rlike("[฀-๿]"), F.col("content").rlike("[぀-ヿ㐀-鿿]")
+    kinds = (own.where(thai), own.where(cjk & ~thai), own.where(~cjk & ~thai))
+    return Model([r["content"] for k in kinds for r in bounded_sample(k, "elem_id", SAMPLE).collect()])
+
+
+def thai_gaps(t: str, model: Model) -> list[int]:
     """Gaps of Thai text that are boundaries; the place after each."""
     out = []
-    start = 0
-    gaps = list(THAI_GAP.finditer(t))
+    gaps = [m for m in THAI_GAP.finditer(t)]
     for k, m in enumerate(gaps):
-        before = lattice("".join(THAI.findall(t[start : m.start()])[-40:])[-160:], THAI_WORDS)
-        nxt = gaps[k + 1].start() if k + 1 < len(gaps) else len(t)
-        after = lattice("".join(THAI.findall(t[m.end() : min(nxt, m.end() + 160)])), THAI_WORDS)
-        if not before or not after:
-            continue
-        complete = any(w in THAI_VERBS for w in before) or before[-1] in THAI_FINAL
-        opens = any(w in THAI_VERBS for w in after) and after[0] not in THAI_JOIN
-        if complete and opens and before[-1] not in THAI_OPEN:
+        before = t[gaps[k - 1].end() if k else 0 : m.start()]
+        after = t[m.end() : gaps[k + 1].start() if k + 1 < len(gaps) else len(t)]
+        if model.gap(before, after) + THAI_PRIOR > 0:
             out.append(m.end())
-            start = m.end()
     return out
 
 
-def ends(t: str, m: regex.Match, start: int, end: int, ocr: bool, pair_at: dict[int, int], cjk: bool) -> bool:
-    """Whether the node, up to `end`, is the end of the sentence that begins at `start`."""
+def odds(t: str, m: regex.Match, start: int, end: int, ocr: bool, pair_at: dict[int, int], cjk: bool, model: Model) -> float:
+    """Odds that the node, up to `end`, is the end of the sentence that begins at `start`: of a rule SURE or -SURE, of a full stop those of the token before it."""
+    rule = ends(t, m, start, end, ocr, pair_at, cjk)
+    if isinstance(rule, bool):
+        return SURE if rule else -SURE
+    token, first = rule
+    low = token.lower()
+    if low in model.stop:
+        return model.stop[low] + 0.5
+    return -1.0 if len(token) == 1 and token.isalpha() and (token.isupper() or token > "\x7f") else 2.0
+
+
+def ends(t: str, m: regex.Match, start: int, end: int, ocr: bool, pair_at: dict[int, int], cjk: bool) -> bool | tuple[str, str]:
+    """What rules say of a node, or (token before, first character after) of a full stop that none decides."""
     s = t[m.start() : end]
     tail = CLOSE_TAIL.search(s)
     mark = s[: tail.start()] if tail else s
@@ -162,31 +275,70 @@ def ends(t: str, m: regex.Match, start: int, end: int, ocr: bool, pair_at: dict[
     if "!" in mark or "?" in mark:
         return True
     # a single full stop
-    word = WORD_BEFORE.search(t, max(start, m.start() - 24), m.start())
-    token = (word.group() if word else "").strip(".")
+    a = m.start()
+    while a > start and WORD_PART.match(t[a - 1]):
+        a -= 1
+    token = t[a : m.start()].strip(".")
     low = token.lower()
     first = rest[0]
     if ocr and cjk and after == "\n" and (first.isdigit() or first.islower()):
         return False
-    if low in NEVER or (len(token) == 1 and token.isalpha() and low not in MAYBE and (token.isupper() or token > "\x7f")):
-        return False
     if low in MONTHS:
         return not first.isdigit()
     if low in MAYBE:
         return first.isupper() or first in QUOTES
     if token.isdigit():
-        head = t[start : m.start() - len(token)].rstrip(SPACES)
-        if not head:
-            return False  # the number of a list item
-        prev = regex.search(r"[^\W\d_]+$", head)
+        b = a
+        while b > start and t[b - 1] in SPACES:
+            b -= 1
+        c = b
+        while c > start and t[c - 1].isalpha():
+            c -= 1
+        prev = t[c:b]
         nextw = regex.match(r"\w+", rest)
-        if len(token) <= 2 and ((prev and prev.group().lower() in ORDINAL) or (nextw and nextw.group() in MONTH_NAMES)):
+        if len(token) <= 2 and (prev.lower() in ORDINAL or (nextw and nextw.group() in MONTH_NAMES)):
             return False
         return True
-    return True
+    return token, first
+
+
+def path(t: str, nodes: list[tuple[int, float]]) -> list[int]:
+    """The ends on the cheapest path through the nodes (end, odds) of a text: breaking at a node costs its odds' opposite, a piece without a letter or digit-free mark BARE more.
+
+    Linear: of the starts of a piece that ends at a node, those before its last letter differ only in the cost so far.
+    """
+    n = len(nodes)
+    cost, back = [0.0] * (n + 1), [-1] * (n + 1)  # of the best path with a break at node i - 1; 0 is the beginning of the text
+    ends_at = [0, *(e for e, _s in nodes)]
+    best, best_at, far = math.inf, 0, 0  # the least cost of starts that lie before the last letter
+    for j in range(1, n + 1):
+        x = ends_at[j] - 1
+        while x >= ends_at[j - 1] and not t[x].isalpha():
+            x -= 1
+        last = x if x >= ends_at[j - 1] else -1
+        if last >= 0:
+            while far < j and ends_at[far] <= last:
+                if cost[far] < best:
+                    best, best_at = cost[far], far
+                far += 1
+        c, at = best, best_at
+        for i in range(far, j):
+            if cost[i] + BARE < c:
+                c, at = cost[i] + BARE, i
+        cost[j], back[j] = c - nodes[j - 1][1], at
+    j = min(range(n, -1, -1), key=cost.__getitem__)
+    out = []
+    while j > 0:
+        out.append(ends_at[j])
+        j = back[j]
+    return out[::-1]
+
+
+#: A model that only knows the lists.
+PLAIN = Model()
 
 
-def spans(t: str | None, ocr: bool = False) -> list[tuple[int, int]]:
+def spans(t: str | None, ocr: bool = False, model: Model = PLAIN) -> list[tuple[int, int]]:
     """(start, end) of each sentence, white space around it left out; none for null, empty or blank text.
 
     ocr: line feeds are only layout. Otherwise each ends a sentence.
@@ -197,33 +349,47 @@ def spans(t: str | None, ocr: bool = False) -> list[tuple[int, int]]:
     pair_at = {b: a for a, b in own}
     cjk = CJK.search(t) is not None and len(CJK.findall(t)) * 5 > len(t)
     cuts: list[int] = []
-    start = 0
+    nodes: list[tuple[int, float]] = []
+    first = start = 0
     k = 0
+
+    def close(upto: int) -> None:
+        """The path through the nodes of a stretch that surely ends at `upto`."""
+        nonlocal first, start
+        cuts.extend(first + e for e in path(t[first:upto], [(e - first, s) for e, s in nodes]) if first + e < upto)
+        cuts.append(upto)
+        nodes.clear()
+        first = start = upto
+
     for m in NODE.finditer(t):
         i = m.start()
+        while k < len(own) and own[k][1] < i:
+            k += 1
         if m.group() == "\n":
             if not ocr:
-                cuts.append(m.end())
-                start = m.end()
-            elif cjk and _cjk_gap(t, start, i):
-                cuts.append(m.end())
-                start = m.end()
+                close(m.end())
+            elif k < len(own) and own[k][0] < i:
+                continue
+            elif cjk and CJK.search(t[i - 1 : i]):
+                # the clause that may end here, and what may be the next one
+                nxt = t.find("\n", i + 1)
+                nodes.append((m.end(), model.gap(t[start:i], t[i + 1 : nxt if nxt > 0 else len(t)]) + LAYOUT_PRIOR))
             continue
         end = m.end()
         while t[end - 1] in '"“' and end - 1 not in pair_at:  # it opens what follows
             end -= 1
-        while k < len(own) and own[k][1] < i:
-            k += 1
         if k < len(own) and own[k][0] < i and own[k][1] >= end:
             continue
         while start < len(t) and t[start] in SPACES:
             start += 1
-        if ends(t, m, start, end, ocr, pair_at, cjk):
-            cuts.append(end)
+        score = odds(t, m, start, end, ocr, pair_at, cjk, model)
+        nodes.append((end, score))
+        if score > 0:
             start = end
+    close(len(t))
     if THAI.search(t):
-        cuts += [c for c in thai_gaps(t) if not any(a < c <= b for a, b in own)]
-        cuts = sorted(set(cuts))
+        cuts += [c for c in thai_gaps(t, model) if not any(a < c <= b for a, b in own)]
+    cuts = sorted(set(cuts) - {len(t)})
     out = []
     a = 0
     for c in [*cuts, len(t)]:
@@ -238,17 +404,13 @@ def spans(t: str | None, ocr: bool = False) -> list[tuple[int, int]]:
     return out
 
 
-def _cjk_gap(t: str, start: int, at: int) -> bool:
-    """Whether a line break of a script without spaces is a boundary that has no mark."""
-    return t[start:at].rstrip(SPACES).endswith(CJK_FINAL) and t[at + 1 : at + 12].startswith(CJK_OPENING)
-
-
-def split(df: DataFrame, key: str = "elem_id") -> DataFrame:
-    """`key`, field (content or ocr_text), sentence_no from 1, start_pos, sentence. No shuffle.
+def split(df: DataFrame, key: str = "elem_id", model: Model | None = None) -> DataFrame:
+    """`key`, field (content or ocr_text), sentence_no from 1, start_pos, sentence. No shuffle. Without a model only the lists are known.
 
     Null, empty and blank texts give no row; repeated rows repeat their sentences; other columns are ignored.
     """
     kinds = dict(df.dtypes)
+    own = df.sparkSession.sparkContext.broadcast(model or PLAIN)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -256,7 +418,7 @@ def split(df: DataFrame, key: str = "elem_id") -> DataFrame:
             for name, ocr, col in (("content", False, b.column(1)), ("ocr_text", True, b.column(2))):
                 for i, t in enumerate(col.to_pylist()):
                     if t:
-                        for n, (x, y) in enumerate(spans(t, ocr), 1):
+                        for n, (x, y) in enumerate(spans(t, ocr, own.value), 1):
                             at.append(i)
                             field.append(name)
                             no.append(n)
@@ -270,11 +432,18 @@ def split(df: DataFrame, key: str = "elem_id") -> DataFrame:
     return df.select(F.col(key), "content", "ocr_text").mapInArrow(run, f"`{key}` {kinds[key]}, field string, sentence_no int, start_pos int, sentence string")
 
 
+#: Run ids, of 8 bytes each, that are sent to every task.
+SMALL = 1_000_000
+
+
 def of_type(elements: DataFrame, results: DataFrame, file_type: str) -> DataFrame:
     """elem_id, content, ocr_text of the elements with text of results of a file type, in any letter case.
 
-    run_id is unique in results; repeated ones count once.
+    run_id is unique in results; repeated ones count once. Run ids are sent to the tasks while they are no more than SMALL;
+    beyond, texts and ids are shuffled.
     """
     runs = results.where(F.lower("file_type") == file_type).select("run_id").distinct()
     e = elements.where("content <> '' or ocr_text <> ''").select("elem_id", "run_id", "content", "ocr_text")
+    if runs.limit(SMALL + 1).count() <= SMALL:
+        runs = F.broadcast(runs)
     return e.join(runs, "run_id", "left_semi").select("elem_id", "content", "ocr_text")

@@ -20,6 +20,13 @@ CASES = [
 ]
 
 
+SUBJECTS = ("ตารางราคา", "ใบส่งของ", "ดัชนีเอกสาร", "แผงค้นหา", "ระบบนำเข้า")
+VERBS = ("ต้องล็อก", "ไม่สามารถแยก", "ควรคำนวณ", "จะแสดง")
+OBJECTS = ("วันที่", "รายการที่ถูกปฏิเสธ", "แบบฟอร์ม", "ยอดคงเหลือ")
+THAI = [s + v + o for s in SUBJECTS for v in VERBS for o in OBJECTS]
+MODEL = sentences.Model(THAI + [f"{s}{v}วันที่จำนวน {k}{n} รายการ" for k, s in enumerate(SUBJECTS) for n, v in enumerate(VERBS)])
+
+
 @pytest.mark.parametrize("ocr,marked", CASES)
 def test_cases(ocr, marked):
     want, t, first = [], marked.replace("|", ""), 0
@@ -27,7 +34,7 @@ def test_cases(ocr, marked):
         lead = len(part) - len(part.lstrip(sentences.SPACES))
         want.append(first + lead)
         first += len(part)
-    assert [x for x, _ in sentences.spans(t, ocr)] == want
+    assert [x for x, _ in sentences.spans(t, ocr, MODEL)] == want
 
 
 def test_edges():
@@ -43,3 +50,51 @@ def test_frame(spark):
     got = sorted((r.elem_id, r.start_pos) for r in sentences.split(sentences.of_type(el, rs, "pptx")).collect())
     assert got == [(1, 0), (1, 6), (3, 0), (3, 0), (3, 4), (3, 4)]
     assert sentences.split(el.limit(0)).count() == 0
+
+
+def test_gaps_of_held_out_clauses():
+    """A model of half the clauses finds the gaps between those that it hasn't seen, and none where a clause goes on."""
+    m = sentences.Model(THAI[::2])
+    hit = [len(sentences.spans(f"{a} {b}", False, m)) == 2 for a, b in zip(THAI[1::2], THAI[3::2])]
+    assert sum(hit) >= 0.9 * len(hit)
+    assert all(len(sentences.spans(f"{s}{v} {o}", False, m)) == 1 for s in SUBJECTS for v in VERBS for o in OBJECTS)
+    assert len(sentences.spans(f"{THAI[1]} {THAI[3]}")) == 1  # nothing is known without texts
+    far = "(REQ-1) " + "ค" * 500  # no window: the words next to the gap decide, whatever is between
+    assert len(sentences.spans(THAI[0] + far + THAI[1] + " " + THAI[3], False, m)) >= 2
+
+
+def test_words_of_a_lattice():
+    m = sentences.Model(THAI)
+    assert "".join(m.segment(THAI[7])) == THAI[7] and {*SUBJECTS} & {*m.segment(THAI[7] + THAI[40])}
+    assert m.segment("") == [] and m.segment("漢字") == ["漢", "字"]
+
+
+def test_stops_are_learned():
+    """A token that small letters and numbers follow after its full stop is an abbreviation, though no list has it."""
+    texts = [f"The blk. {i} is old. See blk. number {i}.\nIt is old." for i in range(30)]
+    t = "The blk. nine is old. Its list is new."
+    assert [x for x, _ in sentences.spans(t)] == [0, 9, 22] and [x for x, _ in sentences.spans(t, False, sentences.Model(texts))] == [0, 22]
+    assert [x for x, _ in sentences.spans("Dr. Wex came. He left.", False, sentences.Model(["Dr. Wex is. Dr. Sol is."] * 50))] == [0, 14]
+
+
+def test_path_is_the_cheapest():
+    import itertools
+    import random
+
+    rng = random.Random(3)
+    for _ in range(200):
+        t = "".join(rng.choice("ab 1.") for _ in range(12))
+        nodes = [(e, rng.choice((-3.0, -1.0, 2.0, 5.0))) for e in sorted(rng.sample(range(1, 12), 5))]
+
+        def cost(ends):
+            parts = [t[a:b] for a, b in zip([0, *ends], ends)]
+            return sum(-dict(nodes)[e] for e in ends) + sum(sentences.BARE for x in parts if not any(c.isalpha() for c in x))
+
+        best = min((cost(c) for k in range(6) for c in itertools.combinations([e for e, _s in nodes], k)))
+        assert abs(cost(sentences.path(t, nodes)) - best) < 1e-9
+
+
+def test_fit(spark):
+    el = spark.createDataFrame([(i, t) for i, t in enumerate([*THAI, None, "", "x" * 9000, "一覧を見る。", "It is. So."])], "elem_id long, content string")
+    m = sentences.fit(el)
+    assert m.opening["ใบส่งของ"] > 0 and sentences.fit(el.limit(0)).words == {}
