@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.functions import paths
+from paperloom.functions import codepoints, paths
 
 # ---- identity and changes
 
@@ -244,11 +248,32 @@ def answers(questions: DataFrame, found: DataFrame, k: int = 3) -> DataFrame:
     return j.select("question_id", F.when(F.col("n").isNull(), "none").otherwise("found").alias("status"), F.coalesce("n", F.lit(0)).alias("n_citations"), F.col("x.elem_id").alias("first_citation"))
 
 
+#: Texts that are counted at a time, which bounds a task's memory.
+COUNTED = 512
+
+
 def bigram_counts(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """gram, n_docs: documents that hold each pair of neighbouring characters; the pairs of a text are distinct before anything is shuffled."""
-    chars = F.split(F.col(text), "")
-    pairs = F.array_distinct(F.filter(F.zip_with(chars, F.slice(chars, F.lit(2), F.greatest(F.size(chars) - 1, F.lit(0))), lambda a, b: F.concat(a, b)), lambda x: x.isNotNull()))
-    return texts.where(F.length(text) > 1).select(key, F.explode(pairs).alias("gram")).groupBy("gram").agg(F.count("*").alias("n_docs"))
+    """gram, n_docs: documents that hold each pair of neighbouring characters; null texts and those of one character hold none.
+
+    Each batch is counted as arrays of code points and leaves its task as one row per pair, so what is shuffled is bounded by
+    the pairs of a batch, not by those of each document.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low = np.uint64((1 << 21) - 1)
+        for whole in batches:
+            for at in range(0, whole.num_rows, COUNTED):
+                cps, bounds = codepoints.split(whole.column(0).slice(at, COUNTED))
+                doc = np.repeat(np.arange(len(bounds) - 1, dtype=np.uint64), np.diff(bounds))
+                c = cps.astype(np.uint64)
+                inside = doc[1:] == doc[:-1]
+                own = np.unique((doc[:-1] << np.uint64(42) | c[:-1] << np.uint64(21) | c[1:])[inside])
+                grams, n = np.unique(own & np.uint64((1 << 42) - 1), return_counts=True)
+                if len(grams):
+                    pair = np.stack([grams >> np.uint64(21), grams & low], 1).astype(np.uint32).ravel()
+                    yield pa.RecordBatch.from_arrays([codepoints.join(pair, np.arange(len(grams) + 1) * 2), pa.array(n, pa.int64())], ["gram", "n"])
+
+    return texts.select(F.col(text)).where(F.length(text) > 1).mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n_docs"))
 
 
 # ---- canonical items, checks and design text
