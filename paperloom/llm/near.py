@@ -224,23 +224,29 @@ def checked(pairs: DataFrame) -> DataFrame:
 
 
 def links(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members: id, h; links: a, b, similarity between the classes of equal texts with h = a and h = b, a < b) of (id, text).
+    """(members: id, h, h2; links: a, b, similarity between the classes of equal texts with h = a and h = b, a < b) of (id, text).
 
-    Texts of fewer than LEAST characters and null ones are no members. Equal texts are one class, named by a 64-bit hash.
+    Texts of fewer than LEAST characters and null ones are no members. Equal texts are one class, told by two hashes of 64 bits
+    each, of which the first names it. Classes come first, and one text of each is signed; texts without a copy stay where they are.
+    A band that many classes share costs their pairs, but classes that agree in ROWS darts at once mostly are links.
     """
-    t = keep(texts.where(F.length("text") >= LEAST).select("id", F.xxhash64("text").alias("h"), "text"))
-    reps = cut(signed(t).groupBy("h").agg(F.min(F.struct("id", "sketch", "bands")).alias("x")).select("h", "x.*"))
+    t = keep(texts.where(F.length("text") >= LEAST).select("id", F.xxhash64("text").alias("h"), F.xxhash64("text", F.lit(7)).alias("h2"), "text"))
+    slot = F.pmod("h", F.lit(SLOTS))
+    first = cut(t.groupBy("h", "h2").agg(F.min("id").alias("id"), F.count("*").alias("n")))
+    copied = F.broadcast(first.where("n > 1").select(slot.alias("slot")).distinct())  # at most SLOTS rows
+    placed = t.withColumn("slot", slot)
+    one = placed.join(copied, "slot", "left_anti").unionByName(placed.join(copied, "slot", "left_semi").join(first.select("id", "h", "h2"), ["id", "h", "h2"], "left_semi"))
+    reps = cut(signed(one))
     rows = reps.select("h", F.explode("bands").alias("band"))
     met = rows.alias("l").join(rows.alias("r"), "band").where("l.h < r.h").select(F.col("l.h").alias("a"), F.col("r.h").alias("b")).distinct()
     sk = reps.select("h", "sketch")
     with_a = met.join(sk.select(F.col("h").alias("a"), F.col("sketch").alias("sa")), "a")
     pairs = cut(likely(with_a.join(sk.select(F.col("h").alias("b"), F.col("sketch").alias("sb")), "b")))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    slot = F.pmod("h", F.lit(SLOTS))
     near = t.withColumn("slot", slot).join(F.broadcast(wanted.select(slot.alias("slot")).distinct()), "slot", "left_semi")  # most texts have no pair and stay where they are
-    own = near.select("id", "text").join(reps.select("h", "id").join(wanted, "h"), "id").select("h", "text")
+    own = near.select("id", "h", "text").join(reps.select("h", "id").join(wanted, "h"), ["id", "h"]).select("h", "text")
     both = pairs.join(own.select(F.col("h").alias("a"), F.col("text").alias("ta")), "a").join(own.select(F.col("h").alias("b"), F.col("text").alias("tb")), "b")
-    return t.select("id", "h"), cut(checked(both))
+    return t.select("id", "h", "h2"), cut(checked(both))
 
 
 def found(elements: DataFrame, results: DataFrame) -> DataFrame:
@@ -251,15 +257,15 @@ def found(elements: DataFrame, results: DataFrame) -> DataFrame:
     members, link = links(last_texts(elements, results))
     a, b = members.select(F.col("id").alias("x"), F.col("h").alias("a")), members.select(F.col("id").alias("y"), F.col("h").alias("b"))
     between = link.join(a, "a").join(b, "b").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
-    many = members.groupBy("h").count().where("count > 1").select("h")
-    copies = members.join(many, "h", "left_semi")
-    within = copies.select("h", F.col("id").alias("id_a")).join(copies.select("h", F.col("id").alias("id_b")), "h").where("id_a < id_b").select("id_a", "id_b")
+    many = members.groupBy("h", "h2").count().where("count > 1").select("h", "h2")
+    copies = members.join(many, ["h", "h2"], "left_semi")
+    within = copies.withColumnRenamed("id", "id_a").join(copies.withColumnRenamed("id", "id_b"), ["h", "h2"]).where("id_a < id_b").select("id_a", "id_b")
     return between.unionByName(within)
 
 
 def groups(elements: DataFrame, results: DataFrame) -> DataFrame:
     """id, class_id, n_copies, n_links: the class of equal texts of each id, named by its first id, its size, and the number of other classes that it is similar to."""
     members, link = links(last_texts(elements, results))
-    classes = members.groupBy("h").agg(F.min("id").alias("class_id"), F.count("*").alias("n_copies"))
+    classes = members.groupBy("h", "h2").agg(F.min("id").alias("class_id"), F.count("*").alias("n_copies"))
     n = link.select(F.explode(F.array("a", "b")).alias("h")).groupBy("h").agg(F.count("*").alias("n_links"))
-    return members.join(classes, "h").join(n, "h", "left").select("id", "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    return members.join(classes, ["h", "h2"]).join(n, "h", "left").select("id", "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
