@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from paperloom.engine import table
 from paperloom.operators import shredding
-from paperloom.plans import readers, reference
+from paperloom.plans import readers, reference, stores
 from paperloom.plans.registry import ORACLE, QUERIES, query
 
-__all__ = ["ORACLE", "QUERIES", "readers", "reference"]
+__all__ = ["ORACLE", "QUERIES", "readers", "reference", "stores"]
 
 
 @query()
