@@ -208,8 +208,9 @@ def fit(texts: DataFrame) -> Model:
     """
     own = texts.where(f"content <> '' and length(content) <= {MAX_CHARS}").select("elem_id", "content")
     thai, cjk = F.col("content").rlike("[฀-๿]"), F.col("content").rlike("[぀-ヿ㐀-鿿]")
-    kinds = (own.where(thai), own.where(cjk & ~thai), own.where(~cjk & ~thai))
-    return Model([r["content"] for k in kinds for r in bounded_sample(k, "elem_id", SAMPLE).collect()])
+    kinds = {"thai": thai, "cjk": cjk & ~thai, "other": ~cjk & ~thai}
+    n = own.agg(*[F.count_if(k).alias(c) for c, k in kinds.items()]).first()
+    return Model([r["content"] for c, k in kinds.items() for r in bounded_sample(own.where(k), "elem_id", SAMPLE, of=n[c], spare=2).collect()])
 
 
 def thai_gaps(t: str, model: Model) -> list[int]:
