@@ -94,3 +94,44 @@ def test_types(spark):
 def test_bigrams(spark):
     d = spark.createDataFrame([(1, "abab"), (2, "ab"), (3, "a"), (4, None), (5, "")], "doc_id long, text string")
     assert {r.gram: r.n_docs for r in corpus.bigram_counts(d, "doc_id", "text").collect()} == {"ab": 2, "ba": 1}
+
+
+def test_numbers_of_a_hot_key(spark, monkeypatch):
+    """Rows of a key are numbered alike whether it is cut into ranges or not; ties, nulls and repeated values have their order."""
+    monkeypatch.setattr(corpus, "NUMBERED", 7)
+    rows = [(1, (i * 37) % 50 if i % 9 else None, i) for i in range(120)] + [(2, 5, i) for i in range(30)] + [(None, 3, 900), (None, 1, 901), (3, None, 77)]
+    df = spark.createDataFrame(rows, "k int, v int, t int")
+    got = {(r.k, r.t): r.n for r in corpus.numbered(df, "k", "v", "t").collect()}
+    want = {}
+    for k in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == k), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+        want |= {(k, r[2]): n for n, r in enumerate(own, 1)}
+    assert got == want and corpus.numbered(df.limit(0), "k", "v", "t").count() == 0
+
+
+def test_search_with_many_terms(spark, monkeypatch):
+    """Few grams are looked for in the texts, many joined as postings: the same answer."""
+    texts = ["Alpha beta", "beta ガンマ", "x", "", None, "ALPHA ガンマ alpha", "a b"]
+    el = spark.createDataFrame([(i, f"d{i}", i, "text", t) for i, t in enumerate(texts)], "elem_id long, id string, elem_ord int, type string, content string")
+    q = spark.createDataFrame([(1, ["alpha", "ガンマ", "Alpha"]), (2, ["x"]), (3, ["nothing"]), (4, None), (5, ["beta", ""]), (6, ["a b"])], "question_id long, terms array<string>")
+    want = [(1, 0, 1), (1, 1, 1), (1, 5, 2), (2, 2, 1), (5, 0, 1), (5, 1, 1), (6, 0, 1), (6, 6, 1)]
+    for few in (200, 1):
+        monkeypatch.setattr(corpus, "FEW", few)
+        got = sorted((r.question_id, r.elem_id, r.score) for r in corpus.matches(el, q).collect())
+        assert got == want
+    assert corpus.matches(el, q.limit(0)).count() == 0 and corpus.matches(el.limit(0), q).count() == 0
+
+
+def test_groups_with_null_hashes(spark):
+    df = spark.createDataFrame([("a", "h"), ("b", "h"), ("c", None), ("d", None), ("e", "i")], "id string, content_hash string")
+    assert sorted((r.id, r.n_same, r.canonical_id) for r in corpus.with_groups(df).collect()) == [("a", 2, "a"), ("b", 2, "a"), ("c", 2, "c"), ("d", 2, "c"), ("e", 1, "e")]
+
+
+def test_design_document_and_changes(spark):
+    facts = spark.createDataFrame([(1, "functional", "Shall X"), (2, "functional", "shall  x"), (3, "odd", "Y"), (4, None, "Z"), (5, "report", None)], "fact_id long, kind string, statement string")
+    items = corpus.canonical_items(facts)
+    doc = [(r.chapter_no, r.line_no, r.line) for r in corpus.design_document(items).orderBy("chapter_no", "line_no").collect()]
+    assert doc == [(1, 0, "# 1 functional"), (1, 1, "- Shall X [2]"), (6, 0, "# 6 other"), (6, 1, "- Y [1]")]
+    old = corpus.canonical_items(facts.where("fact_id in (1, 9)"))
+    assert sorted((r.kind, r.change) for r in corpus.item_changes(old, items).collect()) == [("functional", "changed"), ("odd", "added")]
+    assert [r.change for r in corpus.item_changes(items, items.where("kind = 'odd'")).collect()] == ["removed"] and corpus.item_changes(items, items).count() == 0

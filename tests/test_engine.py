@@ -1,3 +1,5 @@
+import pytest
+
 from paperloom import engine
 
 
@@ -14,3 +16,20 @@ def test_kept_tables(spark):
     for f in (engine.cut, engine.keep):
         got = f(df)
         assert got.schema.simpleString() == df.schema.simpleString() and sorted(map(str, got.collect())) == sorted(map(str, df.collect()))
+
+
+def test_a_cluster_needs_a_shared_folder():
+    """Without a shared folder intermediate tables have a place on a local master only."""
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        engine.checkpoint_dir(Session())
