@@ -194,7 +194,7 @@ def citation_audit(facts: DataFrame, results: DataFrame, elements: DataFrame) ->
 # ---- search and answers
 
 
-#: Characters of a gram of the search index, and the most grams that are looked for in texts without one.
+#: Characters of a gram of the search index, and the most terms that are looked for in texts without one.
 GRAM, FEW = 2, 200
 
 
@@ -214,24 +214,25 @@ def search_index(elements: DataFrame) -> DataFrame:
 def matches(elements: DataFrame, questions: DataFrame) -> DataFrame:
     """question_id, elem_id, id, elem_ord, score: text elements that hold a question's terms, score the number of distinct terms in them.
 
-    questions: question_id, terms array<string>, any number of them. Terms and elements meet by an equi join on the term's gram
-    that fewest elements hold, as in an inverted index, and only these pairs are tested; no element meets a term without it. Terms of
-    one character, which have no gram, meet by that character.
+    questions: question_id, terms array<string>, any number of them. Up to FEW terms are looked for in one pass over the texts.
+    More of them meet the elements by an equi join on the term's gram that fewest elements hold, as in an inverted index, and
+    only these pairs are tested; terms of one character, which have no gram, meet by that character.
     """
     q = questions.select("question_id", F.explode(F.array_distinct(F.transform(F.filter("terms", lambda t: t.isNotNull() & (t != "")), F.lower))).alias("term"))
     asked = q.select("term").distinct().select("term", F.when(F.length("term") < GRAM, F.array("term")).otherwise(grams(F.col("term"))).alias("gs"))
-    wanted = asked.select(F.explode("gs").alias("gram")).distinct()
     e = elements.where("type = 'text' and content <> ''").select("elem_id", "id", "elem_ord", F.lower("content").alias("low"))
-    few = [r["gram"] for r in wanted.limit(FEW + 1).collect()]
-    if len(few) <= FEW:  # looked for in the text itself
-        posted = e.select("elem_id", F.explode(F.filter(F.array(*map(F.lit, few)).cast("array<string>"), lambda g: F.contains(F.col("low"), g))).alias("gram"))
+    few = [r["term"] for r in asked.select("term").limit(FEW + 1).collect()]
+    if len(few) <= FEW:  # looked for where the texts are
+        every = F.array(*map(F.lit, few)).cast("array<string>")
+        hit = e.select("elem_id", "id", "elem_ord", F.explode(F.filter(every, lambda t: F.contains(F.col("low"), t))).alias("term"))
     else:  # postings of the grams that are asked for alone
-        every = F.array_union(grams(F.col("low")), F.array_distinct(F.split("low", "")))
-        posted = e.select("elem_id", F.explode(every).alias("gram")).join(wanted, "gram", "left_semi")
-    often = posted.groupBy("gram").agg(F.count("*").alias("n"))
-    rarest = asked.select("term", F.explode("gs").alias("gram")).join(often, "gram", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))["gram"].alias("gram"))
-    pairs = posted.join(rarest, "gram").groupBy("elem_id").agg(F.collect_list("term").alias("terms"))  # an element's terms, of the bounded text it has
-    hit = e.join(pairs, "elem_id").select("elem_id", "id", "elem_ord", F.explode(F.filter("terms", lambda t: F.contains(F.col("low"), t))).alias("term"))
+        wanted = asked.select(F.explode("gs").alias("gram")).distinct()
+        own = F.array_union(grams(F.col("low")), F.array_distinct(F.split("low", "")))
+        posted = e.select("elem_id", F.explode(own).alias("gram")).join(wanted, "gram", "left_semi")
+        often = posted.groupBy("gram").agg(F.count("*").alias("n"))
+        rarest = asked.select("term", F.explode("gs").alias("gram")).join(often, "gram", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))["gram"].alias("gram"))
+        pairs = posted.join(rarest, "gram").groupBy("elem_id").agg(F.collect_list("term").alias("terms"))  # an element's terms, of the bounded text it has
+        hit = e.join(pairs, "elem_id").select("elem_id", "id", "elem_ord", F.explode(F.filter("terms", lambda t: F.contains(F.col("low"), t))).alias("term"))
     return hit.join(q, "term").groupBy("question_id", "elem_id", "id", "elem_ord").agg(F.count("*").cast("int").alias("score"))
 
 
