@@ -70,6 +70,22 @@ def test_files(spark, tree):
     assert {(os.path.basename(r.path), r.reason) for r in files.rejected(both).collect()} == {("~$r.docx", "temporary"), ("old.doc", "legacy")}
 
 
+def test_folders_are_listed_by_executors(spark, tmp_path):
+    for p in ("a.docx", "x/b c%.pdf", "x/y/z/d.doc", "x/y/z/_no.pdf", "_no/e.pdf", ".no/f.pdf", "_k=1/g.pdf", "x/資 料.xlsx", "x/h.pdf._COPYING_"):
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_bytes(p.encode())
+    (tmp_path / "x" / "empty").mkdir()
+    rows = lambda df: sorted(map(tuple, df.select("path", "length", "modificationTime").collect()))
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    own = files.listing(spark, [str(tmp_path)], True)
+    assert "binaryFile" not in own._jdf.queryExecution().toString()  # which has a task for each 32 files, and all names at the driver
+    assert rows(own) == rows(read.load(f"file:{tmp_path}")) and own.count() == 5
+    again = files.listing(spark, [str(tmp_path), f"{tmp_path}/", str(tmp_path / "x"), str(tmp_path / "a.docx"), str(tmp_path / "x" / "*.pdf")], True)
+    assert rows(again) == rows(own)
+    assert files.listing(spark, [str(tmp_path), str(tmp_path / "x" / "y" / "z" / "_no.pdf")], True).count() == 6
+    assert files.listing(spark, [str(tmp_path / "x" / "empty")], True).count() == 0
+
+
 def test_hidden(spark, tree):
     (tree / "_x.docx").write_bytes(builders.docx())
     got = files.contents(spark, [str(tree / "_x.docx"), str(tree / "a" / "r.docx")])
