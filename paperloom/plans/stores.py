@@ -9,8 +9,8 @@ import atexit
 import posixpath
 import uuid
 from collections.abc import Iterator
-from urllib.parse import quote
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,12 +38,16 @@ def tree(spark: SparkSession, d: str) -> str:
     base = folder(spark)
 
     def write(rows: Iterator) -> None:
+        system, at = fs.FileSystem.from_uri(base)
         for r in rows:
-            stem = posixpath.splitext(r["source"])[0]
+            stem, own = posixpath.splitext(r["source"])[0], f"{at}/{r['run_id']}"
+            system.create_dir(own)
             for name in (r["source"], f"~${r['source']}", f"{stem}.doc"):
-                extraction.write_file(f"{base}/{r['run_id']}/{quote(name)}", str(r["run_id"]).encode())
+                with system.open_output_stream(f"{own}/{name}") as f:
+                    f.write(str(r["run_id"]).encode())
 
-    table(spark, d, "results").where("source <> ''").select("run_id", "source").foreachPartition(write)
+    rows = table(spark, d, "results").where("source <> ''").select("run_id", "source")
+    rows.repartition(4 * spark.sparkContext.defaultParallelism, "run_id").foreachPartition(write)
     return base
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from paperloom import cli
 from paperloom.operators import extraction
+from paperloom.plans import stores
 from paperloom.sources import files, office, ooxml, pdf
 from paperloom.streaming import ingest
 from tests import builders
@@ -86,6 +87,15 @@ def test_folders_are_listed_by_executors(spark, tmp_path):
     assert files.listing(spark, [str(tmp_path / "x" / "empty")], True).count() == 0
 
 
+def test_rejected_files_of_many_runs(spark, tmp_path):
+    spark.range(300).selectExpr("id as run_id", "concat('r ', id, '.PDF') as source").repartition(1).write.parquet(f"{tmp_path}/results.parquet")
+    tasks = lambda df: df.rdd.getNumPartitions()
+    own = stores.files_rejected(spark, str(tmp_path))
+    assert "binaryFile" not in own._jdf.queryExecution().toString() and tasks(own) <= 16
+    want = [(i, n, r) for i in range(300) for n, r in ((f"r {i}.doc", "legacy"), (f"~$r {i}.PDF", "temporary"))]
+    assert sorted(map(tuple, own.collect())) == want
+
+
 def test_hidden(spark, tree):
     (tree / "_x.docx").write_bytes(builders.docx())
     got = files.contents(spark, [str(tree / "_x.docx"), str(tree / "a" / "r.docx")])
