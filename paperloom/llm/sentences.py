@@ -10,22 +10,23 @@ Thai, a line break of recognised text in Thai, Japanese and Chinese - is a bound
 the first word after it: how much oftener they end or open clauses than they stand elsewhere. Full stops of their own are
 nodes of the lattice above.
 
-Dictionary, odds of words and odds of tokens are learned from a bounded sample of the same texts, whose line ends and full
-stops are boundaries for sure (see Model). Pairs of quotes and brackets are matched first; no boundary lies inside a pair.
+Dictionary, odds of words and odds of tokens are learned from all of the same texts, whose line ends and full stops are
+boundaries for sure (see Model and fit). Pairs of quotes and brackets are matched first; no boundary lies inside a pair.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.engine import bounded_sample
+from paperloom.engine import cut
 
 # Abbreviations that never end a sentence.
 NEVER = set(
@@ -85,8 +86,8 @@ def pairs(t: str, by_line: bool) -> list[tuple[int, int]]:
     return out
 
 
-#: Texts of each kind of script that the model is fitted on, and the most characters of one.
-SAMPLE, MAX_CHARS = 3000, 5000
+#: Counts of a kind of script are a rate: times in so many of its texts, where it has more.
+UNIT = 3000
 #: Longest words of the dictionary, in characters, and how often and in how many contexts on either side it must be seen.
 LONGEST, LONGEST_THAI, SEEN, CONTEXTS = 6, 16, 4, 3
 #: Odds of words that the sample doesn't have at a gap, of a Thai gap, and of a line break of recognised Japanese or Chinese, most of which are layout.
@@ -101,7 +102,10 @@ STOP = regex.compile(r"([\w.̀-ͯऀ-෿]+)\.(?=[\s\n]|$)[ \t\u00a0]*(\S?)")
 
 
 class Model:
-    """Dictionary and odds; its size is bounded by SAMPLE, MAX_CHARS and the longest words. Without texts it only knows the lists above."""
+    """Dictionary and odds of texts; fit() has those of a table. Without texts it only knows the lists above.
+
+    What it keeps is seen at a least rate, so its size is bounded by what UNIT texts hold and the longest words.
+    """
 
     def __init__(self, texts: list[str] = ()) -> None:
         self.words: dict[str, float] = {}
@@ -120,15 +124,17 @@ class Model:
         What begins with a capital may be a name after a listed abbreviation, such as a title.
         """
         yes: Counter[str] = Counter()
-        no: Counter[str] = Counter(dict.fromkeys(NEVER, LISTED))
+        no: Counter[str] = Counter()
         for t in texts:
             for line in t.split("\n"):
                 for m in STOP.finditer(line):
-                    low, nxt = m.group(1).lower().strip("."), m.group(2)
-                    if not nxt or low not in NEVER and (nxt.isupper() or CJK.match(nxt)):
-                        yes[low] += 1
-                    elif nxt.islower() or nxt.isdigit():
-                        no[low] += 1
+                    low, sure = stopped(m)
+                    if sure is not None:
+                        (yes if sure else no)[low] += 1
+        self.set_stop(yes, no)
+
+    def set_stop(self, yes: dict[str, float], no: dict[str, float]) -> None:
+        yes, no = defaultdict(int, yes), Counter(dict.fromkeys(NEVER, LISTED)) + Counter(no)
         self.stop = {w: math.log((yes[w] + 1) / (no[w] + 1)) for w in {*yes, *no} if w and no[w] > 1}
 
     # scripts without spaces
@@ -149,19 +155,28 @@ class Model:
                         if k > 1:
                             left[w].add(r[i - 1])
                             right[w].add(r[i + k])
-        total = sum(n[w] for w in n if len(w) == 1) or 1
+        self.set_words(n, left, right, sum(n[w] for w in n if len(w) == 1))
+
+    def set_words(self, n: dict[str, float], left: dict[str, set[str]], right: dict[str, set[str]], total: float) -> None:
+        total = total or 1
         ok = lambda side, w: len(side[w]) >= CONTEXTS or side[w] & {"^", "$"}
         self.words = {w: -math.log(c / total) for w, c in n.items() if len(w) > 1 and c >= SEEN and ok(left, w) and ok(right, w)}
         self.single = math.log(total) + 2.0  # what no word covers costs by the character
+        tails: dict[str, set[int]] = defaultdict(set)
+        for w in self.words:
+            tails[w[-2:]].add(len(w))
+        self.tails = {w: sorted(ks) for w, ks in tails.items()}  # the lengths of the words that end with two characters
 
     def segment(self, run: str) -> list[str]:
         """Words of the cheapest path through the lattice of dictionary words."""
-        n, longest = len(run), LONGEST_THAI if THAI.match(run) else LONGEST
+        n, words, tails, single = len(run), self.words, self.tails, self.single
         cost, back = [0.0] * (n + 1), [0] * (n + 1)
         for i in range(1, n + 1):
-            best, at = cost[i - 1] + self.single, i - 1
-            for k in range(2, min(longest, i) + 1):
-                c = self.words.get(run[i - k : i])
+            best, at = cost[i - 1] + single, i - 1
+            for k in tails.get(run[i - 2 : i], ()) if i > 1 else ():
+                if k > i:
+                    break
+                c = words.get(run[i - k : i])
                 if c is not None and cost[i - k] + c < best:
                     best, at = cost[i - k] + c, i - k
             cost[i], back[i] = best, at
@@ -189,6 +204,9 @@ class Model:
                         sure[0][runs[-1][-1]] += 1
                     if runs and RUN.match(clause.strip()[:1]):
                         sure[1][runs[0][0]] += 1
+        self.set_gaps(sure, else_)
+
+    def set_gaps(self, sure: tuple[dict[str, float], ...], else_: tuple[dict[str, float], ...]) -> None:
         for k, own in enumerate((self.final, self.opening)):
             a, b = sum(sure[k].values()), sum(else_[k].values())
             own.update({w: math.log((sure[k][w] + 0.5) / (a + 1)) - math.log((else_[k][w] + 0.5) / (b + 1)) for w in {*sure[k], *else_[k]}})
@@ -201,16 +219,168 @@ class Model:
         return self.final.get(w, UNSEEN) + self.opening.get(v, UNSEEN)
 
 
+def stopped(m: regex.Match) -> tuple[str, bool | None]:
+    """(token, whether the full stop of a match of STOP ends a sentence, None if it doesn't tell)."""
+    low, nxt = m.group(1).lower().strip("."), m.group(2)
+    if not nxt or low not in NEVER and (nxt.isupper() or CJK.match(nxt)):
+        return low, True
+    return low, False if nxt.islower() or nxt.isdigit() else None
+
+
 def fit(texts: DataFrame) -> Model:
-    """The model of a table with elem_id and content: from at most SAMPLE texts each of Thai, of Japanese and Chinese, and of others, chosen by a hash.
+    """The model of all texts of a table with content: that of Model, with counts by Spark.
 
-    For training only, texts of more than MAX_CHARS characters are left out.
+    Of a kind of script - Thai, Japanese and Chinese, other - with more than UNIT texts, a count is a rate, that of UNIT texts;
+    what is seen less than once in UNIT texts is no word, context or token. Runs of scripts without spaces meet once,
+    with their numbers; grams are counted only where all pairs of characters in them are frequent enough.
     """
-    own = texts.where(f"content <> '' and length(content) <= {MAX_CHARS}").select("elem_id", "content")
+    own = texts.where("content <> ''").select("content")
     thai, cjk = F.col("content").rlike("[฀-๿]"), F.col("content").rlike("[぀-ヿ㐀-鿿]")
     kinds = {"thai": thai, "cjk": cjk & ~thai, "other": ~cjk & ~thai}
-    n = own.agg(*[F.count_if(k).alias(c) for c, k in kinds.items()]).first()
-    return Model([r["content"] for c, k in kinds.items() for r in bounded_sample(own.where(k), "elem_id", SAMPLE, of=n[c], spare=2).collect()])
+    got = own.agg(*[F.count_if(k).alias(c) for c, k in kinds.items()]).first()
+    unit = {c: max(1.0, got[c] / UNIT) for c in kinds}
+    model = Model()
+    model.set_stop(*_stops(own, F.when(thai, "thai").when(cjk, "cjk").otherwise("other"), unit))
+    if got["thai"] + got["cjk"]:
+        runs = _runs(own)
+        of = lambda w: unit["thai" if THAI.match(w[0] if w[0] != "^" else w[1]) else "cjk"]
+        by_script = runs.groupBy(F.col("run").rlike("^[฀-๿]").alias("thai")).agg(F.sum(F.length("run") * F.col("n")).alias("n")).collect()
+        n, left, right = _grams(runs, unit, of)
+        model.set_words(n, left, right, sum(r["n"] / unit["thai" if r["thai"] else "cjk"] for r in by_script))
+        rows = _places(runs, model).collect()
+        column = lambda c: Counter({r["w"]: r[c] / of(r["w"]) for r in rows if r[c]})
+        model.set_gaps((column("last"), column("first")), (column("before"), column("after")))
+    return model
+
+
+def _stops(texts: DataFrame, kind: Column, unit: dict[str, float]) -> tuple[dict[str, float], dict[str, float]]:
+    """How often the full stop after a token ends a sentence and doesn't."""
+    # of the places in a token only the first can begin a match, or where the last match ended
+    places = F.regexp_extract_all("content", F.lit(r"(?U)(?:\G|(?<![\w.̀-ͯऀ-෿]))[\w.̀-ͯऀ-෿]+\.(?=\s|$)[ \t\u00a0]*\S?"), F.lit(0))
+    m = texts.where(F.contains("content", F.lit("."))).select(kind.alias("kind"), F.explode(places).alias("m")).groupBy("kind", "m").count()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n: tuple[Counter, Counter] = (Counter(), Counter())
+            for kind, t, c in zip(*(x.to_pylist() for x in b.columns)):
+                if (place := STOP.search(t)) and (got := stopped(place))[1] is not None:
+                    n[got[1]][kind, got[0]] += c
+            keys = list({**n[0], **n[1]})
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((*zip(*keys), [n[1][k] for k in keys], [n[0][k] for k in keys]), (pa.string(), pa.string(), pa.int64(), pa.int64()))], ["kind", "w", "yes", "no"])
+
+    each = m.mapInArrow(run, "kind string, w string, yes bigint, no bigint").groupBy("kind", "w").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
+    per = F.create_map(*[F.lit(x) for kv in unit.items() for x in kv])[F.col("kind")]
+    rate = each.groupBy("w").agg(F.sum(F.col("yes") / per).alias("yes"), F.sum(F.col("no") / per).alias("no"))
+    rows = rate.where((F.col("no") > 1) | F.col("w").isin(*NEVER)).collect()
+    return {r["w"]: r["yes"] for r in rows}, {r["w"]: r["no"] for r in rows}
+
+
+#: What str.strip() takes for blank, for Java.
+BLANK = r"[\s\x0b\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
+def _runs(texts: DataFrame) -> DataFrame:
+    """run, first, last, n: distinct runs of scripts without spaces, whether they begin and end a clause, and their number."""
+    plain = F.when(F.contains("content", F.lit("\u0002")) | F.contains("content", F.lit("\u0003")), F.translate("content", "\u0002\u0003", "  ")).otherwise(F.col("content"))
+    marked = F.concat(F.lit("\u0002"), F.regexp_replace(plain, "[。！？!?\n]", "\u0003\u0002"), F.lit("\u0003"))
+    one = F.regexp_extract_all(marked, F.lit(rf"(?:\u0002{BLANK}*)?(?:{RUN.pattern})(?:{BLANK}*\u0003)?"), F.lit(0))
+    n = texts.where(F.col("content").rlike(RUN.pattern)).select(F.explode(one).alias("m")).groupBy("m").count()
+    return cut(n.select(F.regexp_extract("m", RUN.pattern, 0).alias("run"), F.col("m").startswith("\u0002").alias("first"), F.col("m").endswith("\u0003").alias("last"), F.col("count").alias("n")))
+
+
+#: Characters of runs that are counted at a time.
+CHUNK = 1 << 21
+
+
+def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
+    """(text, code points, numbers, is Thai) of the characters of many runs at a time, each run between ^ and $."""
+    rs: list[str] = []
+    ns: list[int] = []
+    size = 0
+
+    def out() -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+        text = "".join(f"^{r}$" for r in rs)
+        long = np.array([len(r) + 2 for r in rs])
+        got = text, np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64), np.repeat(np.array(ns, np.int64), long), np.repeat(np.array([THAI.match(r) is not None for r in rs]), long)
+        rs.clear()
+        ns.clear()
+        return got
+
+    for b in batches:
+        for r, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            rs.append(r)
+            ns.append(n)
+            size += len(r) + 2
+            if size > CHUNK:
+                yield out()
+                size = 0
+    if rs:
+        yield out()
+
+
+def _grams(runs: DataFrame, unit: dict[str, float], of: Callable[[str], float]) -> tuple[dict[str, float], dict[str, set[str]], dict[str, set[str]]]:
+    """(count, characters before, characters after) of the grams of two characters or more, each in units; ^ and $ are the ends of a run."""
+
+    def pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _text, c, n, thai in _arrays(batches):
+            at = np.flatnonzero(c[:-1] != 0x24)
+            ks, back = np.unique((c[at] << 21 | c[at + 1]) << 1 | thai[at], return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(ks), pa.array(np.bincount(back, n[at]).astype(np.int64))], ["k", "n"])
+
+    often = lambda thai: F.col("n") >= F.when(thai, unit["thai"]).otherwise(unit["cjk"])
+    pairs = runs.select("run", "n").mapInArrow(pairs_of, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).where(often(F.col("k") % 2 == 1)).collect()
+    n = {chr(r["k"] >> 22) + chr(r["k"] >> 1 & 0x1FFFFF): r["n"] for r in pairs}
+    own = runs.sparkSession.sparkContext.broadcast(np.array(sorted({r["k"] for r in pairs}), np.int64))
+
+    def grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = own.value
+        for text, c, n, thai in _arrays(batches):
+            k = (c[:-1] << 21 | c[1:]) << 1 | thai[:-1]
+            ok = known[np.minimum(np.searchsorted(known, k), len(known) - 1)] == k
+            at, h, size = np.flatnonzero(ok), k.astype(np.uint64), 2
+            while len(at):
+                at = at[at + size < len(c)]
+                at = at[ok[at + size - 1] & (size < np.where(thai[at], LONGEST_THAI, LONGEST) + 1)]
+                size += 1
+                h[at] = h[at] * np.uint64(0x9E3779B97F4A7C15) + c[at + size - 1].astype(np.uint64)
+                if len(at):
+                    _hs, first, back = np.unique(h[at], return_index=True, return_inverse=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([text[i : i + size] for i in at[first].tolist()]), pa.array(np.bincount(back, n[at]).astype(np.int64))], ["w", "n"])
+
+    if pairs:
+        longer = runs.select("run", "n").mapInArrow(grams_of, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
+        n |= {r["w"]: r["n"] for r in longer.where(often(F.col("w").rlike("[฀-๿]"))).collect()}
+    left: dict[str, set[str]] = defaultdict(set)
+    right: dict[str, set[str]] = defaultdict(set)
+    for w in n:
+        left[w[1:]].add(w[0])
+        right[w[:-1]].add(w[-1])
+    return {w: c / of(w) for w, c in n.items() if w[0] != "^" and w[-1] != "$" and len(w) <= (LONGEST_THAI if THAI.match(w) else LONGEST)}, left, right
+
+
+def _places(runs: DataFrame, model: Model) -> DataFrame:
+    """w, last, first, before, after: how often a word ends and begins a clause, and stands before and after another one of its run."""
+    own = runs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
+        for b in batches:
+            for r, first, last, c in zip(*(x.to_pylist() for x in b.columns)):
+                ws = own.value.segment(r)
+                for w in ws[:-1]:
+                    n[w][2] += c
+                for w in ws[1:]:
+                    n[w][3] += c
+                if last:
+                    n[ws[-1]][0] += c
+                if first:
+                    n[ws[0]][1] += c
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(list(n)), *(pa.array([v[k] for v in n.values()], pa.int64()) for k in range(4))], ["w", "last", "first", "before", "after"])
+
+    each = runs.select("run", "first", "last", "n").mapInArrow(run, "w string, last bigint, first bigint, before bigint, after bigint")
+    return each.groupBy("w").agg(*[F.sum(c).alias(c) for c in ("last", "first", "before", "after")])
 
 
 def thai_gaps(t: str, model: Model) -> list[int]:

@@ -98,3 +98,16 @@ def test_fit(spark):
     el = spark.createDataFrame([(i, t) for i, t in enumerate([*THAI, None, "", "x" * 9000, "一覧を見る。", "It is. So."])], "elem_id long, content string")
     m = sentences.fit(el)
     assert m.opening["ใบส่งของ"] > 0 and sentences.fit(el.limit(0)).words == {}
+
+
+def test_fit_counts_all_texts(spark):
+    import math
+
+    own = [*THAI, *(f"第{k}章 一覧{'表示' * (k % 3)}。仕様を確認する{k}\n「検索画面」 (一覧) を見る！次の仕様 " for k in range(60)), *(f"See abk. {w} etc. Next\nIt is v. 2 vgl. {w}.\r\nEnd." for w in ("so", "So", "仕様", "２", "")), " ", "x. y" * 2000]
+    table = lambda texts: spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "elem_id long, content string")
+    m, by_hand = sentences.fit(table(own)), sentences.Model(own)
+    assert len(by_hand.words) > 20 and by_hand.stop["x"] < -5
+    for k in ("words", "single", "stop", "final", "opening"):
+        assert getattr(m, k) == pytest.approx(getattr(by_hand, k)), k
+    many = sentences.fit(table([f"It is abk. {'so' if k % 4 else 'So'} {k}" for k in range(4000)]))  # a rate of all, not a count of some
+    assert many.stop["abk"] == pytest.approx(math.log((1000 * 3 / 4 + 1) / (3000 * 3 / 4 + 1)))
