@@ -11,7 +11,7 @@ joining with nothing, with a space or with a broken word's mark deleted. Confusi
 from the corpus: what unknown words of scans have where a known word has something else, and characters that stand where
 clean text always has another. It is trained on clean sentences of the same corpus, a bounded sample, into which the same
 kinds of noise and line ends are put; so its labels are exact. Sites are found and their hashed features gathered in numpy
-for all texts of a batch; words of scripts with spaces are sites only if the sample's lexicon does not know them.
+for all texts of a batch; words of scripts with spaces are sites only if the lexicon of all texts does not know them.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -271,19 +272,81 @@ def shown_chars(clean: list[str], scanned: list[str]) -> tuple[dict[tuple[str, s
     return {k: len(v) for k, v in shown.items()}, seen
 
 
+class Words(NamedTuple):
+    """Counts of words of clean texts and of words with a hyphen of all, and texts that have the words of scans."""
+
+    n: dict[str, float]
+    hyphened: dict[str, float]
+    scanned: list[str]
+
+
+HYPHENED = regex.compile(r"(?<![\p{L}-])\p{L}+-\p{L}+")
+
+
+def spaced_words(t: str) -> list[str]:
+    return [w.lower() for w in WORD.findall(t) if SPACED_WORD.match(w)]
+
+
+def words_of(sample: list[str], scanned: list[str]) -> Words:
+    n: Counter[str] = Counter()
+    hyphened: Counter[str] = Counter()
+    for t in sample:
+        n.update(spaced_words(t))
+    for t in (*sample, *scanned):
+        hyphened.update(m.lower() for m in HYPHENED.findall(t))
+    return Words(n, hyphened, scanned)
+
+
+def counted(elements: DataFrame) -> Words:
+    """words_of all clean contents of one line and all texts of several lines, of at least SHORT characters.
+
+    Of more than SAMPLE and SCANNED texts a count is the rate in so many; words of clean texts with a rate below 2, and words
+    of scans with one below 1, are left out, which bounds what comes to the driver.
+    """
+    line = F.contains("text", F.lit("\n"))
+    text = elements.select(F.col("content").alias("text")).unionByName(elements.where(F.contains("ocr_text", F.lit("\n"))).select(F.col("ocr_text").alias("text")))
+    own = text.where(F.length("text") >= SHORT).select("text", line.alias("paged"))
+    total = own.agg(F.count_if(~F.col("paged")).alias("clean"), F.count_if("paged").alias("paged")).first()
+    unit = {False: max(1.0, total["clean"] / SAMPLE), True: max(1.0, total["paged"] / SCANNED)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: dict[tuple[bool, bool], Counter[str]] = {(p, h): Counter() for p in (False, True) for h in (False, True)}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for (paged, hyphen), own in n.items():
+                got: Counter[str] = Counter()
+                for w, c in own.items():
+                    if hyphen or SPACED_WORD.match(w):
+                        got[w.lower()] += c
+                own.clear()
+                if got:
+                    yield pa.RecordBatch.from_arrays([pa.array([paged] * len(got)), pa.array([hyphen] * len(got)), pa.array(list(got)), pa.array(list(got.values()), pa.int64())], ["paged", "hyphen", "w", "n"])
+
+        for b in batches:
+            for t, paged in zip(*(c.to_pylist() for c in b.columns)):
+                n[paged, False].update(WORD.findall(t))
+                if "-" in t:
+                    n[paged, True].update(HYPHENED.findall(t))
+            if sum(map(len, n.values())) > 200_000:
+                yield from out()
+        yield from out()
+
+    rate = F.col("n") / F.when(F.col("paged"), unit[True]).otherwise(unit[False])
+    every = own.mapInArrow(run, "paged boolean, hyphen boolean, w string, n bigint").groupBy("paged", "hyphen", "w").agg(F.sum("n").alias("n")).withColumn("n", rate)
+    every = every.groupBy("hyphen", "w", F.when(~F.col("hyphen"), F.col("paged")).alias("paged")).agg(F.sum("n").alias("n"))
+    rows = every.where(F.col("n") >= F.when(F.col("paged"), 1.0).otherwise(2.0)).collect()
+    of = lambda hyphen, paged: {r["w"]: r["n"] for r in rows if r["hyphen"] is hyphen and r["paged"] is paged}
+    return Words(of(False, False), of(True, None), [" ".join(sorted(of(False, True)))])
+
+
 class Editor:
-    """Lexicon of the sample and perceptron weights; both bounded by SAMPLE and BITS."""
+    """Lexicon and perceptron weights; the one bounded by its least rate, the other by BITS."""
 
-    def __init__(self, sample: list[str], scanned: list[str] = ()) -> None:
-        n: Counter[str] = Counter()
-        hyphened: Counter[str] = Counter()
-        for t in sample:
-            n.update(w.lower() for w in WORD.findall(t))
-        for t in (*sample, *scanned):
-            hyphened.update(m.lower() for m in regex.findall(r"(?<![\p{L}-])\p{L}+-\p{L}+", t))
+    def __init__(self, sample: list[str], scanned: list[str] = (), words: Words | None = None) -> None:
+        n, hyphened, read = words or words_of(sample, scanned)
         # a word that is met once may be misread itself
-        self.lexicon = {w: c for w, c in n.items() if c >= 2 and SPACED_WORD.match(w)}
-        self.letters = (*LETTERS, *learned_letters(self.lexicon, scanned, {*LETTERS}))
+        self.lexicon = {w: int(c) for w, c in n.items() if c >= 2}
+        self.letters = (*LETTERS, *learned_letters(self.lexicon, read, {*LETTERS}))
         doubtful = doubtful_chars(sample, scanned, {*CHARS})
         self.chars = (*(k for k in CHARS if k not in doubtful), *learned_chars(sample, scanned, {*CHARS}))
         self.skeleton = skeletons(self.letters)
@@ -700,9 +763,10 @@ def repair(e: Editor, texts: list[str], heads: list[set[int]], memo: dict[str, s
 
 
 def editor(elements: DataFrame) -> Editor:
-    """The editor of a corpus: trained on at most SAMPLE clean contents of one line, and at most SCANNED texts of several lines.
+    """The editor of a corpus. Its words, compounds and confusions of letters are counted in all texts.
 
-    For training only, texts of fewer than SHORT or more than LONG characters are left out.
+    Its weights, forms of page numbers and confusions of characters are trained on at most SAMPLE clean contents of one line,
+    and at most SCANNED texts of several lines. For that only, texts of fewer than SHORT or more than LONG characters are left out.
     """
     line = F.contains("text", F.lit("\n"))
     own = elements.select("elem_id", F.explode(F.array("content", "ocr_text")).alias("text"), F.col("content").alias("c")).where(F.length("text").between(SHORT, LONG))
@@ -710,7 +774,7 @@ def editor(elements: DataFrame) -> Editor:
     paged = own.where(line)
     n = own.agg(F.count_if(~line).alias("clean"), F.count_if(line).alias("paged")).first()
     sample = [[r["text"] for r in bounded_sample(t, "elem_id", k, of=n[c], spare=4).collect()] for t, k, c in ((clean, SAMPLE, "clean"), (paged, SCANNED, "paged"))]
-    return Editor(*sample)
+    return Editor(*sample, counted(elements))
 
 
 def head_candidates(elements: DataFrame) -> DataFrame:

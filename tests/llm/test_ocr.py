@@ -100,3 +100,16 @@ def test_listed_confusions_that_scans_do_not_show():
     clean = [f"の{a}ミ{b}を確認する" for a in "甲乙丙丁戊己庚辛" for b in "一二三四五六七八"] * 2
     assert ("ミ", "三") in ocr.doubtful_chars(clean, [t + "\n" for t in clean * 2], {*ocr.CHARS})
     assert ("ミ", "三") not in ocr.doubtful_chars(clean, [t + "\n" for t in clean[:50]], {*ocr.CHARS})  # too few places to tell
+
+
+def test_words_of_all_texts_are_counted(spark, monkeypatch):
+    """Few of many texts have a word, a compound or a confusion; with a sample of a few texts each was met by chance only."""
+    own = (EN + JA) * 5 + [f"A report on the {'zirconium' if i % 2 else 'beryllium'} depot and its run-up, number {i}" for i in range(60)] + ["x-y " * 2000]
+    paged = [f"Page {i}\nthe zirc0nium depot and its run-up, number {i}" for i in range(30)]
+    el = spark.createDataFrame([(i, 1, t, None) for i, t in enumerate(own)] + [(1000 + i, 1, None, t) for i, t in enumerate(paged)], "elem_id long, run_id long, content string, ocr_text string")
+    want, got = ocr.words_of([t for t in own if len(t) >= ocr.SHORT], paged), ocr.counted(el)
+    assert got.n == {w: c for w, c in want.n.items() if c >= 2} and got.hyphened == {w: c for w, c in want.hyphened.items() if c >= 2} and "zirc0nium" in got.scanned[0].split()
+    monkeypatch.setattr(ocr, "SAMPLE", 20)
+    e = ocr.editor(el)
+    clean = sum(len(t) >= ocr.SHORT for t in own)
+    assert e.lexicon["zirconium"] == e.lexicon["beryllium"] == int(30 * 20 / clean) and "run-up" in e.compounds
